@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import sql, split_pieces
+from quirework.llm import encode_corpus, leaked_items, split_pieces, sql
 from quirework.sources.tables import read_table
 
 
@@ -18,6 +18,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_pieces.found(read_table(spark, folder, "page_extractions"), read_table(spark, folder, "section_specs"))
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_corpus.encode_corpus(read_table(spark, folder, "documents"))
+
+
+def p9_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items.leaked_passages(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items.found(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 

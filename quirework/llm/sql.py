@@ -11,6 +11,11 @@ def words(column: str) -> str:
     return f"list_filter(regexp_split_to_array({column}, '{BLANK}'), lambda w: w <> '')"
 
 
+def plain_words(column: str) -> str:
+    """The list of a text's words in lower case with letters and digits only."""
+    return f"list_filter(list_transform({words(f'lower({column})')}, lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda w: w <> '')"
+
+
 ORACLES: dict[str, str] = {
     "p1_found": f"""
         WITH newest AS (SELECT template_id, name, arg_max(struct_pack(m := target_length_max), template_version).m AS m
@@ -19,4 +24,11 @@ ORACLES: dict[str, str] = {
         JOIN newest n ON p.template_id = n.template_id AND p.section_name = n.name
         WHERE len({words('p.full_text')}) > n.m
     """,
+    "p9_found": f"""
+        WITH d AS (SELECT doc_id, {plain_words('text')} AS w FROM documents),
+             i AS (SELECT item_id, {plain_words('text')} AS w FROM eval_items),
+             dg AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS r(k)),
+             ig AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 12], ' ') AS g FROM i, unnest(range(1, len(w) - 11)) AS r(k))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+    """,
 }
