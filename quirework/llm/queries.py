@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import encode_corpus, leaked_items, split_pieces, sql
+from quirework.llm import encode_corpus, leaked_items, near_duplicates, shared_spans, split_pieces, sql
 from quirework.sources.tables import read_table
 
 
@@ -18,6 +18,22 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_pieces.found(read_table(spark, folder, "page_extractions"), read_table(spark, folder, "section_specs"))
 
 
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.classes_with_links(read_table(spark, folder, "page_extractions"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.found(read_table(spark, folder, "page_extractions"))
+
+
+def p5_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans.shared_spans(read_table(spark, folder, "page_extractions"), read_table(spark, folder, "draft_sections"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans.found(read_table(spark, folder, "page_extractions"), read_table(spark, folder, "draft_sections"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus.encode_corpus(read_table(spark, folder, "documents"))
 

@@ -31,4 +31,20 @@ ORACLES: dict[str, str] = {
              ig AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 12], ' ') AS g FROM i, unnest(range(1, len(w) - 11)) AS r(k))
         SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
     """,
+    "p4_found": f"""
+        WITH p AS (SELECT DISTINCT extraction_id AS id, {words('lower(full_text)')} AS w FROM page_extractions),
+             s AS (SELECT DISTINCT id, array_to_string(w[k : k + 2], ' ') AS g FROM p, unnest(range(1, len(w) - 1)) AS r(k) WHERE len(w) >= 30),
+             n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+             c AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+        SELECT a AS extraction_id_a, b AS extraction_id_b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) >= 0.7
+    """,
+    "p5_found": f"""
+        WITH t AS (SELECT 'page_extractions' AS src, extraction_id AS row_id, full_text AS t FROM page_extractions
+                   UNION SELECT 'draft_sections', section_id, ai_text FROM draft_sections),
+             r AS (SELECT src, row_id, {words('t')} AS w FROM t WHERE t IS NOT NULL),
+             g AS (SELECT src, row_id, k, array_to_string(w[k : k + 39], ' ') AS g FROM r, unnest(range(1, len(w) - 38)) AS u(k)),
+             m AS (SELECT g FROM g GROUP BY g HAVING min(src || row_id) <> max(src || row_id)),
+             x AS (SELECT DISTINCT src, row_id, k + d AS pos FROM g SEMI JOIN m USING (g), range(40) AS o(d))
+        SELECT src, row_id, count(*) AS shared_words FROM x GROUP BY 1, 2
+    """,
 }
