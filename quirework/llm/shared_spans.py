@@ -20,6 +20,8 @@ from quirework.plans.storage import materialize
 
 RUN = 40
 BLOCK = RUN // 2
+#: Bits of a block's hash. A chance hit costs a look at the windows around it and never shows in the result.
+BITS = 40
 
 
 def text_records(pages: DataFrame, sections: DataFrame) -> DataFrame:
@@ -31,22 +33,26 @@ def text_records(pages: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def _windows(records: DataFrame, step: int) -> DataFrame:
-    """rec, pos, hash of the 20-word windows that start at multiples of ``step``."""
+    """rec, window of the 20-word windows that start at multiples of ``step``.
+
+    ``window`` packs the place (upper 24 bits) and 40 bits of the hash, as
+    these rows are by far the most that are shuffled.
+    """
+    low = np.uint64((1 << BITS) - 1)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            hashes, places, counts = [], [], []
+            packed = []
             for text in batch.column("text").to_pylist():
                 own = window_hashes(memo.of(text.split()), BLOCK)[::step]
-                hashes.append(own)
-                places.append(np.arange(len(own), dtype=np.int32) * step)
-                counts.append(len(own))
-            if counts:
-                recs = np.repeat(batch.column("rec").to_numpy(zero_copy_only=False), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(recs), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))], ["rec", "pos", "hash"])
+                places = np.arange(len(own), dtype=np.uint64) * np.uint64(step)
+                packed.append((places << np.uint64(BITS)) | (own & low))
+            if packed:
+                recs = np.repeat(batch.column("rec").to_numpy(zero_copy_only=False), [len(x) for x in packed])
+                yield pa.RecordBatch.from_arrays([pa.array(recs), pa.array(np.concatenate(packed).view(np.int64))], ["rec", "window"])
 
-    return records.select("rec", "text").mapInArrow(windows, "rec bigint, pos int, hash bigint")
+    return records.select("rec", "text").mapInArrow(windows, "rec bigint, window bigint")
 
 
 def _around_hits(hits: DataFrame, records: DataFrame) -> DataFrame:
@@ -87,8 +93,10 @@ def shared_spans(pages: DataFrame, sections: DataFrame) -> DataFrame:
     """
     records = text_records(pages, sections)
     ends = (F.min("rec").alias("first_rec"), F.max("rec").alias("last_rec"))
-    index = _windows(records, BLOCK).groupBy("hash").agg(*ends)
-    hits = _in_another(_windows(records, 1), index).select("rec", "pos")
+    block = F.col("window").bitwiseAND(F.lit((1 << BITS) - 1))
+    index = _windows(records, BLOCK).groupBy(block.alias("block")).agg(*ends)
+    probes = _windows(records, 1).join(index.hint("shuffle_hash"), block == F.col("block"))
+    hits = probes.where("first_rec <> rec or last_rec <> rec").select("rec", F.shiftrightunsigned("window", BITS).cast("int").alias("pos"))
     around = materialize(_around_hits(hits, records))
     owners = around.groupBy("hash").agg(*ends).where("first_rec <> last_rec")
     runs = _in_another(around, owners).select("rec", "pos").distinct()
