@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import encode_corpus, leaked_items, near_duplicates, shared_spans, split_pieces, sql
+from quirework.llm import encode_corpus, leaked_items, near_duplicates, shared_spans, similar_vectors, split_pieces, sql
 from quirework.sources.tables import read_table
 
 
@@ -34,6 +34,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.found(read_table(spark, folder, "page_extractions"), read_table(spark, folder, "draft_sections"))
 
 
+def p7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_vectors.nearest_vectors(read_table(spark, folder, "few_shot_store")).select("edit_id", "rank", "other_id")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_vectors.found(read_table(spark, folder, "few_shot_store"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus.encode_corpus(read_table(spark, folder, "documents"))
 
