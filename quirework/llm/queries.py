@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import encode_corpus, leaked_items, near_duplicates, shared_spans, similar_vectors, split_pieces, sql
+from quirework.llm import encode_corpus, leaked_items, near_duplicates, scan_repair, shared_spans, similar_vectors, split_pieces, sql, stuffed_pages
 from quirework.sources.tables import read_table
 
 
@@ -18,6 +18,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_pieces.found(read_table(spark, folder, "page_extractions"), read_table(spark, folder, "section_specs"))
 
 
+def p3_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_repair.clean_pages(read_table(spark, folder, "ocr_spans"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_repair.found(read_table(spark, folder, "ocr_spans"))
+
+
 def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.classes_with_links(read_table(spark, folder, "page_extractions"))
 
@@ -54,6 +62,14 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items.found(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
 
 
+def p10_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffed_pages.page_shares(read_table(spark, folder, "documents"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffed_pages.found(read_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 

@@ -21,7 +21,7 @@ from quirework.plans.storage import materialize
 
 DIMENSIONS = 1024
 K = 5
-#: Vectors in the sample that the main axes are fitted on.
+#: About so many vectors, chosen by the hash of their ids, are the sample that the main axes are fitted on.
 SAMPLE = 4000
 CURVES, AXES, TURNED, BITS = 4, 32, 16, 4
 #: Vectors compared at a time, and how many before and after them.
@@ -70,10 +70,11 @@ def _stacked(batch: pd.DataFrame) -> tuple[pd.Series, np.ndarray]:
     return batch["edit_id"][usable], (rows[usable] / norms[usable, None]).astype(np.float32)
 
 
-def main_axes(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, main axes and the deviation along each, of SAMPLE rows in the order of their ids' hashes."""
-    sample = vectors.orderBy(F.xxhash64("edit_id"), "edit_id").limit(SAMPLE).toPandas()
-    _, rows = _stacked(sample)
+def main_axes(vectors: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, main axes and the deviation along each, of a sample of about SAMPLE of ``count`` vectors."""
+    share = min(1.0, SAMPLE / max(count, 1))
+    sample = vectors.where(F.pmod(F.xxhash64("edit_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    _, rows = _stacked(sample.toPandas())
     if not len(rows):
         return np.zeros(DIMENSIONS, np.float32), np.zeros((DIMENSIONS, AXES), np.float32), np.ones(AXES, np.float32)
     mean = rows.mean(axis=0)
@@ -93,9 +94,9 @@ def curve_shapes(deviations: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return shapes
 
 
-def _points(vectors: DataFrame) -> DataFrame:
+def _points(vectors: DataFrame, count: int) -> DataFrame:
     """Every vector in one byte per dimension, with its place on each curve."""
-    mean, axes, deviations = main_axes(vectors)
+    mean, axes, deviations = main_axes(vectors, count)
     shapes = curve_shapes(deviations)
 
     def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,8 +200,9 @@ def nearest_vectors(store: DataFrame) -> DataFrame:
         vectors = vectors.join(followers.select("edit_id"), "edit_id", "left_anti")
         first = leaders.where(F.col("rank") <= K).select("print", F.col("edit_id").alias("other_id"), "rank")
         copies = followers.join(first, "print").select("edit_id", "rank", "other_id", F.lit(1.0).cast("float").alias("score"))
-    parts = max(1, -(-CURVES * prints.count() // ROWS_PER_TASK))
-    sorted_points = _points(vectors).repartitionByRange(parts, "curve", "place").sortWithinPartitions("curve", "place", "edit_id")
+    count = prints.count()
+    parts = max(1, -(-CURVES * count // ROWS_PER_TASK))
+    sorted_points = _points(vectors, count).repartitionByRange(parts, "curve", "place").sortWithinPartitions("curve", "place", "edit_id")
     lists = sorted_points.mapInArrow(_near, _NEAR)
     pairs = lists.select("edit_id", F.arrays_zip("others", "scores").alias("near")).groupBy("edit_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     by_score = F.transform("near", lambda p: F.struct((-p["scores"]).alias("minus"), p["others"].alias("other_id")))
