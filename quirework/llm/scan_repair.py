@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quirework.plans.storage import broadcast_if_small, materialize
 
 #: What is read, and what stood there.
-CONFUSIONS = [("c", "e"), ("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("d", "cl"), ("b", "h"), ("f", "t"), ("vv", "w"), ("0", "o"), ("1", "i"), ("1", "l"), ("5", "s"), ("9", "g"), ("@", "a")]
+CONFUSIONS = [("c", "e"), ("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("d", "cl"), ("b", "h"), ("f", "t"), ("vv", "w"), ("0", "o"), ("1", "i"), ("1", "l"), ("5", "s"), ("9", "g"), ("@", "a"), ("(", "c")]
 #: Most confusions in one word.
 MOST_CONFUSIONS = 4
 #: A frequent variant stands at least so often, and so many times as often as the rare word.
@@ -34,6 +34,10 @@ NATIVE = ("pdfplumber",)
 EDGE = 2
 #: A header stands on at least this share of a document's scanned pages.
 HEADER_SHARE = 0.25
+#: Pages after a page on which the twin of a damaged header is looked for.
+NEXT_PAGES = 4
+#: Letters that a page number with its ornament takes at most.
+PAGE_LETTERS = 16
 #: One differing letter is allowed a header for so many letters.
 LETTERS_PER_ERROR = 8
 
@@ -43,6 +47,7 @@ _NUMBER = r"(?:\d{1,4}|[ivxlc]{1,7})"
 _PAGE = rf"[\[(\-–—~|*•\s]*(?:page|pg\.?|p\.|seite|página|pagina)?\s*{_NUMBER}(?:\s*(?:of|/|von|de|sur)\s*\d{{1,4}})?[\])\-–—~|*•\s]*"
 PAGE_ONLY = rf"(?i)^{_PAGE}$"
 PAGE_AT_EITHER_END = rf"(?i)^{_PAGE}(?:\s*\|\s*|\s{{2,}})|(?:\s*\|\s*|\s{{2,}}){_PAGE}$"
+HYPHENS = "-‐‑¬­"
 BROKEN = r"[\p{L}][-‐‑¬­]\s*$"
 
 
@@ -65,11 +70,19 @@ def possible_hashes(word: str) -> dict[int, int]:
 
 
 def word_cores(spans: DataFrame) -> DataFrame:
-    """core, n: every token of all lines in lower case without outer punctuation, if it has a letter."""
+    """core, n: every token of all lines in lower case without outer punctuation, if it has a letter.
+
+    An opening bracket that is never closed may be a misread c and stays.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts = Counter(token.strip(_OUTER) for text in batch["text"] for token in text.lower().split())
+            counts: Counter = Counter()
+            for text in batch["text"]:
+                tokens = text.lower().split()
+                counts.update(token.strip(_OUTER) for token in tokens)
+                if "(" in text:
+                    counts.update("(" + token.strip(_OUTER) for token in tokens if token[0] == "(" and ")" not in token)
             rows = [(core, n) for core, n in counts.items() if _HAS_LETTER.search(core)]
             yield pd.DataFrame(rows, columns=["core", "n"])
 
@@ -79,7 +92,7 @@ def word_cores(spans: DataFrame) -> DataFrame:
 
 def pieces_of(cores: DataFrame) -> DataFrame:
     """word, n: the runs of letters, digits and @ within the cores."""
-    pieces = cores.select(F.explode(F.split("core", r"[^\p{L}\p{N}@]+")).alias("word"), "n").where("word <> ''")
+    pieces = cores.select(F.explode(F.split("core", r"[^\p{L}\p{N}@(]+")).alias("word"), "n").where("word <> ''")
     return pieces.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -96,7 +109,7 @@ def corrections(words: DataFrame) -> DataFrame:
             yield batch.assign(target=[anagram_hash(word) for word in batch["right"]])
 
     letters = F.length(F.regexp_replace("word", r"[^\p{L}]", ""))
-    plain = words.where(F.col("word").rlike(r"^[a-z0-9@ß-ÿ]{2,40}$"))
+    plain = words.where(F.col("word").rlike(r"^[a-z0-9@(ß-ÿ]{2,40}$"))
     rare = plain.where(letters >= 2 * (F.length("word") - letters)).mapInPandas(expand, "word string, n bigint, target bigint, edits int")
     frequent = plain.where((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^\p{L}+$")).select(F.col("word").alias("right"), F.col("n").alias("n_right"))
     frequent = frequent.mapInPandas(hashes, "right string, n_right bigint, target bigint")
@@ -120,7 +133,8 @@ def edge_noise(lines: DataFrame) -> DataFrame:
     number = F.col("text").rlike(PAGE_ONLY) & F.col("text").rlike(r"(?i)[\divxlc]")
     numbers = edges.where(number).select("span_id", F.lit("page_number").alias("noise_type"))
     key = F.lower(F.trim(F.regexp_replace(F.regexp_replace("text", PAGE_AT_EITHER_END, ""), r"\s+", " ")))
-    keyed = materialize(edges.where(~number & ~F.ltrim("text").rlike(r"^\p{Ll}")).withColumn("key", key).where("length(key) >= 4").select("span_id", "doc", "page", "top", "bottom", "key"))
+    running = F.col("text").rlike(r"^\s*\p{Ll}|[,;\-‐‑¬­]\s*$")  # begins or ends within a sentence
+    keyed = materialize(edges.where(~number & ~running).withColumn("key", key).where("length(key) >= 4").select("span_id", "doc", "page", "top", "bottom", "key"))
     pages = lines.where("scanned").groupBy("doc").agg(F.count_distinct("page").alias("n_pages"))
     counts = keyed.groupBy("doc", "key").agg(F.count_distinct("page").alias("n"))
     headers = counts.where("n >= 2").join(pages, "doc").where(F.col("n") >= HEADER_SHARE * F.col("n_pages")).select("doc", F.col("key").alias("header"))
@@ -128,13 +142,16 @@ def edge_noise(lines: DataFrame) -> DataFrame:
     def alike(a: Column, b: Column) -> Column:
         return F.levenshtein(a, b) * LETTERS_PER_ERROR <= F.greatest(F.length(a), F.length(b), F.lit(LETTERS_PER_ERROR))
 
-    known = keyed.join(headers, "doc").where(alike(F.col("key"), F.col("header"))).select("span_id")
+    # the page number after a header can be too damaged to be taken off
+    size = F.length("header")
+    begins = alike(F.substring(F.col("key"), F.lit(1), size), F.col("header")) & (size >= LETTERS_PER_ERROR) & (F.length("key") - size <= PAGE_LETTERS)
+    known = keyed.join(headers, "doc").where(alike(F.col("key"), F.col("header")) | begins).select("span_id")
     # a header that is damaged on one of few pages has no twin: look at the same place of the next pages
     def at(place: str) -> DataFrame:
         return keyed.where(f"{place} <= {EDGE}").select("span_id", "doc", "page", "key", F.col(place).alias("place"), F.lit(place).alias("edge"))
 
     slots = at("top").unionByName(at("bottom")).where("length(key) >= 6")
-    later = slots.select("doc", F.explode(F.array(F.col("page") - 1, F.col("page") - 2)).alias("page"), "edge", F.col("span_id").alias("later_id"), F.col("key").alias("later_key"))
+    later = slots.select("doc", F.explode(F.array(*(F.col("page") - k for k in range(1, NEXT_PAGES + 1)))).alias("page"), "edge", F.col("span_id").alias("later_id"), F.col("key").alias("later_key"))
     twins = slots.join(later, ["doc", "page", "edge"]).where(alike(F.col("key"), F.col("later_key")) & (F.col("key") != F.col("later_key")))
     twins = twins.select(F.explode(F.array("span_id", "later_id")).alias("span_id"))
     return numbers.unionByName(known.unionByName(twins).distinct().withColumn("noise_type", F.lit("header")))
@@ -178,11 +195,15 @@ def repairs(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     hyphens = fixed_joined.select("span_id", F.lit("hyphen").alias("noise_type"), F.lit("").alias("seen"), "fixed")
 
     # cores with a misread piece, with the piece put right
-    split = cores.select("core", F.explode(F.split("core", r"[^\p{L}\p{N}@]+")).alias("word")).join(right, "word")
+    split = cores.select("core", F.explode(F.split("core", r"[^\p{L}\p{N}@(]+")).alias("word")).join(right, "word")
     wrong = split.groupBy("core").agg(F.collect_list(F.struct("word", "right")).alias("swaps"))
     wrong = wrong.select("core", F.aggregate("swaps", F.col("core"), lambda text, swap: F.replace(text, swap["word"], swap["right"])).alias("right"))
-    tokens = body.select("span_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("at", "token"), F.size(F.split(F.trim("text"), r"\s+")).alias("of"), F.col("text").rlike(BROKEN).alias("broken"))
-    tokens = tokens.where("not (broken and at = of - 1)").withColumn("seen", F.btrim("token", F.lit(_OUTER)))
+    split_text = F.filter(F.split(F.translate("text", "\t\u00a0", "  "), " "), lambda token: F.length(token) > 1)
+    broken = F.right(F.rtrim("text"), F.lit(1)).isin(*HYPHENS)
+    tokens = body.select("span_id", F.explode(F.when(broken, F.slice(split_text, F.lit(1), F.greatest(F.size(split_text) - 1, F.lit(0)))).otherwise(split_text)).alias("token"))
+    tokens = tokens.withColumn("seen", F.btrim("token", F.lit(_OUTER)))
+    unclosed = F.startswith("token", F.lit("(")) & ~F.contains("token", F.lit(")"))
+    tokens = tokens.withColumn("seen", F.explode(F.when(unclosed, F.array("seen", F.concat(F.lit("("), "seen"))).otherwise(F.array("seen"))))
     misread = tokens.withColumn("core", F.lower("seen")).join(broadcast_if_small(wrong), "core")
     misread = misread.select("span_id", F.lit("misread").alias("noise_type"), "seen", _in_case_of(F.col("right"), F.col("seen")).alias("fixed"))
     return lines, noise, hyphens.unionByName(misread)
