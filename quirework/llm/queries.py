@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import encode_corpus, leaked_items, near_duplicates, scan_repair, shared_spans, similar_vectors, split_pieces, sql, stuffed_pages
+from quirework.llm import encode_corpus, leaked_items, near_duplicates, personal_data, scan_repair, shared_spans, similar_vectors, split_pieces, sql, stuffed_pages
 from quirework.sources.tables import read_table
 
 
@@ -18,6 +18,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_pieces.found(read_table(spark, folder, "page_extractions"), read_table(spark, folder, "section_specs"))
 
 
+def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.redact(read_table(spark, folder, "ocr_spans"), read_table(spark, folder, "draft_sections"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.found(read_table(spark, folder, "ocr_spans"), read_table(spark, folder, "draft_sections"))
+
+
 def p3_pages(spark: SparkSession, folder: str) -> DataFrame:
     return scan_repair.clean_pages(read_table(spark, folder, "ocr_spans"))
 
