@@ -99,7 +99,7 @@ def shared_spans(pages: DataFrame, sections: DataFrame) -> DataFrame:
     hits = probes.where("first_rec <> rec or last_rec <> rec").select("rec", F.shiftrightunsigned("window", BITS).cast("int").alias("pos"))
     around = materialize(_around_hits(hits, records))
     owners = around.groupBy("hash").agg(*ends).where("first_rec <> last_rec")
-    runs = _in_another(around, owners).select("rec", "pos").distinct()
+    runs = _in_another(around, owners).select("rec", "pos")
     order = Window.partitionBy("rec").orderBy("pos")
     fresh = F.coalesce(F.col("pos") > F.lag("pos").over(order) + RUN, F.lit(True))
     spans = runs.withColumn("fresh", fresh.cast("int")).withColumn("span", F.sum("fresh").over(order))
