@@ -26,7 +26,7 @@ def p6_parties(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p6_found": p6_found, "p6_parties": p6_parties}
 
-_NEWEST = """
+NEWEST = """
     newest AS (SELECT draft_id, ai_output, final_output FROM drafts WHERE draft_id IS NOT NULL
                QUALIFY row_number() OVER (PARTITION BY draft_id ORDER BY edited_at DESC NULLS LAST, created_at DESC NULLS LAST,
                                           ai_output DESC NULLS LAST, final_output DESC NULLS LAST) = 1),
@@ -51,7 +51,7 @@ _NEWEST = """
 
 ORACLES = {
     "p6_found": f"""
-    WITH {_NEWEST}
+    WITH {NEWEST}
     SELECT DISTINCT * FROM (
         SELECT draft_id, doc, 'field' AS kind, name, 0::BIGINT AS pos FROM fields
         UNION ALL SELECT draft_id, doc, CASE WHEN json_type(v) = 'OBJECT' THEN 'party' ELSE 'item' END, name, pos FROM elements WHERE json_type(v) <> 'NULL'
