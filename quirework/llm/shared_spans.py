@@ -96,7 +96,9 @@ def shared_spans(pages: DataFrame, sections: DataFrame) -> DataFrame:
     block = F.col("window").bitwiseAND(F.lit((1 << BITS) - 1))
     index = _windows(records, BLOCK).groupBy(block.alias("block")).agg(*ends)
     probes = _windows(records, 1).join(index.hint("shuffle_hash"), block == F.col("block"))
-    hits = probes.where("first_rec <> rec or last_rec <> rec").select("rec", F.shiftrightunsigned("window", BITS).cast("int").alias("pos"))
+    # written, so that nothing later holds on to the shuffled windows
+    hits = materialize(probes.where("first_rec <> rec or last_rec <> rec").select("rec", F.shiftrightunsigned("window", BITS).cast("int").alias("pos")))
+    del probes, index
     around = materialize(_around_hits(hits, records))
     owners = around.groupBy("hash").agg(*ends).where("first_rec <> last_rec")
     runs = _in_another(around, owners).select("rec", "pos")
