@@ -38,6 +38,8 @@ HEADER_SHARE = 0.25
 NEXT_PAGES = 4
 #: Letters that a page number with its ornament takes at most.
 PAGE_LETTERS = 16
+#: Longest line that can be a header or footer.
+HEADER_CHARS = 300
 #: One differing letter is allowed a header for so many letters.
 LETTERS_PER_ERROR = 8
 
@@ -134,7 +136,7 @@ def edge_noise(lines: DataFrame) -> DataFrame:
     numbers = edges.where(number).select("span_id", F.lit("page_number").alias("noise_type"))
     key = F.lower(F.trim(F.regexp_replace(F.regexp_replace("text", PAGE_AT_EITHER_END, ""), r"\s+", " ")))
     running = F.col("text").rlike(r"^\s*\p{Ll}|[,;\-‐‑¬­]\s*$")  # begins or ends within a sentence
-    keyed = materialize(edges.where(~number & ~running).withColumn("key", key).where("length(key) >= 4").select("span_id", "doc", "page", "top", "bottom", "key"))
+    keyed = materialize(edges.where(~number & ~running).withColumn("key", key).where(F.length("key").between(4, HEADER_CHARS)).select("span_id", "doc", "page", "top", "bottom", "key"))
     pages = lines.where("scanned").groupBy("doc").agg(F.count_distinct("page").alias("n_pages"))
     counts = keyed.groupBy("doc", "key").agg(F.count_distinct("page").alias("n"))
     headers = counts.where("n >= 2").join(pages, "doc").where(F.col("n") >= HEADER_SHARE * F.col("n_pages")).select("doc", F.col("key").alias("header"))
