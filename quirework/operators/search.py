@@ -17,6 +17,10 @@ from quirework.functions import vector as V
 from quirework.plans.storage import broadcast_if_small
 
 
+#: Queries with a vector in one broadcast; more make several passes over the rows.
+QUERIES_AT_ONCE = 5_000
+
+
 def best(ranked: DataFrame, k: int, *, by: str = "query_id") -> DataFrame:
     """The ``k`` best of each query, with their 1-based rank."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), "id")
@@ -62,13 +66,20 @@ def dense_search(chunks: DataFrame, queries: DataFrame, k: int, on: Column | Non
     """The ``k`` chunks of largest cosine for each query; a stated set of queries against all rows.
 
     Chunks and queries have ``embedding``; rows without a usable one are left
-    out. ``on`` restricts pairs, such as to one template and field.
+    out. ``on`` restricts pairs, such as to one template and field. The queries
+    are taken in blocks that are small enough to be broadcast; each block keeps
+    its best chunks per partition before anything is shuffled.
     """
-    q = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns)).withColumn("q_norm", V.norm(F.col("q_embedding"))).where("q_norm > 0")
-    c = chunks.withColumn("c_norm", V.norm(F.col("embedding"))).where("c_norm > 0")
-    pairs = c.join(broadcast_if_small(q), on if on is not None else F.size("embedding") == F.size("q_embedding"))
+    asked = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns)).withColumn("q_norm", V.norm(F.col("q_embedding"))).where("q_norm > 0")
+    rows = chunks.withColumn("c_norm", V.norm(F.col("embedding"))).where("c_norm > 0")
+    blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
     score = F.round(V.dot(F.col("embedding"), F.col("q_embedding")) / (F.col("c_norm") * F.col("q_norm")), 6)
-    return best(pairs.select(F.col("q_query_id").alias("query_id"), "id", score.alias("score")).where("score is not null"), k)
+    parts = []
+    for block in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("q_query_id"), F.lit(blocks)) == block)
+        pairs = rows.join(F.broadcast(some), on if on is not None else F.size("embedding") == F.size("q_embedding"))
+        parts.append(best(pairs.select(F.col("q_query_id").alias("query_id"), "id", score.alias("score")).where("score is not null"), k))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fuse(lists: list[DataFrame], weights: list[float] | None = None, k: int = 60) -> DataFrame:

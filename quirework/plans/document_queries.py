@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirework.functions import text as T
 from quirework.operators import catalogs as C
 from quirework.operators import chunking
+from quirework.sources import files
 from quirework.sources.tables import read_table
 
 NOW = "2024-02-15 00:00:00"
@@ -71,6 +72,12 @@ def dedup_texts(spark: SparkSession, folder: str) -> DataFrame:
     return docs.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
+def text_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Paragraphs of plain texts as lines with boxes."""
+    spans = files.text_spans(read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return spans.select("id", "place", F.round("y0", 9).alias("y0"), F.round("y1", 9).alias("y1"), F.length("text").alias("n_chars"))
+
+
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "documents").where("text is not null").select("doc_id", T.token_count(F.col("text")).alias("tokens"))
 
@@ -107,7 +114,7 @@ def order_edit_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ready_page, has_pages, empty_output, reconcile, upsert_uploads, cascade_delete, pages_replaced, typed_files, dedup_texts, token_counts, entity_list, sentence_counts,
+        ready_page, has_pages, empty_output, reconcile, upsert_uploads, cascade_delete, pages_replaced, typed_files, text_spans, dedup_texts, token_counts, entity_list, sentence_counts,
         chunk_documents, chunk_offsets, line_windows, order_edit_counts,
     )
 }
@@ -117,7 +124,14 @@ _BLANK = r"[\s\x1c-\x1f\x{a0}\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{2
 _JOBS = ", ".join(f"('{k}', '{v}')" for k, v in C.NEXT_JOB.items())
 _TYPES = ", ".join(f"('{k}', '{v}')" for k, v in C.TYPES.items())
 _LINES = r"""l AS (SELECT doc_id::VARCHAR AS doc, unnest(t) AS text, unnest(range(len(t))) AS reading_order FROM (SELECT doc_id, regexp_split_to_array(text, '\n+') AS t FROM documents WHERE text IS NOT NULL))"""
+_ENTITIES = r"""e AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(t, '\d+ U\.S\.C\. § ?\d+[a-z]?'), regexp_extract_all(t, '[A-Z][a-z]+ v\. [A-Z][a-z]+(?: [A-Z][a-z]+)*'),
+    regexp_extract_all(regexp_replace(t, '\. ([A-Z])', '. _\1', 'g'), '\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\b'), regexp_extract_all(t, '\$\d[\d,]*(?:\.\d\d)?'),
+    regexp_extract_all(t, '\b(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4}\b'))) AS entity FROM (SELECT doc_id, text AS t FROM documents))"""
 ORACLES = {
+    "entity_list": f"WITH {_ENTITIES} SELECT DISTINCT doc_id, trim(entity) AS entity FROM e",
+    "text_spans": """WITH p AS (SELECT doc_id AS id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: trim(p)), lambda p: p <> '') AS t FROM documents WHERE text IS NOT NULL),
+        r AS (SELECT id, len(t) AS n, unnest(t) AS text, unnest(range(len(t))) AS place FROM p)
+        SELECT id, place::INT AS place, round(place / n, 9) AS y0, round((place + 1 - CASE WHEN n > 1 THEN 0.2::DOUBLE ELSE 0 END) / n, 9) AS y1, length(text)::INT AS n_chars FROM r""",
     "ready_page": f"WITH {_FILES} SELECT document_id, filename, created_at FROM f WHERE status = 'ready' ORDER BY created_at DESC, document_id LIMIT 20 OFFSET 20",
     "has_pages": f"WITH {_FILES} SELECT document_id, status, document_id IN (SELECT document_id FROM page_extractions WHERE document_id IS NOT NULL) AS has_pages FROM f",
     "empty_output": "SELECT DISTINCT document_id FROM page_extractions p WHERE document_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ocr_spans s WHERE s.document_id = p.document_id AND trim(s.text) <> '')",

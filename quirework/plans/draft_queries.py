@@ -148,6 +148,11 @@ _VALIDATORS = f"WITH {NEWEST}, v AS (SELECT draft_id, e.value AS v FROM outputs,
 ORACLES = {
     "citations_parse": f"WITH {_SEC} SELECT section_id, unnest(c) AS chunk_id, unnest(range(len(c)))::INT AS place FROM (SELECT section_id, regexp_extract_all(ai_text, '{_CITE}', 1) AS c FROM s)",
     "claims_segment": f"WITH {_CLAIMS} SELECT section_id, claim_no::INT AS claim_no, n::INT AS n_chunks, length(claim)::INT AS n_chars FROM claims WHERE claim <> ''",
+    "dangling_citations": f"""WITH {NEWEST}, {_SEC},
+        sup AS (SELECT draft_id, e.value->>'$' AS chunk_id FROM fields, json_each(m, '$.supporting_chunk_ids') e WHERE doc = 'ai' AND json_type(m) = 'OBJECT' AND json_type(m, '$.supporting_chunk_ids') = 'ARRAY'
+                UNION SELECT draft_id, m->>'$.supporting_chunk_ids' FROM fields WHERE doc = 'ai' AND json_type(m) = 'OBJECT' AND json_type(m, '$.supporting_chunk_ids') = 'VARCHAR'),
+        c AS (SELECT draft_id, unnest(regexp_extract_all(ai_text, '{_CITE}', 1)) AS chunk_id FROM s)
+        SELECT draft_id, count(DISTINCT chunk_id) AS n_dangling FROM c WHERE NOT EXISTS (SELECT 1 FROM sup WHERE sup.draft_id = c.draft_id AND sup.chunk_id = c.chunk_id) GROUP BY 1""",
     "groundedness_scores": f"""WITH {_CLAIMS}, x AS (SELECT draft_id, section_id, count(*) AS claims, sum((n > 0)::INT) AS cited FROM claims WHERE claim <> '' GROUP BY 1, 2)
         SELECT draft_id, sum(claims)::BIGINT AS claims, sum(cited)::BIGINT AS cited, round(sum(cited) / sum(claims), 3) AS by_claim, round(avg(cited / claims), 3) AS by_section FROM x GROUP BY 1""",
     "section_checks": f"""WITH {_SEC}, n AS (SELECT *, len(list_filter(regexp_split_to_array(coalesce(ai_text, ''), '{_BLANK}'), lambda w: w <> '')) AS n FROM s)

@@ -116,6 +116,10 @@ def _trigram_list(chunks: str, least: float) -> str:
 _BOTH = f"""{_QUESTIONS}, {_LEXICAL}, {_trigram_list('(SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL)', 0.0)},
     trigram50 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM trigram QUALIFY rank <= 50),
     fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM lexical50 UNION ALL SELECT query_id, id, rank FROM trigram50) GROUP BY ALL)"""
+_PATTERNS = r"""list_concat(regexp_extract_all(t, '\d+ U\.S\.C\. § ?\d+[a-z]?'), regexp_extract_all(t, '[A-Z][a-z]+ v\. [A-Z][a-z]+(?: [A-Z][a-z]+)*'),
+    regexp_extract_all(regexp_replace(t, '\. ([A-Z])', '. _\1', 'g'), '\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\b'), regexp_extract_all(t, '\$\d[\d,]*(?:\.\d\d)?'),
+    regexp_extract_all(t, '\b(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4}\b'))"""
+_NAMED = f"""named AS (SELECT id, unnest(list_distinct(list_transform({_PATTERNS}, lambda x: trim(x)))) AS entity FROM (SELECT doc_id AS id, text AS t FROM documents WHERE text IS NOT NULL))"""
 _DENSE = "round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
 
 ORACLES = {
@@ -133,6 +137,10 @@ ORACLES = {
         SELECT q.edit_id AS query_id, c.edit_id AS id, {_DENSE} AS score, row_number() OVER (PARTITION BY q.edit_id ORDER BY {_DENSE} DESC, c.edit_id) AS rank
         FROM c JOIN c q ON c.template_id = q.template_id AND c.name = q.name AND c.edit_id <> q.edit_id
         WHERE ('0x' || right(q.edit_id, 4))::INT % 50 = 0 QUALIFY rank <= 3""",
+    "entity_overlap": f"""WITH {_NAMED}, asked AS (SELECT query_id, unnest(list_distinct(list_transform({_PATTERNS}, lambda x: lower(trim(x))))) AS entity FROM (SELECT item_id AS query_id, text AS t FROM eval_items WHERE item_id % 50 = 0))
+        SELECT query_id, id, round(count(*) * 0.1::DOUBLE, 9) AS bonus FROM named JOIN asked ON lower(named.entity) = asked.entity GROUP BY 1, 2""",
+    "hybrid_retrieve": f"""WITH {_BOTH}, capped AS (SELECT f.*, d.source AS doc FROM fused f JOIN documents d ON d.doc_id = f.id QUALIFY row_number() OVER (PARTITION BY query_id, d.source ORDER BY score DESC, id) <= 3)
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM capped QUALIFY rank <= 8""",
     "trigram_gate": "SELECT item_id, regexp_matches(text, '[A-Z][a-z]+\\s+[A-Z][a-z]+') OR contains(text, '§') AS run_trigram FROM eval_items",
     "retrieval_eval": f"""WITH {_QUESTIONS}, {_LEXICAL},
         good AS (SELECT query_id, min(rank) AS first FROM lexical50 JOIN documents d ON d.doc_id = id AND d.doc_type = query_id WHERE rank <= 10 GROUP BY 1)
