@@ -117,8 +117,8 @@ _BOTH = f"""{_QUESTIONS}, {_LEXICAL}, {_trigram_list('(SELECT doc_id AS id, text
     trigram50 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM trigram QUALIFY rank <= 50),
     fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM lexical50 UNION ALL SELECT query_id, id, rank FROM trigram50) GROUP BY ALL)"""
 _PATTERNS = r"""list_concat(regexp_extract_all(t, '\d+ U\.S\.C\. § ?\d+[a-z]?'), regexp_extract_all(t, '[A-Z][a-z]+ v\. [A-Z][a-z]+(?: [A-Z][a-z]+)*'),
-    regexp_extract_all(regexp_replace(t, '\. ([A-Z])', '. _\1', 'g'), '\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\b'), regexp_extract_all(t, '\$\d[\d,]*(?:\.\d\d)?'),
-    regexp_extract_all(t, '\b(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4}\b'))"""
+    regexp_extract_all(regexp_replace(regexp_replace(t, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{1FFF}\x{2C00}-\x{2FEF}\x{3040}-\x{D7FF}\x{F900}-\x{FDFF}]', '_', 'g'), '\. ([A-Z])', '. _\1', 'g'), '\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\b'), regexp_extract_all(t, '\$\d[\d,]*(?:\.\d\d)?'),
+    regexp_extract_all(regexp_replace(t, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{1FFF}\x{2C00}-\x{2FEF}\x{3040}-\x{D7FF}\x{F900}-\x{FDFF}]', '_', 'g'), '\b(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4}\b'))"""
 _NAMED = f"""named AS (SELECT id, unnest(list_distinct(list_transform({_PATTERNS}, lambda x: trim(x)))) AS entity FROM (SELECT doc_id AS id, text AS t FROM documents WHERE text IS NOT NULL))"""
 _DENSE = "round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
 

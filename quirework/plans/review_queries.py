@@ -68,7 +68,7 @@ ORACLES = {
         a AS (SELECT value_id, draft_id, {_NORMAL.format('value')} AS v, list_distinct(list_filter(regexp_split_to_array(lower(value), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) >= 3)) AS w FROM f),
         p AS (SELECT a.*, {_NORMAL.format('s.ai_text')} AS t FROM a LEFT JOIN s USING (draft_id))
         SELECT value_id, bool_or(coalesce((contains(t, v) AND v <> '') OR (len(w) > 0 AND len(list_filter(w, lambda x: contains(t, x))) / len(w) >= 0.6), false)) AS grounded FROM p GROUP BY 1""",
-    "signal_terms": rf"""WITH {_SEC}, c AS (SELECT section_id, regexp_replace(ai_text, '\[chunk:[^\]]*\]', '', 'g') AS t FROM s)
+    "signal_terms": rf"""WITH {_SEC}, c AS (SELECT section_id, regexp_replace(regexp_replace(ai_text, '\[chunk:[^\]]*\]', '', 'g'), '[\x{{AA}}\x{{B5}}\x{{BA}}\x{{C0}}-\x{{D6}}\x{{D8}}-\x{{F6}}\x{{F8}}-\x{{1FFF}}\x{{2C00}}-\x{{2FEF}}\x{{3040}}-\x{{D7FF}}\x{{F900}}-\x{{FDFF}}]', '_', 'g') AS t FROM s)
         SELECT section_id, unnest(list_distinct(list_concat(regexp_extract_all(t, '\b[A-Z][a-z]{{2,}}\b'), regexp_extract_all(t, '\b\d[\d,./-]*\d\b')))) AS term FROM c""",
     "new_values": """WITH e AS (SELECT template_id, template_version, user_value->>'$.value' AS rule FROM few_shot_store WHERE field_type = 'field' AND trim(user_value->>'$.value') <> '')
         SELECT template_id, min(rule) AS rule FROM e WHERE template_version >= 2 AND NOT EXISTS (SELECT 1 FROM e k WHERE k.template_version < 2 AND k.template_id = e.template_id AND lower(trim(k.rule)) = lower(trim(e.rule)))
