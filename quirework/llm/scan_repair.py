@@ -200,12 +200,14 @@ def repairs(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     split = cores.select("core", F.explode(F.split("core", r"[^\p{L}\p{N}@(]+")).alias("word")).join(right, "word")
     wrong = split.groupBy("core").agg(F.collect_list(F.struct("word", "right")).alias("swaps"))
     wrong = wrong.select("core", F.aggregate("swaps", F.col("core"), lambda text, swap: F.replace(text, swap["word"], swap["right"])).alias("right"))
-    split_text = F.filter(F.split(F.translate("text", "\t\u00a0", "  "), " "), lambda token: F.length(token) > 1)
-    broken = F.right(F.rtrim("text"), F.lit(1)).isin(*HYPHENS)
-    tokens = body.select("span_id", F.explode(F.when(broken, F.slice(split_text, F.lit(1), F.greatest(F.size(split_text) - 1, F.lit(0)))).otherwise(split_text)).alias("token"))
-    tokens = tokens.withColumn("seen", F.btrim("token", F.lit(_OUTER)))
+    split_text = F.split(F.rtrim(F.translate("text", "\t\u00a0", "  ")), " ")
+    ends_broken = F.right(F.rtrim("text"), F.lit(1)).isin(*HYPHENS)
+    tokens = body.select("span_id", F.explode(F.when(ends_broken, F.slice(split_text, F.lit(1), F.greatest(F.size(split_text) - 1, F.lit(0)))).otherwise(split_text)).alias("token")).where(F.length("token") > 1)
+    # an opening bracket that is never closed is part of the core, be it a misread c or not
     unclosed = F.startswith("token", F.lit("(")) & ~F.contains("token", F.lit(")"))
-    tokens = tokens.withColumn("seen", F.explode(F.when(unclosed, F.array("seen", F.concat(F.lit("("), "seen"))).otherwise(F.array("seen"))))
+    seen = F.btrim("token", F.lit(_OUTER))
+    tokens = tokens.select("span_id", F.when(unclosed, F.concat(F.lit("("), seen)).otherwise(seen).alias("seen"))
+    wrong = wrong.unionByName(wrong.where(~F.startswith("core", F.lit("("))).select(F.concat(F.lit("("), "core").alias("core"), "right"))
     misread = tokens.withColumn("core", F.lower("seen")).join(broadcast_if_small(wrong), "core")
     misread = misread.select("span_id", F.lit("misread").alias("noise_type"), "seen", _in_case_of(F.col("right"), F.col("seen")).alias("fixed"))
     return lines, noise, hyphens.unionByName(misread)

@@ -33,6 +33,8 @@ SAMPLE = 3000
 #: Words of a piece at most.
 PIECE_WORDS = 12
 ROUNDS = 5
+#: Places of pages that are solved together, padding included.
+TOGETHER = 32_768
 #: Share of words in links, tags and menus above which a page is flagged.
 SHARE = 0.5
 
@@ -58,6 +60,21 @@ _BAR = re.compile(r"^[|»•›>·/\\]+$")
 SIZES = (4, 3, 3, 4, 4, 6, 3, 4)
 
 
+class TokenFacts(dict):
+    """What a token is, kept for tokens seen before: link, tag, label, bar and figure as 1 in fields of ten bits of one number."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        link = _LINK.search(token) is not None
+        facts = (link, _TAG.search(token) is not None, _LABEL.search(token) is not None, _BAR.match(token) is not None, not link and _FIGURE.search(token) is not None)
+        value = self[token] = sum(int(fact) << 10 * k for k, fact in enumerate(facts))
+        return value
+
+
+_facts = TokenFacts()
+
+
 def pieces(text: str) -> list[str]:
     """Lines, long ones cut at sentence ends and then into runs of PIECE_WORDS words."""
     found = []
@@ -82,12 +99,10 @@ class Page:
         for i, (piece, words) in enumerate(zip(self.pieces, self.words)):
             tokens = piece.split()
             n = len(tokens)
-            links = sum(1 for t in tokens if _LINK.search(t)) / n
-            tags = sum(1 for t in tokens if _TAG.search(t)) / n
-            labels = sum(1 for t in tokens if _LABEL.search(t)) / n
+            counts = sum(map(_facts.__getitem__, tokens))
+            links, tags, labels, bars, figures = ((counts >> 10 * k & 1023) / n for k in range(5))
             function = sum(1 for w in words if w in FUNCTION_WORDS) / max(1, len(words))
-            repeated = sum(1 for pair in zip(words, words[1:]) if pair in often) / max(1, len(words) - 1)
-            bars = sum(1 for t in tokens if _BAR.match(t)) / n
+            repeated = sum(1 for pair in zip(words, words[1:]) if pair in often) / max(1, len(words) - 1) if often else 0
             self.features[i, :5] = (
                 0 if links == 0 else 1 if links < 0.15 else 2 if links < 0.35 else 3,
                 0 if tags == 0 else 1 if tags < 0.25 else 2,
@@ -95,7 +110,6 @@ class Page:
                 0 if function == 0 else 1 if function < 0.12 else 2 if function < 0.3 else 3,
                 0 if repeated == 0 else 1 if repeated < 0.34 else 2 if repeated < 0.67 else 3,
             )
-            figures = sum(1 for t in tokens if _FIGURE.search(t) and not _LINK.search(t)) / n
             self.features[i, 6] = 0 if bars == 0 else 1 if bars < 0.2 else 2
             self.features[i, 7] = 0 if figures == 0 else 1 if figures < 0.15 else 2 if figures < 0.3 else 3
 
@@ -137,25 +151,43 @@ class Model:
         logs = sum(np.log(table[:, features[:, k]]).T for k, table in enumerate(self.emit))
         return np.exp(logs - logs.max(axis=1, keepdims=True))
 
-    def posterior(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """State probabilities of each piece, and expected steps, by forward and backward passes."""
-        like = self.likelihood(features)
-        n = len(like)
-        ahead, back = np.zeros((n, len(STATES))), np.ones((n, len(STATES)))
-        ahead[0] = self.start * like[0]
-        ahead[0] /= ahead[0].sum()
-        for i in range(1, n):
-            ahead[i] = (ahead[i - 1] @ self.step) * like[i]
-            ahead[i] /= ahead[i].sum()
+    def posteriors(self, observed: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """State probabilities of the pieces of each page, and expected steps over all, by forward and backward passes.
+
+        Pages of similar length are solved together; places after a page's end
+        say nothing, so that they change no result.
+        """
+        results: list[np.ndarray] = [np.zeros((0, len(STATES)))] * len(observed)
         steps = np.zeros((len(STATES), len(STATES)))
-        for i in range(n - 2, -1, -1):
-            after = like[i + 1] * back[i + 1]
-            both = ahead[i][:, None] * self.step * after[None, :]
-            steps += both / both.sum()
-            back[i] = self.step @ after
-            back[i] /= back[i].sum()
-        states = ahead * back
-        return states / states.sum(axis=1, keepdims=True), steps
+        order = [i for i in np.argsort([len(f) for f in observed], kind="stable") if len(observed[i])]
+        start = 0
+        for stop in range(1, len(order) + 1):
+            if stop < len(order) and (stop + 1 - start) * len(observed[order[stop]]) <= TOGETHER:
+                continue
+            group, start = order[start:stop], stop
+            longest = len(observed[group[-1]])
+            like = np.ones((len(group), longest, len(STATES)))
+            filled = np.zeros((len(group), longest), dtype=bool)
+            for k, i in enumerate(group):
+                like[k, : len(observed[i])] = self.likelihood(observed[i])
+                filled[k, : len(observed[i])] = True
+            ahead, back = np.empty_like(like), np.ones_like(like)
+            ahead[:, 0] = self.start * like[:, 0]
+            ahead[:, 0] /= ahead[:, 0].sum(axis=1, keepdims=True)
+            for t in range(1, longest):
+                ahead[:, t] = (ahead[:, t - 1] @ self.step) * like[:, t]
+                ahead[:, t] /= ahead[:, t].sum(axis=1, keepdims=True)
+            for t in range(longest - 2, -1, -1):
+                after = like[:, t + 1] * back[:, t + 1]
+                both = ahead[:, t, :, None] * self.step * after[:, None, :]
+                steps += (both / both.sum(axis=(1, 2), keepdims=True))[filled[:, t + 1]].sum(axis=0)
+                back[:, t] = after @ self.step.T
+                back[:, t] /= back[:, t].sum(axis=1, keepdims=True)
+            states = ahead * back
+            states /= states.sum(axis=2, keepdims=True)
+            for k, i in enumerate(group):
+                results[i] = states[k, : len(observed[i])]
+        return results, steps
 
     def fit(self, observed: list[np.ndarray], weights: list[np.ndarray]) -> None:
         """Emissions (and, from the second call on, steps) of the weighted states."""
@@ -166,13 +198,13 @@ class Model:
                     counts[state] += np.bincount(features[:, k], weights=states[:, state], minlength=size)
             self.emit[k] = counts / counts.sum(axis=1, keepdims=True)
 
-    def share(self, page: Page) -> tuple[float, list[int]]:
-        """Share of words in links, tags and menus, and the state of each piece."""
-        if not len(page.pieces):
-            return 0.0, []
-        states, _ = self.posterior(self.observe(page))
-        best = states.argmax(axis=1)
-        return float(page.sizes[np.isin(best, STUFFED)].sum() / page.sizes.sum()), best.tolist()
+    def shares(self, pages: list[Page]) -> list[tuple[float, list[int]]]:
+        """Share of words in links, tags and menus, and the state of each piece, of every page."""
+        result = []
+        for page, states in zip(pages, self.posteriors([self.observe(page) for page in pages])[0]):
+            best = states.argmax(axis=1) if len(states) else np.zeros(0, dtype=np.int64)
+            result.append((float(page.sizes[np.isin(best, STUFFED)].sum() / max(1, page.sizes.sum())), best.tolist()))
+        return result
 
 
 def word_odds(pages: list[Page], states: list[np.ndarray]) -> dict[str, float]:
@@ -200,10 +232,10 @@ def train(texts: list[str]) -> Model:
     weights = [np.where(own[:, None] < 0, 0.0, np.eye(len(STATES))[own]) for own in seeds]
     model.fit(observed, weights)
     for _ in range(ROUNDS):
-        results = [model.posterior(features) for features in observed]
+        results, steps = model.posteriors(observed)
         # seeds keep their side (stuffed or not), all else is free
         weights = []
-        for own, (states, _) in zip(seeds, results):
+        for own, states in zip(seeds, results):
             allowed = np.ones((len(own), len(STATES)))
             stuffed = np.isin(np.arange(len(STATES)), STUFFED)
             allowed[np.isin(own, (PROSE, RECORD))] = np.where(stuffed, 1e-3, 1.0)
@@ -212,7 +244,7 @@ def train(texts: list[str]) -> Model:
             weights.append(kept / kept.sum(axis=1, keepdims=True))
         model.start = np.mean([w[0] for w in weights], axis=0) + 0.01
         model.start /= model.start.sum()
-        steps = sum(steps for _, steps in results) + 1.0
+        steps = steps + 1.0
         model.step = steps / steps.sum(axis=1, keepdims=True)
         model.odds = word_odds(pages, [np.where(w.max(axis=1) > 0.9, w.argmax(axis=1), -1) for w in weights])
         observed = [model.observe(page).copy() for page in pages]
@@ -241,10 +273,11 @@ def page_shares(documents: DataFrame) -> DataFrame:
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text in batch.itertuples(index=False):
-                page = Page(text if isinstance(text, str) else "")
-                share, states = model.value.share(page)
-                rows.append((doc, int(page.sizes.sum()), share, [STATES[s] for s in states]))
+            for first in range(0, len(batch), 500):
+                part = batch.iloc[first : first + 500]
+                pages = [Page(text if isinstance(text, str) else "") for text in part["text"]]
+                for doc, page, (share, states) in zip(part["doc_id"], pages, model.value.shares(pages)):
+                    rows.append((doc, int(page.sizes.sum()), share, [STATES[s] for s in states]))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "other_share", "labels"])
 
     return documents.select("doc_id", "text").mapInPandas(label, "doc_id bigint, n_words bigint, other_share double, labels array<string>")
