@@ -136,7 +136,7 @@ def corpus(seed: int) -> list[tuple[int, str, bool]]:
 def test_stuffed_pages_on_held_out_texts(spark):
     model = stuffed_pages.train([t for _, t, _ in corpus(1)])
     rows = corpus(2)
-    right = sum((model.share(stuffed_pages.Page(t))[0] > 0.5) == stuffed for _, t, stuffed in rows)
+    right = sum((model.shares([stuffed_pages.Page(t)])[0][0] > 0.5) == stuffed for _, t, stuffed in rows)
     assert right / len(rows) >= 0.97
 
 
