@@ -9,7 +9,7 @@ from quirework.functions import text as T
 from quirework.operators import catalogs as C
 from quirework.operators import chunking
 from quirework.sources import files
-from quirework.sources.tables import read_table
+from quirework.sources.tables import read_spread, read_table
 
 NOW = "2024-02-15 00:00:00"
 
@@ -83,7 +83,7 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def entity_list(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.entities_of(read_table(spark, folder, "documents")).select("doc_id", "entity").distinct()
+    return chunking.entities_of(read_spread(spark, folder, "documents")).select("doc_id", "entity").distinct()
 
 
 def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,7 +91,7 @@ def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.chunk_blocks(chunking.paragraph_blocks(read_table(spark, folder, "documents"))).withColumn("section_path", F.array_join("section_path", " > "))
+    return chunking.chunk_blocks(chunking.paragraph_blocks(read_spread(spark, folder, "documents"))).withColumn("section_path", F.array_join("section_path", " > "))
 
 
 def chunk_offsets(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quirework.operators import nested
 from quirework.plans.storage import shared_folder
-from quirework.sources.tables import read_table
+from quirework.sources.tables import read_spread
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.found(read_table(spark, folder, "drafts"))
+    return nested.found(read_spread(spark, folder, "drafts"))
 
 
 def p6_parties(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,7 +18,7 @@ def p6_parties(spark: SparkSession, folder: str) -> DataFrame:
     import uuid
 
     path = f"{shared_folder(spark)}/quirework-{uuid.uuid4().hex}"
-    nested.write_tables(nested.shred(read_table(spark, folder, "drafts")), path)
+    nested.write_tables(nested.shred(read_spread(spark, folder, "drafts")), path)
     parties, fields = nested.read_flat(spark, path, "party"), nested.read_flat(spark, path, "field")
     parent = fields.select("draft_id", "doc", "row_key").withColumnRenamed("row_key", "parent_key")
     return parties.join(parent, ["draft_id", "doc", "parent_key"]).select("draft_id", "doc", "name", "pos", "p_name", "p_role").distinct()

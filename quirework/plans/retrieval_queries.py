@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from quirework.functions import text as T
 from quirework.operators import search
-from quirework.sources.tables import read_table
+from quirework.sources.tables import read_spread, read_table
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc"), "text")
+    return read_spread(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc"), "text")
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
