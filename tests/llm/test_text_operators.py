@@ -22,7 +22,7 @@ def specs(spark, *rows):
 
 
 def test_split_limits_overlaps_and_cases(spark):
-    text = " ".join(f"w{i}." if i % 7 == 6 else f"w{i}" for i in range(100)) + "\n\nTail here"
+    text = " ".join(f"W{i}." if i % 7 == 6 else f"W{i}" for i in range(100)) + "\n\nTail here"
     own = specs(spark, ("t", 1, "s", 5), ("t", 3, "s", 30), ("t", 2, "s", 500), ("t", 1, "n", 5), ("t", 2, "n", None))
     rows = [("a", "t", "s", text), ("a", "t", "s", text), ("b", "t", "s", "short"), ("c", "t", "n", text), ("d", None, "s", text), ("e", "t", "s", None), ("f", "t", "s", ""), ("g", "x", "s", text)]
     got = split_pieces.split_oversized(pages(spark, *rows), own).orderBy("piece_no").collect()
