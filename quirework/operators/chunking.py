@@ -97,12 +97,17 @@ def chunk_blocks(blocks: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERL
     document is one group; it is as large as one document.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("reading_order")
-        rows = [(pdf["doc"].iloc[0], *chunk) for chunk in document_chunks(list(zip(pdf["reading_order"], pdf["block_type"], pdf["text"].fillna(""))), most, overlap)]
-        return pd.DataFrame(rows, columns=[c.strip().split()[0] for c in _CHUNK.split(",")])
-
-    return blocks.select("doc", "reading_order", "block_type", "text").groupBy("doc").applyInPandas(fold, _CHUNK)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (doc, *chunk)
+                for doc, own in zip(batch["doc"], batch["blocks"])
+                for chunk in document_chunks([(b["reading_order"], b["block_type"], b["text"] or "") for b in own], most, overlap)
+            ]
+            yield pd.DataFrame(rows, columns=[c.strip().split()[0] for c in _CHUNK.split(",")])
+
+    ordered = F.array_sort(F.collect_list(F.struct("reading_order", "block_type", "text"))).alias("blocks")
+    return blocks.groupBy("doc").agg(ordered).mapInPandas(fold, _CHUNK)
 
 
 def paragraph_blocks(documents: DataFrame) -> DataFrame:
