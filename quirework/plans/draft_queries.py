@@ -69,7 +69,8 @@ def rule_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def edit_changes(spark: SparkSession, folder: str) -> DataFrame:
-    return D.value_changes(_edits(spark, folder).where("not ai_value rlike '[^\\\\x00-\\\\x7F]|u00' and not user_value rlike '[^\\\\x00-\\\\x7F]|u00'"))
+    """All edits, whatever their letters and nulls; the statement below has only the ones in plain ASCII without nulls, as DuckDB counts bytes."""
+    return D.value_changes(_edits(spark, folder))
 
 
 def edit_counts(spark: SparkSession, folder: str) -> DataFrame:
