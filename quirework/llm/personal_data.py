@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.plans.storage import materialize
+from quirework.plans.storage import broadcast_if_small, materialize
 
 LABELS = ("other", "email", "phone", "id_number", "address", "name")
 OTHER, EMAIL, PHONE, ID, ADDRESS, NAME = range(6)
@@ -40,11 +40,13 @@ PASSES, BATCH, ROUNDS = 8, 64, 2
 SHARED, MOST = 0.7, 2.5
 #: Log probability of being no part of an item above which a token takes no part in the messages.
 SURE = -1e-3
+#: Log probability of being no part of an item up to which a token makes windows at its other places in the document. What is likelier no item tells its group nothing in favour of one.
+MAYBE = -0.1
 #: Places of windows that are solved together, padding included.
 PADDED = 16_384
 #: Tokens around a trigger that belong to its window.
 AROUND = 9
-#: Words of the lexicon at most; beyond it the most frequent are kept as a feature (the patterns' contexts still work).
+#: Words of the lexicon at most; beyond it the most frequent are kept as a feature. Rarer names make windows by a join.
 LEXICON = 200_000
 
 #: Street types, labels, titles and company endings of the corpus.
@@ -321,14 +323,26 @@ def _shape(word: str) -> str:
     return word
 
 
-def windows(text: str, flags: Flags) -> list[Tokens]:
-    """Windows of tokens around the places where personal data can be."""
+def keys_of(token: str) -> set[str]:
+    """Keys that a capitalised token is looked for by: its own and that of its part before a hyphen."""
+    return {key for part in (token, token.partition("-")[0]) if len(key := alike(part)) >= 2} if token[0].isupper() else set()
+
+
+def missed_keys(text: str, found: list[Tokens], flags: Flags) -> list[str]:
+    """Keys of the capitalised tokens outside of the windows that the lexicon lacks."""
+    inside = [(window.spans[0][0], window.spans[-1][1]) for window in found]
+    tokens = {m[0] for m in _TOKEN.finditer(text) if m[0][0].isupper() and not any(a <= m.start() < b for a, b in inside)}
+    return sorted(key for key in set().union(*map(keys_of, tokens)) if key not in flags.lexicon)
+
+
+def windows(text: str, flags: Flags, wanted: frozenset[str] = frozenset()) -> list[Tokens]:
+    """Windows of tokens around the places where personal data can be, among them the tokens with a key in ``wanted``."""
     held, lexicon = flags.of(text), flags.lexicon
-    if not held & (IS_NAME | IS_EMAIL | IS_NUMBER | IS_STREET | IS_CONTEXT):
+    if not wanted and not held & (IS_NAME | IS_EMAIL | IS_NUMBER | IS_STREET | IS_CONTEXT):
         return []
     formats = [(label, *m.span()) for label, need, pattern in FORMATS if held & need for m in pattern.finditer(text)]
     contexts = [m.span() for m in _CONTEXT.finditer(text)] if held & IS_CONTEXT else []
-    if not (formats or contexts or held & IS_NAME):
+    if not (formats or contexts or wanted or held & IS_NAME):
         return []
     spans = [m.span() for m in _TOKEN.finditer(text)]
     hot = np.zeros(len(spans), dtype=bool)
@@ -337,7 +351,7 @@ def windows(text: str, flags: Flags) -> list[Tokens]:
         i, j = np.searchsorted(starts, [start, end])
         hot[max(0, i - 1) : j + 1] = True
     for i, (a, b) in enumerate(spans):
-        if text[a].isupper() and alike(text[a:b].partition("-")[0]) in lexicon:
+        if text[a].isupper() and (alike(text[a:b].partition("-")[0]) in lexicon or wanted and not wanted.isdisjoint(keys_of(text[a:b]))):
             hot[i] = True
     found, i = [], 0
     wide = np.convolve(hot, np.ones(2 * AROUND + 1), "same") > 0 if len(spans) > 2 * AROUND + 1 else np.full(len(spans), hot.any())
@@ -464,10 +478,9 @@ def _parts(window: Tokens, labels: np.ndarray, size: int = 80) -> Iterator[tuple
         yield part, labels[at : at + size]
 
 
-def trained_model(texts: DataFrame, totals: dict[str, int]) -> Model:
-    """The lexicon over all texts and the chain trained on a bounded sample of windows; ``totals`` has the rows of each source."""
-    words = name_words(texts).where("n >= 2")
-    lexicon = {row.word: int(row.n) for row in words.orderBy(F.desc("n"), "word").limit(LEXICON).collect()}
+def trained_model(texts: DataFrame, names: DataFrame, totals: dict[str, int]) -> Model:
+    """The lexicon over all ``names`` and the chain trained on a bounded sample of windows; ``totals`` has the rows of each source."""
+    lexicon = {row.word: int(row.n) for row in names.where("n >= 2").orderBy(F.desc("n"), "word").limit(LEXICON).collect()}
     model, flags = Model(lexicon), Flags(lexicon)
     turn = F.pmod(F.xxhash64("row_id"), F.lit(1 << 32)).alias("turn")
     limits = {src: int(min(1.0, SAMPLE_TEXTS / max(total, 1)) * (1 << 32)) for src, total in totals.items()}
@@ -522,13 +535,15 @@ def source_texts(spans: DataFrame, sections: DataFrame) -> DataFrame:
     return both.select("src", "row_id", F.xxhash64(F.coalesce("doc", "row_id")).alias("doc"), "text")
 
 
-_STATE = "src string, row_id string, doc bigint, row bigint, start int, text string, ends array<int>, unary binary, sent array<struct<at: int, key: string, logs: array<double>>>"
+_STATE = "src string, row_id string, doc bigint, row bigint, start int, text string, ends array<int>, unary binary, sent array<struct<at: int, key: string, logs: array<double>>>, missed array<string>"
 
 
 def chain_states(texts: DataFrame, model: Model) -> DataFrame:
     """Every window with its unary scores and the beliefs that its tokens send first.
 
-    Tokens are (start, end) pairs in ``ends``, scores half floats.
+    Tokens are (start, end) pairs in ``ends``, scores half floats. Texts with
+    keys in ``wanted`` get windows at these too; of the others the keys outside
+    of windows come as rows with ``missed`` alone.
     """
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
@@ -539,10 +554,16 @@ def chain_states(texts: DataFrame, model: Model) -> DataFrame:
             rows = []
             for first in range(0, len(batch), 1000):
                 part = batch.iloc[first : first + 1000]
-                found = [(key, window) for key in part.itertuples(index=False) for window in windows(key[3], flags)]
+                found = []
+                for *key, wanted in part.itertuples(index=False):
+                    named = frozenset() if wanted is None else frozenset(wanted)
+                    own_windows = windows(key[3], flags, named)
+                    found += [((key, named), window) for window in own_windows]
+                    if wanted is None and (missed := missed_keys(key[3], own_windows, flags)):
+                        rows.append((*key[:3], 0, -1, "", [], b"", [], missed))
                 scored = zip(found, own.unary([w for _, w in found]))
-                # a window that is surely free of personal data needs no messages
-                kept = [(key, window, scores) for (key, window), scores in scored if (scores[:, 1:].max(axis=1) - scores[:, OTHER] > -4).any()]
+                # a window that is surely free of personal data needs no messages, unless others of its document may tell it otherwise
+                kept = [(key, window, scores) for ((key, named), window), scores in scored if (scores[:, 1:].max(axis=1) - scores[:, OTHER] > -4).any() or named and any(not named.isdisjoint(keys_of(key[3][a:b])) for a, b in window.spans)]
                 order = np.argsort([len(scores) for _, _, scores in kept], kind="stable")
                 for group in _groups([len(kept[i][2]) for i in order], order):
                     array, filled = _padded([kept[i][2] for i in group])
@@ -551,13 +572,32 @@ def chain_states(texts: DataFrame, model: Model) -> DataFrame:
                         (src, row_id, doc, text), window, scores = kept[i]
                         begin, end = window.spans[0][0], window.spans[-1][1]
                         sent = [{"at": at, "key": key, "logs": message} for at, key, message in _sent(text, window.spans, logs[k], {})]
-                        rows.append((src, row_id, doc, 0, begin, text[begin:end], [x - begin for span in window.spans for x in span], scores.astype(np.float16).tobytes(), sent))
-            yield pd.DataFrame(rows, columns=["src", "row_id", "doc", "row", "start", "text", "ends", "unary", "sent"])
+                        rows.append((src, row_id, doc, 0, begin, text[begin:end], [x - begin for span in window.spans for x in span], scores.astype(np.float16).tobytes(), sent, None))
+            yield pd.DataFrame(rows, columns=["src", "row_id", "doc", "row", "start", "text", "ends", "unary", "sent", "missed"])
 
-    found = texts.select("src", "row_id", "doc", "text").mapInPandas(states, _STATE)
+    found = texts.select("src", "row_id", "doc", "text", "wanted").mapInPandas(states, _STATE)
     return found.dropDuplicates(["src", "row_id", "start"]).withColumn("row", F.xxhash64("src", "row_id", "start"))
 
 
+def all_states(texts: DataFrame, names: DataFrame, model: Model) -> DataFrame:
+    """The windows of all texts, also around names that the lexicon lacks.
+
+    A capitalised word makes a window if it stands as a name in a clear context
+    of any text, be it once, or if it may be part of an item in another window
+    of its document.
+    """
+    first = materialize(chain_states(texts.withColumn("wanted", F.lit(None).cast("array<string>")), model))
+    states = first.where("missed is null")
+    open_keys = first.where("missed is not null").select("src", "row_id", "doc", F.explode("missed").alias("key"))
+    likely = states.select("doc", F.explode("sent").alias("s")).where(F.col("s.logs")[OTHER] <= MAYBE).select("doc", "s.key").distinct()
+    here = open_keys.join(broadcast_if_small(materialize(likely)), ["doc", "key"])
+    anywhere = open_keys.join(broadcast_if_small(names.select(F.col("word").alias("key"))), "key")
+    hits = here.select("src", "row_id", "key").unionByName(anywhere.select("src", "row_id", "key"))
+    wanted = broadcast_if_small(materialize(hits.groupBy("src", "row_id").agg(F.collect_set("key").alias("wanted"))))
+    again = chain_states(texts.join(wanted, ["src", "row_id"]), model)
+    return materialize(states.join(wanted, ["src", "row_id"], "left_anti").unionByName(again).drop("missed"))
+
+
 def _groups(lengths: list[int], order: np.ndarray) -> Iterator[np.ndarray]:
     """Windows of similar lengths whose padded scores stay small together."""
     start = 0
@@ -628,9 +668,10 @@ def find_personal_data(spans: DataFrame, sections: DataFrame) -> DataFrame:
     ignored. A row without a document is a document of its own.
     """
     texts = source_texts(spans, sections)
-    model = trained_model(texts, {"ocr_spans": spans.count(), "draft_sections": sections.count()})
+    names = materialize(name_words(texts))
+    model = trained_model(texts, names, {"ocr_spans": spans.count(), "draft_sections": sections.count()})
     steps = model.steps
-    states = materialize(chain_states(texts, model))
+    states = all_states(texts, names, model)
     messages = None
     for _ in range(ROUNDS):
         messages = _exchange(states, messages, steps)

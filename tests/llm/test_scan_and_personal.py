@@ -120,6 +120,21 @@ def test_names_are_carried_to_unclear_places(spark):
     assert ("clear", "Zelmira Quandt") in got
 
 
+def test_rare_names_make_windows_in_their_document(spark):
+    rows = texts(3, 300) + [("clear", "Signed by Zelmira Quandt for Marby Title LLC on 3 May 2020.", set()), ("far", "The view of Zelmira Quandt was noted.", set()), ("plain", "The view of Many Others was noted.", set())]
+    spans = spark.createDataFrame([(i, "one", t) for i, t, _ in rows], "span_id string, document_id string, text string")
+    sections = spark.createDataFrame([], "section_id string, draft_id string, final_text string")
+    every = personal_data.source_texts(spans, sections)
+    names = personal_data.name_words(every)
+    model = personal_data.trained_model(every, names, {"ocr_spans": len(rows), "draft_sections": 0})
+    assert "quandt" not in model.lexicon
+    seen = {r.row_id: r.text for r in personal_data.all_states(every, names, model).collect()}
+    assert "Zelmira Quandt" in seen["far"] and "plain" not in seen
+    got = {(r.row_id, r.value) for r in personal_data.found(spans, sections).where("pii_type = 'name'").collect()}
+    assert ("clear", "Zelmira Quandt") in got
+    assert any(i == "far" and "Quandt" in value for i, value in got)
+
+
 def test_personal_data_of_nothing(spark):
     spans, sections = frames(spark, texts(1, 6))
     assert personal_data.found(spans.limit(0), sections.limit(0)).count() == 0
