@@ -27,7 +27,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return scan_repair.clean_pages(read_spread(spark, folder, "ocr_spans"))
+    return scan_repair.clean_pages(read_spread(spark, folder, "ocr_spans"), read_spread(spark, folder, "page_extractions"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -40,6 +40,8 @@ NEXT_PAGES = 4
 PAGE_LETTERS = 16
 #: Longest line that can be a header or footer.
 HEADER_CHARS = 300
+#: A page text with a longer line is not cut where the lines of the page end.
+SCAN_LINE_CHARS = 200
 #: One differing letter is allowed a header for so many letters.
 LETTERS_PER_ERROR = 8
 
@@ -225,12 +227,55 @@ def found(spans: DataFrame) -> DataFrame:
     return edges.unionByName(fixes.select("span_id", "noise_type", "fixed")).distinct()
 
 
-def clean_pages(spans: DataFrame) -> DataFrame:
+def text_lines(pages: DataFrame, spans: DataFrame) -> DataFrame:
+    """The lines of the newest text of each page that has no spans with a text, as spans.
+
+    Where lines are joined by blanks, a text is cut only after broken words.
+    Boxes are in lines and shares of the longest line.
+    """
+    seen = spans.where(r"span_id is not null and text rlike '\\S'").select(F.coalesce("document_id", "span_id").alias("document_id"), F.coalesce("page_number", F.lit(-1)).alias("page_number")).distinct()
+    key = [F.coalesce("document_id", "extraction_id").alias("document_id"), F.coalesce("page_num", F.lit(-1)).alias("page_number")]
+    newest = pages.where(r"extraction_id is not null and full_text rlike '\\S'").groupBy(*key).agg(F.max(F.struct("created_at", "extraction_id", "full_text", "source")).alias("p"))
+    alone = newest.join(seen, ["document_id", "page_number"], "left_anti").select("document_id", "page_number", "p.extraction_id", "p.full_text", "p.source")
+    cuts = F.regexp_replace("full_text", rf"(?<=\p{{L}}[{HYPHENS}]) +(?=\p{{Ll}})(?!(?:and|or|to|und|oder)\b)", "\n")
+    cut = alone.withColumn("texts", F.split(F.when(F.trim("full_text").contains("\n"), F.col("full_text")).otherwise(cuts), r"\r?\n"))
+    cut = cut.withColumn("longest", F.array_max(F.transform("texts", F.length))).withColumn("step", F.when(F.col("longest") > SCAN_LINE_CHARS, 2.0).otherwise(1.0))
+    lines = cut.select("*", F.posexplode("texts").alias("n", "text")).where(r"text rlike '\\S'")
+    return lines.select(F.concat_ws(":", F.when(F.trim("full_text").contains("\n"), "lines").otherwise("blanks"), "extraction_id", "n").alias("span_id"), "document_id", "page_number", "text", F.lit(0.0).alias("x0"), (F.length("text") / F.col("longest")).alias("x1"), (F.col("n") * F.col("step")).alias("y0"), (F.col("n") * F.col("step") + 0.4).alias("y1"), "source")
+
+
+def _without_inline_noise(pages: DataFrame, lines: DataFrame, noise: DataFrame) -> DataFrame:
+    """Page texts whose lines were joined by blanks, without their document's headers and their page number at either end."""
+    heads = lines.join(noise.where("noise_type = 'header'").select("span_id"), "span_id")
+    bare = F.lower(F.trim(F.regexp_replace(F.regexp_replace("text", PAGE_AT_EITHER_END, ""), r"\s+", " ")))
+    heads = heads.select("doc", bare.alias("head")).where("head <> ''").groupBy("doc").agg(F.collect_set("head").alias("heads"))
+    mark = F.concat(F.lit(r"[\[(\-–—~|*•\s]*(?:\b(?:page|pg\.?|p\.|seite|página|pagina))?\s*"), F.col("page").cast("string"), F.lit(r"(?:\s*(?:of|/|von|de|sur)\s*\d+)?[\])\-–—~|*•\s]*"))
+    number_first = F.concat(F.lit(r"(?i)^(?=page|pg|p\.|seite|p[áa]gina|[\[(\-–—~|*•])"), mark, F.lit(r"(?<=[\s\])\-–—~|*•])(?=\S)"))
+    number_last = F.concat(F.lit(r"(?i)\s+"), mark, F.lit("$"))
+
+    def off(text: Column, head: Column) -> Column:
+        begins = F.startswith(F.lower(text), F.concat(head, F.lit(" ")))
+        ends = F.endswith(F.lower(text), F.concat(F.lit(" "), head))
+        return F.when(begins, F.substring(text, F.length(head) + 2, F.length(text))).when(ends, F.substring(text, F.lit(1), F.length(text) - F.length(head) - 1)).otherwise(text)
+
+    text = F.trim(F.regexp_replace(F.regexp_replace("text", number_first, ""), number_last, ""))
+    text = F.coalesce(F.aggregate("heads", text, off), text)
+    text = F.trim(F.regexp_replace(text, number_last, ""))
+    return pages.join(heads, "doc", "left").withColumn("text", F.when(F.col("inline"), text).otherwise(F.col("text")))
+
+
+def clean_pages(spans: DataFrame, page_texts: DataFrame | None = None) -> DataFrame:
     """document_id, page_number, text: each page in continuous paragraphs, without header, footer and page number.
 
+    Pages that have no spans come from ``page_texts`` and are repaired with the
+    counts over both.
+
     A paragraph ends where a line stops well before the right edge of its page
     or where the gap to the next line is much wider than the line is high.
     """
+    if page_texts is not None:
+        columns = ["span_id", "document_id", "page_number", "text", "x0", "x1", "y0", "y1", "source"]
+        spans = spans.select(*columns).unionByName(materialize(text_lines(page_texts, spans)))
     lines, noise, fixes = repairs(spans)
     swaps = fixes.where("noise_type = 'misread'").groupBy("span_id").agg(F.collect_set(F.struct("seen", "fixed")).alias("swaps"))
     joins = fixes.where("noise_type = 'hyphen'").groupBy("span_id").agg(F.first("fixed").alias("whole"))
@@ -245,6 +290,9 @@ def clean_pages(spans: DataFrame) -> DataFrame:
     height = F.col("y1") - F.col("y0")
     ends = (F.col("x1") < width - 0.15) | (F.lead("y0").over(order) - F.col("y1") > 2 * height)
     body = body.withColumn("stop", F.when(F.coalesce(ends, F.lit(False)) & F.col("whole").isNull(), F.lit("\n\n")).otherwise(F.lit(" ")))
-    pages = body.where("text <> ''").groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("top", "text", "stop"))).alias("parts"))
+    pages = body.where("text <> ''").groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("top", "text", "stop"))).alias("parts"), F.bool_and(F.startswith("span_id", F.lit("blanks:")) & F.col("scanned")).alias("inline"))
     whole = F.aggregate("parts", F.lit(""), lambda t, p: F.concat(t, p["text"], p["stop"]))
-    return pages.select(F.col("doc").alias("document_id"), F.col("page").alias("page_number"), F.trim(F.regexp_replace(whole, r"\s+$", "")).alias("text"))
+    pages = pages.select("doc", "page", "inline", F.trim(F.regexp_replace(whole, r"\s+$", "")).alias("text"))
+    if page_texts is not None:
+        pages = _without_inline_noise(pages, lines, noise).where("text <> ''")
+    return pages.select(F.col("doc").alias("document_id"), F.col("page").alias("page_number"), "text")

@@ -48,6 +48,23 @@ def test_noise_of_scanned_pages(spark):
     assert "The mortgage was recorded" in pages["e", 2] and "claimant," in pages["e", 2]
 
 
+def test_pages_without_spans_come_from_their_text(spark):
+    """Both joinings of lines; a page with spans keeps these."""
+    body = ["The mortg@gc was recorded and the", "clairnant served a notice of the mort-", "gage on the carrier in this place."]
+    head = "IN THE KELFORD COUNTY COURT"
+    pages = [
+        ("x5", "d", 15, "\n".join([head, *body, "- 15 -"]), "vlm", 2), ("x5old", "d", 15, "old", "vlm", 1), ("x6", "d", 16, " ".join([head, *body, "- 16 -"]), "vlm_budget_exceeded", 1), ("x1", "d", 1, "not taken", "vlm", 1),
+        ("n", "n", 1, "A plain complaint.\n\nThe carrier.", "pdfplumber", 1), ("nil", "z", 1, None, "vlm", 1), ("blank", "z", 2, " \n ", "vlm", 1), ("solo", None, None, "Filed on 6 May 2020", "vlm", 1),
+    ]
+    texts = spark.createDataFrame(pages, "extraction_id string, document_id string, page_num int, full_text string, source string, created_at int")
+    got = {(r.document_id, r.page_number): r.text for r in scan_repair.clean_pages(lines(spark, scanned(8)), texts).collect()}
+    clean = "The mortgage was recorded and the claimant served a notice of the mortgage on the carrier in this place."
+    assert " ".join(got["d", 15].split()) == clean and " ".join(got["d", 16].split()) == clean
+    assert "not taken" not in got["d", 1]
+    assert got["n", 1] == "A plain complaint.\n\nThe carrier." and got["solo", -1] == "Filed on 6 May 2020"
+    assert set(got) == {("d", p) for p in (*range(1, 9), 15, 16)} | {("n", 1), ("solo", -1)}
+
+
 def test_scan_repair_of_nothing(spark):
     assert scan_repair.found(lines(spark, scanned()).limit(0)).count() == 0
 
