@@ -9,8 +9,13 @@ rounds of loopy message passing carry the label of a name in a clear context
 even a group that holds a third of all tokens is only aggregated.
 
 The chain is trained on a bounded sample of windows that exact patterns label
-(there are no labels in the data); how often a word stands as a name in clear
-contexts is counted over all texts and enters as a feature.
+(there are no labels in the data); in a quarter of them the features of formats
+are left out, so that an item can also be told by what stands around it. How
+often a word stands as a name in clear contexts is counted over all texts. The
+counts travel as a table of fixed size that is addressed by the word's hash: two
+words in one cell can only make a window more. A second pass does the same with
+the (document, word) pairs that the first windows took for names, so that every
+other place of such a word in its document has a window too.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ import functools
 import itertools
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,26 +34,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.plans.storage import broadcast_if_small, materialize
+from quirework.llm.words import mix
+from quirework.plans.storage import materialize
 
 LABELS = ("other", "email", "phone", "id_number", "address", "name")
 OTHER, EMAIL, PHONE, ID, ADDRESS, NAME = range(6)
-#: About so many texts of each source, chosen by the hash of their ids, are searched for training windows, and so many windows are used.
-SAMPLE_TEXTS, SAMPLE_WINDOWS = 20_000, 4_000
+#: About so many texts of each source, chosen by the hash of their ids, are searched for training windows, and so many windows of at most PART_TOKENS tokens are used.
+SAMPLE_TEXTS, SAMPLE_WINDOWS, PART_TOKENS = {"ocr_spans": 20_000, "draft_sections": 2_500}, 4_000, 80
+#: A word can be part of a name if at least one in so many of its places with a capital is in a clear context.
+PLACES = 50
+#: Of so many training windows, one has no features of formats.
+WITHOUT_FORMATS = 4
 #: Passes over the windows in training and windows per gradient step; rounds of messages between equal tokens.
 PASSES, BATCH, ROUNDS = 8, 64, 2
 #: Weight of what the other tokens of a group believe, and its limit.
 SHARED, MOST = 0.7, 2.5
 #: Log probability of being no part of an item above which a token takes no part in the messages.
 SURE = -1e-3
-#: Log probability of being no part of an item up to which a token makes windows at its other places in the document. What is likelier no item tells its group nothing in favour of one.
+#: Log probability of being no part of an item up to which a name token makes windows at its other places in the document.
 MAYBE = -0.1
 #: Places of windows that are solved together, padding included.
 PADDED = 16_384
 #: Tokens around a trigger that belong to its window.
 AROUND = 9
-#: Words of the lexicon at most; beyond it the most frequent are kept as a feature. Rarer names make windows by a join.
-LEXICON = 200_000
+#: Characters around a token that is flagged for a format in which the format is looked for.
+NEAR = 120
+#: Tables by hash have two to this power cells of one byte, and take in so many (document, word) pairs at a time.
+CELLS, PAIRS = 24, 1 << 21
 
 #: Street types, labels, titles and company endings of the corpus.
 STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Court|Ct|Row|Terrace|Ter|Blvd|Boulevard|Drive|Dr|Way|Place|Pl|Close|Square|Sq"
@@ -62,12 +75,13 @@ _WORD = r"(?:(?:al-|el-)?[^\W\d_a-zß-ÿ][^\W\d_]+(?:[-'’][^\W\d_a-zß-ÿ][^\W
 _GIVEN = rf"(?:{_WORD}|[A-Z]\.)"
 _PERSON = rf"(?:{_GIVEN}(?: (?:{_GIVEN}|{_PARTICLE}))* ?{_WORD}|{_WORD}, {_GIVEN}(?: {_GIVEN})*)"
 _EMAIL = r"[\w.+-]+\s?(?:@|\[at\]|\(at\))\s?[\w-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)[\w-]+)+"
-_PHONE = r"(?<![\w+-])(?:\+\d{1,3}(?:[ .-]\(?\d{1,4}\)?){2,5}|\(\d{3}\) ?\d{3}[ .-]\d{4}|0\d{2,4} \d{3,4} \d{4}|\d{3}([-. ])555\1\d{4}|\d{3}([-.])\d{3}\2\d{4})(?![\w-])"
+_PHONE = r"(?<![\w+-])(?:\+\d{1,3}(?:[ .-]\(?\d{1,4}\)?){2,5}|\(\d{3}\) ?\d{3}[ .-]\d{4}|0\d{2,4} \d{3,4} \d{4}|\d{3}([-. ])\d{3}\1\d{4})(?![\w-])"
 _STREET = (
     rf"(?:(?:Flat|Apt\.?|Unit|Suite) [#\w]+, )?(?<![\w.$-])\d{{1,5}}[A-Z]?(?:[-–]\d{{1,5}})? (?:[NSEW]\.? )?(?:(?!County|COUNTY){_WORD} ){{1,2}}(?:(?i:{STREETS}))\b\.?(?:,? (?:(?i:Suite|Unit|Apt\.?|Ste\.?|Flat) ?#?\w+|#\s?\w+))?"
     rf"|\b\d{{1,4}},? (?:rue|avenue|calle|via) (?:(?:des|de|du|la|le|les|del) )*{_WORD}|\b{_WORD}(?:weg|straße|strasse|gasse|platz|allee) \d{{1,4}}[a-z]?\b"
 )
-_SERIAL = r"(?:[A-Z]{2} ?(?:\d\d ?){3}[A-Z]|[A-Z]\d{3}-\d{4}-\d{4}|[A-Z]{1,2}\d{6,9}|\d{3}[- ]?\d{2}[- ]?\d{4})"
+_LAYOUT = r"(?:[A-Z]{2} ?(?:\d\d ?){3}[A-Z]|[A-Z]\d{3}-\d{4}-\d{4}|[A-Z]{1,2}\d{8,9}|\d{3}[- ]?\d{2}[- ]?\d{4})"
+_SERIAL = rf"(?:{_LAYOUT}|[A-Z]{{1,2}}\d{{6,7}})"
 _KIND = r"(?i:SSN|social security(?: no\.?| number)?|tax id|NINO|national insurance(?: number| no\.?)?|passport(?: no\.?)?|driver['’]?s? licen[cs]e(?: no\.?)?|licen[cs]e)"
 
 #: Patterns that label the training windows: label, pattern, group of the item.
@@ -76,27 +90,28 @@ PATTERNS = [
     (PHONE, re.compile(_PHONE), 0),
     (PHONE, re.compile(r"(?i:\bfax|\bcall|phone:?|telephone at|;) (\d{10})(?!\d)"), 1),
     (ID, re.compile(rf"{_KIND}:? ({_SERIAL})(?![\w-])"), 1),
-    (ID, re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4}|[A-Z]\d{3}-\d{4}-\d{4}|QQ ?(?:\d\d ?){3}[A-Z])(?![\w-])"), 1),
-    (ID, re.compile(rf"(?<![\w-])({_SERIAL})(?:, was at| and a balance| for the patient)"), 1),
+    (ID, re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4}|[A-Z]\d{3}-\d{4}-\d{4}|[A-Z]{2} ?(?:\d\d ?){3}[A-Z])(?![\w-])"), 1),
+    # a line that goes on after a number of national layout; a letter with fewer figures can be any reference
+    (ID, re.compile(rf"^({_LAYOUT})(?=,? [a-z])"), 1),
     (ADDRESS, re.compile(_STREET), 0),
-    (NAME, re.compile(rf"(?:Signed by|claim file of|[Cc]ontact|attention|of record:|Bill to:|Claimant:|[Dd]eponent,|Witness) ({_PERSON})"), 1),
+    (NAME, re.compile(rf"(?:(?:[Ss]igned|[Pp]repared|[Ww]itnessed) by|[Ff]ile of|[Rr]ecords? of|[Cc]ontact|[Aa]ttention|of record:|Bill to:|[Cc]laimant:|[Dd]eponent,|Witness) ({_PERSON})"), 1),
     (NAME, re.compile(rf"\b(?:{TITLES})\.? ({_WORD})(?! (?:of|Court))"), 1),
-    (NAME, re.compile(rf"({_PERSON})(?: (?:testified that|may be reached|and diagnosed|shows {_KIND})|,? (?:resides at|holder of)\b)"), 1),
+    (NAME, re.compile(rf"({_PERSON})(?: (?:testified|(?:may|can) be reached|and diagnosed|shows? {_KIND})|,? (?:resides at|holder of)\b)"), 1),
     (NAME, re.compile(rf"({_PERSON})(?: at| \(|,) ?(?:{_EMAIL})"), 1),
     (NAME, re.compile(rf"^({_PERSON}), (?:{_STREET})"), 1),
     (NAME, re.compile(rf"^({_PERSON}) for (?:{_WORD} ){{1,4}}(?:LL[CP]|Inc|Ltd|Co|Group|Corporation)\b"), 1),
-    (NAME, re.compile(rf"examined ({_PERSON}) and"), 1),
+    (NAME, re.compile(rf"(?:examined|treated) ({_PERSON}) (?:and|on)\b"), 1),
 ]
-_CONTEXT = re.compile(rf"Signed by|claim file of|ontact |attention|of record:|Bill to:|Claimant:|eponent,|Witness |testified that|be reached|examined|\b(?:{TITLES})\b")
+_CONTEXT = re.compile(rf"[Ss]igned by|repared by|itnessed by|[Ff]ile of|[Rr]ecords? of|ontact |[Aa]ttention|of record:|Bill to:|[Cc]laimant:|eponent,|Witness |testified|be reached|examined|treated|\b(?:{TITLES})\b")
 
 #: Flags of a text's tokens: without the ones that a format needs it is not looked for.
 IS_NAME, IS_EMAIL, IS_NUMBER, IS_STREET, IS_CONTEXT, IS_DIGITS, IS_HOUSE, IS_ROAD, IS_NUMBERED = 1, 2, 4, 8, 16, 32, 64, 128, 256
 #: Formats that an item of each label can have, whatever stands around it.
 FORMATS = [
     (EMAIL, IS_EMAIL, re.compile(_EMAIL, re.IGNORECASE)),
-    (PHONE, IS_NUMBER, re.compile(rf"{_PHONE}|(?<![\w.,-])(?<!instrument )\d{{10}}(?![\w.,-]*\d)")),
+    (PHONE, IS_NUMBER, re.compile(rf"{_PHONE}|(?<![\w.,-])\d{{10}}(?![\w.,-]*\d)")),
     (ADDRESS, IS_STREET, re.compile(_STREET)),
-    (ID, IS_NUMBER, re.compile(rf"(?<![\w-])(?<!Claim ){_SERIAL}(?![\w-])")),
+    (ID, IS_NUMBER, re.compile(rf"(?<![\w-]){_SERIAL}(?![\w-])")),
 ]
 
 
@@ -124,20 +139,61 @@ def pattern_items(text: str, patterns=None) -> list[tuple[int, int, int]]:
 
 
 def name_words(texts: DataFrame) -> DataFrame:
-    """word, n: how often each word stands in a name in a clear context, over all texts."""
+    """cell, n: how often the words of each cell stand in a name in a clear context, over all texts.
+
+    Words that mostly stand elsewhere are left out.
+    """
 
     names = [p for p in PATTERNS if p[0] == NAME]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts: Counter = Counter()
+            counts, tokens, seen = Counter(), Counter(), Counter()
             for text in batch["text"]:
-                if not _CONTEXT_WORDS.isdisjoint(text.split()):
+                words = text.split()
+                tokens.update(words)
+                if not _CONTEXT_WORDS.isdisjoint(words):
                     for _, start, end in pattern_items(text, names):
                         counts.update(alike(w) for w in re.findall(r"[^\W\d_]{2,}", text[start:end]) if w.lower() not in _PARTICLES)
-            yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
+            for token, n in tokens.items():
+                if (plain := token.strip(".,;:()'\"?!"))[:1].isupper() and (key := alike(plain.partition("-")[0])):
+                    seen[key] += n
+            yield pd.DataFrame([(_code(word) >> 64 - CELLS, counts[word], seen[word]) for word in seen.keys() | counts.keys()], columns=["cell", "n", "seen"])
+
+    counted = texts.select("text").mapInPandas(count, "cell int, n bigint, seen bigint").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+    return counted.where((F.col("n") > 0) & (F.col("n") * PLACES >= F.col("seen"))).select("cell", "n")
+
+
+@functools.lru_cache(maxsize=1 << 17)
+def _code(key: str) -> int:
+    """64-bit hash of a key, from which its cell is taken."""
+    return xxhash.xxh3_64_intdigest(key)
+
+
+def cell_table(cells: DataFrame) -> np.ndarray:
+    """One byte for each cell, from rows of cell and n; larger counts are 255. The table has a fixed size and comes in compressed parts."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.zeros(1 << CELLS, dtype=np.uint8)
+        for batch in batches:
+            table[batch["cell"].to_numpy()] = np.minimum(batch["n"].to_numpy(), 255)
+        if table.any():
+            yield pd.DataFrame({"part": [zlib.compress(table.tobytes(), 1)]})
+
+    whole = np.zeros(1 << CELLS, dtype=np.uint8)
+    for row in cells.repartition(4, "cell").mapInPandas(pack, "part binary").toLocalIterator():
+        whole |= np.frombuffer(zlib.decompress(row.part), dtype=np.uint8)
+    return whole
+
+
+class Lexicon:
+    """How often words stand as names, by the cell of their key."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.counts = counts
 
-    return texts.select("text").mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    def count(self, key: str) -> int:
+        return int(self.counts[_code(key) >> 64 - CELLS]) if key else 0
 
 
 class Tokens:
@@ -174,15 +230,14 @@ def _mixed(template: int, *codes: np.ndarray) -> np.ndarray:
 
 
 def feature_ids(found: list[Tokens]) -> np.ndarray:
-    """A row of feature indices for every token of all windows; two blanks stand between windows."""
-    blank, gap = (0,) * 6, [0, 0]
-    facts = [blank, blank]
-    forms, runs, inside = gap[:], gap[:], [False, False]
+    """A row of feature indices for every token of all windows; blanks stand between windows."""
+    blanks, gap, outside = [(0,) * 6] * 5, [0] * 5, [False] * 5
+    facts, forms, runs, inside = blanks[:], gap[:], gap[:], outside[:]
     for window in found:
-        facts += [f[:6] for f in window.facts] + [blank, blank]
+        facts += [f[:6] for f in window.facts] + blanks
         forms += window.forms + gap
         runs += window.runs + gap
-        inside += [True] * len(window.spans) + [False, False]
+        inside += [True] * len(window.spans) + outside
     own, low, shape, known, end, company = np.array(facts, dtype=np.uint64).T
     form, run = np.array(forms, dtype=np.uint64), np.array(runs, dtype=np.uint64)
     near = np.zeros(len(company), dtype=np.uint64)
@@ -199,7 +254,7 @@ def feature_ids(found: list[Tokens]) -> np.ndarray:
 
 
 _STREET_WORDS = frozenset(STREETS.lower().split("|")) | {"rue", "calle", "via"}
-_CONTEXT_WORDS = frozenset("Signed file contact Contact attention record: Bill Claimant: deponent, Deponent, Witness testified reached examined".split()) | frozenset(t + end for t in TITLES.split("|") for end in ("", "."))
+_CONTEXT_WORDS = frozenset("Signed signed Prepared prepared Witnessed witnessed File file Record record Records records contact Contact attention Attention record: Bill Claimant: claimant: deponent, Deponent, Witness testified reached diagnosed examined treated resides holder".split()) | frozenset(t + end for t in TITLES.split("|") for end in ("", "."))
 #: Words after which a number is none of a person.
 _NUMBERED = frozenset("instrument claim parcel case".split())
 _HOUSE = re.compile(r"\d{1,5}[A-Z]?(?:[-–]\d{1,5})?$")
@@ -209,10 +264,11 @@ _NUMBER_LIKE = re.compile(r"^(?!\d\d-\d\d-)(?:.*(?:\+\d|^\(?\d{3}\)|\d{3}[-. ]\d
 class Flags(dict):
     """What a token between blanks can be part of; kept for tokens seen before."""
 
-    def __init__(self, lexicon: dict[str, int]) -> None:
+    def __init__(self, lexicon: Lexicon) -> None:
         super().__init__()
         self.lexicon = lexicon
         self.words: dict[str, tuple] = {}
+        self.named = functools.lru_cache(maxsize=1 << 17)(lambda token: token[0].isupper() and lexicon.count(alike(token.partition("-")[0])) > 0)
 
     def __missing__(self, token: str) -> int:
         if len(self) > 300_000:
@@ -220,7 +276,7 @@ class Flags(dict):
         plain = token.strip(".,;:()'\"?!")
         low = plain.lower()
         flags = 0
-        if plain[:1].isupper() and alike(plain.partition("-")[0]) in self.lexicon or low.startswith(("al-", "el-")):
+        if plain and self.named(plain) or low.startswith(("al-", "el-")):
             flags |= IS_NAME
         if "@" in token or low == "at" and token[0] in "[(" or "[at]" in token.lower() or "(at)" in token.lower():
             flags |= IS_EMAIL
@@ -248,7 +304,7 @@ class Flags(dict):
             if len(self.words) > 300_000:
                 self.words.clear()
             low, shape = token.lower(), _shape(token)
-            count = _bin(min(self.lexicon.get(alike(part), 0) for part in token.replace("’", "-").split("-"))) if token[0].isalpha() else "-"
+            count = _bin(min(self.lexicon.count(alike(part)) for part in token.replace("’", "-").split("-"))) if token[0].isalpha() else "-"
             letters = shape[0] in "Aa"
             code = xxhash.xxh3_64_intdigest
             capital = (token[0].isupper() or low.startswith(("al-", "el-"))) and not any(c.isdigit() or c == "@" for c in token)
@@ -323,50 +379,63 @@ def _shape(word: str) -> str:
     return word
 
 
-def keys_of(token: str) -> set[str]:
-    """Keys that a capitalised token is looked for by: its own and that of its part before a hyphen."""
-    return {key for part in (token, token.partition("-")[0]) if len(key := alike(part)) >= 2} if token[0].isupper() else set()
+_SOLID = re.compile(r"\S+")
 
 
-def missed_keys(text: str, found: list[Tokens], flags: Flags) -> list[str]:
-    """Keys of the capitalised tokens outside of the windows that the lexicon lacks."""
-    inside = [(window.spans[0][0], window.spans[-1][1]) for window in found]
-    tokens = {m[0] for m in _TOKEN.finditer(text) if m[0][0].isupper() and not any(a <= m.start() < b for a, b in inside)}
-    return sorted(key for key in set().union(*map(keys_of, tokens)) if key not in flags.lexicon)
+def format_items(text: str, flags: Flags, held: int) -> list[tuple[int, int, int]]:
+    """(label, start, end) of what has the format of an item, looked for around the tokens that are flagged for it."""
+    found = []
+    wanted = [entry for entry in FORMATS if held & entry[1]]
+    if not wanted:
+        return found
+    tokens = [(m.start(), m.end(), flags[m[0]]) for m in _SOLID.finditer(text)]
+    for label, need, pattern in wanted:
+        signs = need | (IS_ROAD | IS_HOUSE if need == IS_STREET else IS_DIGITS if need == IS_NUMBER else 0)
+        low, high = 0, 0
+        for start, end, flag in [*((a, b, f) for a, b, f in tokens if f & signs), (len(text) + 2 * NEAR + 1, 0, 0)]:
+            if start - NEAR > high:
+                found += [(label, *m.span()) for m in pattern.finditer(text, low, high)] if high else []
+                low = max(text.rfind(" ", 0, max(0, start - NEAR)) + 1, 0)
+            high = text.find(" ", end + NEAR) if end + NEAR < len(text) else len(text)
+            high = len(text) if high < 0 else high
+    numbered = {end + 1 for start, end, flag in tokens if flag & IS_NUMBERED}
+    return [item for item in found if item[0] in (EMAIL, ADDRESS) or item[1] not in numbered]
 
 
 def windows(text: str, flags: Flags, wanted: frozenset[str] = frozenset()) -> list[Tokens]:
-    """Windows of tokens around the places where personal data can be, among them the tokens with a key in ``wanted``."""
-    held, lexicon = flags.of(text), flags.lexicon
+    """Windows of tokens around the places where personal data can be; with ``wanted`` those around these keys that are in no other window."""
+    held = flags.of(text)
     if not wanted and not held & (IS_NAME | IS_EMAIL | IS_NUMBER | IS_STREET | IS_CONTEXT):
         return []
-    formats = [(label, *m.span()) for label, need, pattern in FORMATS if held & need for m in pattern.finditer(text)]
+    formats = format_items(text, flags, held)
     contexts = [m.span() for m in _CONTEXT.finditer(text)] if held & IS_CONTEXT else []
     if not (formats or contexts or wanted or held & IS_NAME):
         return []
     spans = [m.span() for m in _TOKEN.finditer(text)]
+    tokens = [text[a:b] for a, b in spans]
     hot = np.zeros(len(spans), dtype=bool)
     starts = np.array([a for a, _ in spans])
     for start, end in contexts + [(a, b) for _, a, b in formats]:
         i, j = np.searchsorted(starts, [start, end])
         hot[max(0, i - 1) : j + 1] = True
-    for i, (a, b) in enumerate(spans):
-        if text[a].isupper() and (alike(text[a:b].partition("-")[0]) in lexicon or wanted and not wanted.isdisjoint(keys_of(text[a:b]))):
-            hot[i] = True
-    found, i = [], 0
-    wide = np.convolve(hot, np.ones(2 * AROUND + 1), "same") > 0 if len(spans) > 2 * AROUND + 1 else np.full(len(spans), hot.any())
-    while i < len(spans):
-        if wide[i]:
-            j = i
-            while j < len(spans) and wide[j]:
-                j += 1
-            found.append(Tokens(text, spans[i:j], flags, formats))
-            i = j
-        else:
-            i += 1
+    hot[[i for i, token in enumerate(tokens) if flags.named(token)]] = True
+    wide = _widened(hot)
+    if wanted:
+        wide = _widened(np.array([alike(token) in wanted for token in tokens], dtype=bool)) & ~wide
+    found = []
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], wide, [False]])))
+    for i, j in edges.reshape(-1, 2).tolist():
+        found.append(Tokens(text, spans[i:j], flags, formats))
     return found
 
 
+def _widened(hot: np.ndarray) -> np.ndarray:
+    """Places within AROUND of a hot one."""
+    sums = np.concatenate([[0], np.cumsum(hot)])
+    at = np.arange(len(hot))
+    return sums[np.minimum(at + AROUND + 1, len(hot))] > sums[np.maximum(at - AROUND, 0)]
+
+
 def _padded(scores: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Scores of windows of different lengths in one array, and which places are filled."""
     longest = max(map(len, scores))
@@ -403,7 +472,7 @@ def beliefs(unary: np.ndarray, filled: np.ndarray, steps: np.ndarray) -> tuple[n
 class Model:
     """Weights of the hashed features and of the steps between labels."""
 
-    def __init__(self, lexicon: dict[str, int]) -> None:
+    def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
         self.weights = np.zeros((HASHED, len(LABELS)), dtype=np.float32)
         self.steps = np.zeros((len(LABELS), len(LABELS)))
@@ -418,23 +487,21 @@ class Model:
             scores += self.weights[column]
         return np.split(scores, np.cumsum([len(window.spans) for window in found])[:-1])
 
-    def train(self, chosen: Iterator[tuple[Tokens, np.ndarray]]) -> None:
-        """Maximum likelihood by adaptive gradient steps over small batches, with a small penalty."""
-        found, truth = [], []
-        for window, labels in chosen:
-            found.append(window)
-            truth.append(labels)
-        if not found:
+    def train(self, chosen: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Maximum likelihood over (features, labels) of windows by adaptive gradient steps over small batches, with a small penalty."""
+        if not chosen:
             return
-        ids = feature_ids(found)
+        truth = [labels for _, labels in chosen]
+        ids = np.concatenate([features for features, _ in chosen])
         ids[np.bincount(ids.ravel(), minlength=HASHED)[ids] < 2] = 0  # what was seen once teaches nothing
         rows = np.split(ids, np.cumsum([len(labels) for labels in truth])[:-1])
         size, k = HASHED, len(LABELS)
         self.weights = np.zeros((size, k))
         seen, seen_steps = np.full((size, k), 0.1), np.full((k, k), 0.1)
-        draw = np.random.default_rng(11)
+        draw, by_length = np.random.default_rng(11), np.argsort([len(labels) for labels in truth], kind="stable")
         for _ in range(PASSES):
-            for batch in np.array_split(draw.permutation(len(rows)), -(-len(rows) // BATCH)):
+            for batch in draw.permutation(-(-len(rows) // BATCH)):
+                batch = by_length[batch * BATCH : (batch + 1) * BATCH]  # windows of one length need little padding
                 flat = np.concatenate([rows[i] for i in batch])
                 labels = [truth[i] for i in batch]
                 gold, gold_steps = np.eye(k)[np.concatenate(labels)], np.zeros((k, k))
@@ -469,7 +536,7 @@ def labelled_windows(text: str, flags: Flags) -> list[tuple[Tokens, np.ndarray]]
     return result
 
 
-def _parts(window: Tokens, labels: np.ndarray, size: int = 80) -> Iterator[tuple[Tokens, np.ndarray]]:
+def _parts(window: Tokens, labels: np.ndarray, size: int = PART_TOKENS) -> Iterator[tuple[Tokens, np.ndarray]]:
     """A window in parts of at most ``size`` tokens, to learn from."""
     for at in range(0, len(labels), size):
         part = Tokens.__new__(Tokens)
@@ -479,20 +546,40 @@ def _parts(window: Tokens, labels: np.ndarray, size: int = 80) -> Iterator[tuple
 
 
 def trained_model(texts: DataFrame, names: DataFrame, totals: dict[str, int]) -> Model:
-    """The lexicon over all ``names`` and the chain trained on a bounded sample of windows; ``totals`` has the rows of each source."""
-    lexicon = {row.word: int(row.n) for row in names.where("n >= 2").orderBy(F.desc("n"), "word").limit(LEXICON).collect()}
-    model, flags = Model(lexicon), Flags(lexicon)
-    turn = F.pmod(F.xxhash64("row_id"), F.lit(1 << 32)).alias("turn")
-    limits = {src: int(min(1.0, SAMPLE_TEXTS / max(total, 1)) * (1 << 32)) for src, total in totals.items()}
-    limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col("src")]
-    picked = sorted(texts.select("src", turn, "row_id", "text").where(F.col("turn") < limit).distinct().collect())
+    """The lexicon over all ``names`` and the chain trained on a bounded sample of windows; ``totals`` has the rows of each source.
 
-    def chosen() -> Iterator[tuple[Tokens, np.ndarray]]:
-        for src in sorted(totals):
-            own = (part for row in picked if row.src == src for window in labelled_windows(row.text, flags) for part in _parts(*window))
-            yield from itertools.islice(own, SAMPLE_WINDOWS // len(totals))
+    The windows are made where the texts are; only the features of those that
+    are chosen travel.
+    """
+    model = Model(Lexicon(cell_table(names)))
+    shared = texts.sparkSession.sparkContext.broadcast(model.lexicon)
+    turn = F.pmod(F.xxhash64("row_id"), F.lit(1 << 32))
+    limits = {src: int(min(1.0, SAMPLE_TEXTS[src] / max(total, 1)) * (1 << 32)) for src, total in totals.items()}
+    limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col("src")]
 
-    model.train(chosen())
+    def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flags = Flags(shared.value)
+        for batch in batches:
+            keys, parts, truth = [], [], []
+            for turn, text in batch.itertuples(index=False):
+                for place, (part, labels) in enumerate(part for window in labelled_windows(text, flags) for part in _parts(*window)):
+                    if (turn + place) % WITHOUT_FORMATS == 0:
+                        part.forms = [0] * len(part.forms)
+                    keys.append((turn, place))
+                    parts.append(part)
+                    truth.append(labels.astype(np.int8))
+            if parts:
+                ids = np.split(feature_ids(parts).astype(np.int32), np.cumsum(list(map(len, truth)))[:-1])
+                yield pd.DataFrame([(*key, own.tobytes(), labels.tobytes()) for key, own, labels in zip(keys, ids, truth)], columns=["turn", "place", "features", "labels"])
+
+    chosen = []
+    for src in sorted(totals):
+        own = texts.where(F.col("src") == src).withColumn("turn", turn).where(F.col("turn") < limit).select("turn", "text").distinct()
+        windows_of = own.mapInPandas(labelled, "turn bigint, place int, features binary, labels binary")
+        for row in windows_of.orderBy("turn", "place", "features").limit(SAMPLE_WINDOWS // len(totals)).collect():
+            labels = np.frombuffer(row.labels, dtype=np.int8).astype(np.int64)
+            chosen.append((np.frombuffer(row.features, dtype=np.int32).astype(np.int64).reshape(len(labels), -1), labels))
+    model.train(chosen)
     return model
 
 
@@ -521,7 +608,7 @@ def decoded(text: str, spans: list[tuple[int, int]], labels: np.ndarray) -> list
                 end += 1
             if labels[i] == NAME and re.search(r"\b[A-Z]$", text[start:end]) and text[end : end + 1] == ".":
                 end += 1
-            if end > start:
+            if end > start and (labels[i] != ADDRESS or any(c.isdigit() for c in text[start:end])):  # a street without a number is none
                 items.append((int(labels[i]), int(start), int(end)))
         i = j
     return items
@@ -535,67 +622,107 @@ def source_texts(spans: DataFrame, sections: DataFrame) -> DataFrame:
     return both.select("src", "row_id", F.xxhash64(F.coalesce("doc", "row_id")).alias("doc"), "text")
 
 
-_STATE = "src string, row_id string, doc bigint, row bigint, start int, text string, ends array<int>, unary binary, sent array<struct<at: int, key: string, logs: array<double>>>, missed array<string>"
+_STATE = "src string, row_id string, doc bigint, row bigint, start int, text string, ends array<int>, unary binary, sent array<struct<at: int, key: string, logs: array<double>>>, names array<bigint>"
 
 
-def chain_states(texts: DataFrame, model: Model) -> DataFrame:
-    """Every window with its unary scores and the beliefs that its tokens send first.
+def _state_rows(found: list[tuple[tuple, Tokens]], model: Model) -> pd.DataFrame:
+    """Windows with their unary scores, the beliefs that their tokens send first, and the pairs of document and word that look like names."""
+    rows = []
+    scores = model.unary([window for _, window in found])
+    order = np.argsort([len(own) for own in scores], kind="stable")
+    for group in _groups([len(scores[i]) for i in order], order):
+        array, filled = _padded([scores[i] for i in group])
+        logs, _ = beliefs(array, filled, model.steps)
+        for k, i in enumerate(group):
+            (src, row_id, doc, text), window = found[i]
+            begin, end = window.spans[0][0], window.spans[-1][1]
+            sent = [{"at": at, "key": key, "logs": message} for at, key, message in _sent(text, window.spans, logs[k, : len(window.spans)], {}, model.lexicon)]
+            if not sent and not logs[k].argmax(axis=1).any():
+                continue  # no other place could tell it anything
+            likely = [s["key"] for s in sent if logs[k, s["at"], OTHER] <= MAYBE and logs[k, s["at"], 1:].argmax() == NAME - 1]
+            names = mix(np.array([_code(key) for key in likely], dtype=np.uint64) ^ np.uint64(int(doc) & (1 << 64) - 1)).view(np.int64)
+            rows.append((src, row_id, doc, 0, begin, text[begin:end], [x - begin for span in window.spans for x in span], scores[i].astype(np.float16).tobytes(), sent, names))
+    return pd.DataFrame(rows, columns=["src", "row_id", "doc", "row", "start", "text", "ends", "unary", "sent", "names"])
 
-    Tokens are (start, end) pairs in ``ends``, scores half floats. Texts with
-    keys in ``wanted`` get windows at these too; of the others the keys outside
-    of windows come as rows with ``missed`` alone.
-    """
+
+def _with_ids(states: DataFrame) -> DataFrame:
+    """Each window once, with a number."""
+    return states.dropDuplicates(["src", "row_id", "start"]).withColumn("row", F.xxhash64("src", "row_id", "start"))
+
+
+def first_states(texts: DataFrame, model: Model) -> DataFrame:
+    """Every window that its text gives away. Scores are half floats, ``ends`` (start, end) pairs."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        flags = Flags(own.lexicon)
+        flags = Flags(shared.value.lexicon)
         for batch in batches:
-            rows = []
             for first in range(0, len(batch), 1000):
-                part = batch.iloc[first : first + 1000]
-                found = []
-                for *key, wanted in part.itertuples(index=False):
-                    named = frozenset() if wanted is None else frozenset(wanted)
-                    own_windows = windows(key[3], flags, named)
-                    found += [((key, named), window) for window in own_windows]
-                    if wanted is None and (missed := missed_keys(key[3], own_windows, flags)):
-                        rows.append((*key[:3], 0, -1, "", [], b"", [], missed))
-                scored = zip(found, own.unary([w for _, w in found]))
-                # a window that is surely free of personal data needs no messages, unless others of its document may tell it otherwise
-                kept = [(key, window, scores) for ((key, named), window), scores in scored if (scores[:, 1:].max(axis=1) - scores[:, OTHER] > -4).any() or named and any(not named.isdisjoint(keys_of(key[3][a:b])) for a, b in window.spans)]
-                order = np.argsort([len(scores) for _, _, scores in kept], kind="stable")
-                for group in _groups([len(kept[i][2]) for i in order], order):
-                    array, filled = _padded([kept[i][2] for i in group])
-                    logs, _ = beliefs(array, filled, own.steps)
-                    for k, i in enumerate(group):
-                        (src, row_id, doc, text), window, scores = kept[i]
-                        begin, end = window.spans[0][0], window.spans[-1][1]
-                        sent = [{"at": at, "key": key, "logs": message} for at, key, message in _sent(text, window.spans, logs[k], {})]
-                        rows.append((src, row_id, doc, 0, begin, text[begin:end], [x - begin for span in window.spans for x in span], scores.astype(np.float16).tobytes(), sent, None))
-            yield pd.DataFrame(rows, columns=["src", "row_id", "doc", "row", "start", "text", "ends", "unary", "sent", "missed"])
-
-    found = texts.select("src", "row_id", "doc", "text", "wanted").mapInPandas(states, _STATE)
-    return found.dropDuplicates(["src", "row_id", "start"]).withColumn("row", F.xxhash64("src", "row_id", "start"))
-
-
-def all_states(texts: DataFrame, names: DataFrame, model: Model) -> DataFrame:
-    """The windows of all texts, also around names that the lexicon lacks.
-
-    A capitalised word makes a window if it stands as a name in a clear context
-    of any text, be it once, or if it may be part of an item in another window
-    of its document.
+                part = batch.iloc[first : first + 1000].itertuples(index=False)
+                yield _state_rows([(key, window) for key in map(tuple, part) for window in windows(key[3], flags)], shared.value)
+
+    return _with_ids(texts.select("src", "row_id", "doc", "text").mapInPandas(states, _STATE))
+
+
+class TokenCodes(dict):
+    """Code of the key of a token between blanks, kept for tokens seen before.
+
+    Zero for those that are too short to be named again and for those that the
+    lexicon gives a window wherever they stand.
     """
-    first = materialize(chain_states(texts.withColumn("wanted", F.lit(None).cast("array<string>")), model))
-    states = first.where("missed is null")
-    open_keys = first.where("missed is not null").select("src", "row_id", "doc", F.explode("missed").alias("key"))
-    likely = states.select("doc", F.explode("sent").alias("s")).where(F.col("s.logs")[OTHER] <= MAYBE).select("doc", "s.key").distinct()
-    here = open_keys.join(broadcast_if_small(materialize(likely)), ["doc", "key"])
-    anywhere = open_keys.join(broadcast_if_small(names.select(F.col("word").alias("key"))), "key")
-    hits = here.select("src", "row_id", "key").unionByName(anywhere.select("src", "row_id", "key"))
-    wanted = broadcast_if_small(materialize(hits.groupBy("src", "row_id").agg(F.collect_set("key").alias("wanted"))))
-    again = chain_states(texts.join(wanted, ["src", "row_id"]), model)
-    return materialize(states.join(wanted, ["src", "row_id"], "left_anti").unionByName(again).drop("missed"))
+
+    def __init__(self, flags: Flags) -> None:
+        super().__init__()
+        self.flags = flags
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        key, plain = alike(token), token.strip(".,;:()'\"?!")
+        value = self[token] = _code(key) if len(key) >= 3 and plain and not self.flags.named(plain) else 0
+        return value
+
+
+def later_states(texts: DataFrame, pairs: DataFrame, model: Model) -> DataFrame:
+    """Windows at the other places of words that a window of their document took for a name, be they written small or stand in no clear context.
+
+    ``pairs`` are hashes of (document, word). PAIRS of them at a time go into a
+    table of fixed size; each block is one pass over the texts.
+    """
+    count = pairs.count()
+    blocks = -(-count // PAIRS)
+    parts = [_with_ids(_found_again(texts, pairs, model, block, blocks)) for block in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else texts.sparkSession.createDataFrame([], _STATE)
+
+
+def _found_again(texts: DataFrame, pairs: DataFrame, model: Model, block: int, blocks: int) -> DataFrame:
+    low = F.lit((1 << 32) - 1)
+    own = pairs.where(F.pmod(F.col("pair").bitwiseAND(low), F.lit(blocks)) == block)
+    cells = own.select(F.shiftrightunsigned("pair", 64 - CELLS).cast("int").alias("cell"), F.lit(1).cast("bigint").alias("n")).distinct()
+    shared = texts.sparkSession.sparkContext.broadcast((model, cell_table(cells).astype(bool)))
+
+    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, table = shared.value
+        flags = Flags(model.lexicon)
+        codes = TokenCodes(flags)
+        for batch in batches:
+            for first in range(0, len(batch), 1000):
+                part = batch.iloc[first : first + 1000]
+                tokens = [text.split() for text in part["text"]]
+                sizes = np.array(list(map(len, tokens)))
+                own = np.fromiter(map(codes.__getitem__, itertools.chain.from_iterable(tokens)), dtype=np.uint64, count=sizes.sum())
+                mixed = mix(own ^ np.repeat(part["doc"].to_numpy().view(np.uint64), sizes))
+                hits = np.flatnonzero((own != 0) & table[(mixed >> np.uint64(64 - CELLS)).astype(np.int64)] & ((mixed & np.uint64((1 << 32) - 1)) % np.uint64(blocks) == block))
+                line_of = np.searchsorted(np.cumsum(sizes), hits, side="right")
+                begins = np.cumsum(sizes) - sizes
+                wanted: dict[int, set[str]] = {}
+                for line, hit in zip(line_of.tolist(), hits.tolist()):
+                    wanted.setdefault(line, set()).add(alike(tokens[line][hit - begins[line]]))
+                keys = part[["src", "row_id", "doc", "text"]]
+                found = [(key, window) for line, names in wanted.items() for key in [tuple(keys.iloc[line])] for window in windows(key[3], flags, frozenset(names))]
+                yield _state_rows(found, model)
+
+    return texts.select("src", "row_id", "doc", "text").mapInPandas(states, _STATE)
 
 
 def _groups(lengths: list[int], order: np.ndarray) -> Iterator[np.ndarray]:
@@ -628,15 +755,31 @@ def _solved(batch: pd.DataFrame, steps: np.ndarray) -> Iterator[tuple[int, list[
 _MESSAGE = "row bigint, at int, doc bigint, key string, logs array<double>"
 
 
-def _sent(text: str, spans: list[tuple[int, int]], logs: np.ndarray, got: dict[int, np.ndarray]) -> Iterator[tuple[int, str, list[float]]]:
-    """(place, key, belief) of the tokens of a window that may be part of an item, without what their group told them."""
-    for at, (a, b) in enumerate(spans):
-        if logs[at, OTHER] <= SURE and b - a >= 3 and text[a].isupper() and len(key := alike(text[a:b])) >= 3:
+def shared_key(token: str, lexicon: Lexicon) -> str:
+    """Key of the group that a token shares a potential with; empty for those too short or too common to stand for one thing.
+
+    Capitalised words of three letters, small ones that are known as names, and
+    numbers and addresses of six letters and figures belong to a group.
+    """
+    key = alike(token)
+    if token.lower() in _STREET_WORDS:
+        return ""
+    if token.isalpha() and token.islower():
+        return key if len(key) >= 3 and token not in _PARTICLES and lexicon.count(key) else ""
+    return key if len(key) >= (3 if token[0].isupper() else 6) else ""
+
+
+def _sent(text: str, spans: list[tuple[int, int]], logs: np.ndarray, got: dict[int, np.ndarray], lexicon: Lexicon) -> Iterator[tuple[int, str, list[float]]]:
+    """(place, key, belief) of the tokens of a window that may be part of an item, whatever their kind, without what their group told them."""
+    for at in np.flatnonzero(logs[:, OTHER] <= SURE).tolist():
+        a, b = spans[at]
+        if b - a >= 3 and (key := shared_key(text[a:b], lexicon)):
             yield at, key, (np.clip(logs[at], -MOST * 2, 0) - got.get(at, 0)).tolist()
 
 
-def _exchange(states: DataFrame, messages: DataFrame | None, steps: np.ndarray) -> DataFrame:
+def _exchange(states: DataFrame, messages: DataFrame | None, model: Model) -> DataFrame:
     """New messages: for each token what the other tokens of its group believe."""
+    steps, shared = model.steps, states.sparkSession.sparkContext.broadcast(model.lexicon)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -644,7 +787,7 @@ def _exchange(states: DataFrame, messages: DataFrame | None, steps: np.ndarray)
             row, doc, messages = batch["row"].tolist(), batch["doc"].tolist(), batch["messages"].tolist()
             for i, spans, text, logs in _solved(batch, steps):
                 got = {m["at"]: np.asarray(m["logs"]) for m in messages[i]} if messages[i] is not None else {}
-                rows += [(row[i], at, doc[i], key, own) for at, key, own in _sent(text, [(int(a), int(b)) for a, b in spans], logs, got)]
+                rows += [(row[i], at, doc[i], key, own) for at, key, own in _sent(text, [(int(a), int(b)) for a, b in spans], logs, got, shared.value)]
             yield pd.DataFrame(rows, columns=["row", "at", "doc", "key", "logs"])
 
     if messages is None:
@@ -671,10 +814,12 @@ def find_personal_data(spans: DataFrame, sections: DataFrame) -> DataFrame:
     names = materialize(name_words(texts))
     model = trained_model(texts, names, {"ocr_spans": spans.count(), "draft_sections": sections.count()})
     steps = model.steps
-    states = all_states(texts, names, model)
+    first = materialize(first_states(texts, model))
+    pairs = materialize(first.select(F.explode("names").alias("pair")).distinct())
+    states = first.unionByName(materialize(later_states(texts, pairs, model)))
     messages = None
     for _ in range(ROUNDS):
-        messages = _exchange(states, messages, steps)
+        messages = _exchange(states, messages, model)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -138,18 +138,36 @@ def test_names_are_carried_to_unclear_places(spark):
 
 
 def test_rare_names_make_windows_in_their_document(spark):
-    rows = texts(3, 300) + [("clear", "Signed by Zelmira Quandt for Marby Title LLC on 3 May 2020.", set()), ("far", "The view of Zelmira Quandt was noted.", set()), ("plain", "The view of Many Others was noted.", set())]
+    rows = texts(3, 300) + [("clear", "Signed by Zelmira Quandt for Marby Title LLC on 3 May 2020.", set()), ("far", "The view of Zelmira Quandt was noted.", set()), ("small", "as quandt said before", set()), ("plain", "The view of Many Others was noted.", set())]
     spans = spark.createDataFrame([(i, "one", t) for i, t, _ in rows], "span_id string, document_id string, text string")
     sections = spark.createDataFrame([], "section_id string, draft_id string, final_text string")
     every = personal_data.source_texts(spans, sections)
-    names = personal_data.name_words(every)
-    model = personal_data.trained_model(every, names, {"ocr_spans": len(rows), "draft_sections": 0})
-    assert "quandt" not in model.lexicon
-    seen = {r.row_id: r.text for r in personal_data.all_states(every, names, model).collect()}
-    assert "Zelmira Quandt" in seen["far"] and "plain" not in seen
-    got = {(r.row_id, r.value) for r in personal_data.found(spans, sections).where("pii_type = 'name'").collect()}
+    model = personal_data.trained_model(every, personal_data.name_words(every), {"ocr_spans": len(rows), "draft_sections": 0})
+    assert model.lexicon.count("quandt") and not model.lexicon.count("others")
+    first = personal_data.first_states(every, model)
+    pairs = first.selectExpr("explode(names) AS pair").distinct()
+    seen = {r.row_id: r.text for r in first.union(personal_data.later_states(every, pairs, model)).collect()}
+    assert "Zelmira Quandt" in seen["far"] and "quandt" in seen["small"] and "plain" not in seen
+    got = {(r.row_id, r.value) for r in personal_data.found(spans.where("span_id <> 'small'"), sections).where("pii_type = 'name'").collect()}
     assert ("clear", "Zelmira Quandt") in got
-    assert any(i == "far" and "Quandt" in value for i, value in got)
+    assert any(i == "far" and "Quandt" in value for i, value in got), [v for v in got if v[0] == "far"]
+
+
+def test_items_are_told_by_their_surroundings_too(spark, monkeypatch):
+    """Recall with all features of formats held out while decoding."""
+    rows = texts(5, 600)
+    spans, sections = frames(spark, rows)
+    truth = {(i, *item) for i, _, items in rows for item in items}
+    every = personal_data.source_texts(spans, sections)
+    model = personal_data.trained_model(every, personal_data.name_words(every), {"ocr_spans": len(rows), "draft_sections": 2})
+    flags, got = personal_data.Flags(model.lexicon), set()
+    for i, text, _ in rows:
+        for window in personal_data.windows(text, flags):
+            window.forms = [0] * len(window.forms)
+            scores = model.unary([window])[0]
+            logs, _ = personal_data.beliefs(scores[None].astype(float), np.ones((1, len(scores)), dtype=bool), model.steps)
+            got |= {(i, personal_data.LABELS[label], text[a:b]) for label, a, b in personal_data.decoded(text, window.spans, logs[0].argmax(axis=1))}
+    assert len(got & truth) >= 0.8 * len(truth)
 
 
 def test_personal_data_of_nothing(spark):
