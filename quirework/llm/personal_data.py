@@ -186,12 +186,22 @@ def cell_table(cells: DataFrame) -> np.ndarray:
     return whole
 
 
-class Lexicon:
-    """How often words stand as names, by the cell of their key."""
+class Table:
+    """One byte for each cell. It travels compressed, as most cells are empty."""
 
     def __init__(self, counts: np.ndarray) -> None:
         self.counts = counts
 
+    def __getstate__(self) -> bytes:
+        return zlib.compress(self.counts.tobytes(), 1)
+
+    def __setstate__(self, packed: bytes) -> None:
+        self.counts = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+
+
+class Lexicon(Table):
+    """How often words stand as names, by the cell of their key."""
+
     def count(self, key: str) -> int:
         return int(self.counts[_code(key) >> 64 - CELLS]) if key else 0
 
@@ -477,6 +487,13 @@ class Model:
         self.weights = np.zeros((HASHED, len(LABELS)), dtype=np.float32)
         self.steps = np.zeros((len(LABELS), len(LABELS)))
 
+    def __getstate__(self) -> tuple:
+        return self.lexicon, self.steps, zlib.compress(self.weights.tobytes(), 1)
+
+    def __setstate__(self, state: tuple) -> None:
+        self.lexicon, self.steps = state[:2]
+        self.weights = np.frombuffer(zlib.decompress(state[2]), dtype=np.float32).reshape(HASHED, len(LABELS))
+
     def unary(self, found: list[Tokens]) -> list[np.ndarray]:
         """Scores of the labels for the tokens of each window."""
         if not found:
@@ -699,7 +716,7 @@ def _found_again(texts: DataFrame, pairs: DataFrame, model: Model, block: int, b
     low = F.lit((1 << 32) - 1)
     own = pairs.where(F.pmod(F.col("pair").bitwiseAND(low), F.lit(blocks)) == block)
     cells = own.select(F.shiftrightunsigned("pair", 64 - CELLS).cast("int").alias("cell"), F.lit(1).cast("bigint").alias("n")).distinct()
-    shared = texts.sparkSession.sparkContext.broadcast((model, cell_table(cells).astype(bool)))
+    shared = texts.sparkSession.sparkContext.broadcast((model, Table(cell_table(cells))))
 
     def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, table = shared.value
@@ -712,7 +729,7 @@ def _found_again(texts: DataFrame, pairs: DataFrame, model: Model, block: int, b
                 sizes = np.array(list(map(len, tokens)))
                 own = np.fromiter(map(codes.__getitem__, itertools.chain.from_iterable(tokens)), dtype=np.uint64, count=sizes.sum())
                 mixed = mix(own ^ np.repeat(part["doc"].to_numpy().view(np.uint64), sizes))
-                hits = np.flatnonzero((own != 0) & table[(mixed >> np.uint64(64 - CELLS)).astype(np.int64)] & ((mixed & np.uint64((1 << 32) - 1)) % np.uint64(blocks) == block))
+                hits = np.flatnonzero((own != 0) & (table.counts[(mixed >> np.uint64(64 - CELLS)).astype(np.int64)] > 0) & ((mixed & np.uint64((1 << 32) - 1)) % np.uint64(blocks) == block))
                 line_of = np.searchsorted(np.cumsum(sizes), hits, side="right")
                 begins = np.cumsum(sizes) - sizes
                 wanted: dict[int, set[str]] = {}
