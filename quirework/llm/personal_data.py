@@ -20,6 +20,7 @@ other place of such a word in its document has a window too.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import itertools
 import re
@@ -102,7 +103,8 @@ PATTERNS = [
     (NAME, re.compile(rf"^({_PERSON}) for (?:{_WORD} ){{1,4}}(?:LL[CP]|Inc|Ltd|Co|Group|Corporation)\b"), 1),
     (NAME, re.compile(rf"(?:examined|treated) ({_PERSON}) (?:and|on)\b"), 1),
 ]
-_CONTEXT = re.compile(rf"[Ss]igned by|repared by|itnessed by|[Ff]ile of|[Rr]ecords? of|ontact |[Aa]ttention|of record:|Bill to:|[Cc]laimant:|eponent,|Witness |testified|be reached|examined|treated|\b(?:{TITLES})\b")
+_CAPITAL = r"[^\W\d_a-zß-ÿ]"
+_CONTEXT = re.compile(rf"(?:[Ss]igned by|repared by|itnessed by|[Ff]ile of|[Rr]ecords? of|ontact|[Aa]ttention|examined|treated) (?={_CAPITAL})|of record:|Bill to:|[Cc]laimant:|eponent,|Witness |{_CAPITAL}[\w'’-]* (?:testified|(?:may|can) be reached|and diagnosed)|\b(?:{TITLES})\b")
 
 #: Flags of a text's tokens: without the ones that a format needs it is not looked for.
 IS_NAME, IS_EMAIL, IS_NUMBER, IS_STREET, IS_CONTEXT, IS_DIGITS, IS_HOUSE, IS_ROAD, IS_NUMBERED = 1, 2, 4, 8, 16, 32, 64, 128, 256
@@ -398,11 +400,18 @@ def format_items(text: str, flags: Flags, held: int) -> list[tuple[int, int, int
     wanted = [entry for entry in FORMATS if held & entry[1]]
     if not wanted:
         return found
+    if len(text) <= 2 * NEAR:
+        found = [(label, *m.span()) for label, _, pattern in wanted for m in pattern.finditer(text)]
+        return [item for item in found if item[0] in (EMAIL, ADDRESS) or not flags[text[: item[1]].rpartition(" ")[0].rpartition(" ")[2]] & IS_NUMBERED]
     tokens = [(m.start(), m.end(), flags[m[0]]) for m in _SOLID.finditer(text)]
     for label, need, pattern in wanted:
-        signs = need | (IS_ROAD | IS_HOUSE if need == IS_STREET else IS_DIGITS if need == IS_NUMBER else 0)
+        places = [k for k, (_, _, flag) in enumerate(tokens) if flag & need]
+        if need == IS_STREET:
+            places += [k for k, (_, _, flag) in enumerate(tokens) if flag & IS_ROAD and any(tokens[j][2] & IS_HOUSE for j in range(max(0, k - 6), k))]
+        elif need == IS_NUMBER:
+            places += [k for k in range(1, len(tokens)) if tokens[k - 1][2] & tokens[k][2] & IS_DIGITS]
         low, high = 0, 0
-        for start, end, flag in [*((a, b, f) for a, b, f in tokens if f & signs), (len(text) + 2 * NEAR + 1, 0, 0)]:
+        for start, end, _ in [*(tokens[k] for k in sorted(places)), (len(text) + 2 * NEAR + 1, 0, 0)]:
             if start - NEAR > high:
                 found += [(label, *m.span()) for m in pattern.finditer(text, low, high)] if high else []
                 low = max(text.rfind(" ", 0, max(0, start - NEAR)) + 1, 0)
@@ -424,26 +433,30 @@ def windows(text: str, flags: Flags, wanted: frozenset[str] = frozenset()) -> li
     spans = [m.span() for m in _TOKEN.finditer(text)]
     tokens = [text[a:b] for a, b in spans]
     hot = np.zeros(len(spans), dtype=bool)
-    starts = np.array([a for a, _ in spans])
+    starts = [a for a, _ in spans]
     for start, end in contexts + [(a, b) for _, a, b in formats]:
-        i, j = np.searchsorted(starts, [start, end])
-        hot[max(0, i - 1) : j + 1] = True
+        hot[max(0, bisect.bisect_left(starts, start) - 1) : bisect.bisect_left(starts, end) + 1] = True
     hot[[i for i, token in enumerate(tokens) if flags.named(token)]] = True
+    if not (wanted or hot.any()):
+        return []
     wide = _widened(hot)
     if wanted:
         wide = _widened(np.array([alike(token) in wanted for token in tokens], dtype=bool)) & ~wide
-    found = []
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], wide, [False]])))
-    for i, j in edges.reshape(-1, 2).tolist():
+    found, marks = [], wide.tobytes() + b"\0"
+    i = marks.find(1)
+    while i >= 0:
+        j = marks.find(0, i)
         found.append(Tokens(text, spans[i:j], flags, formats))
+        i = marks.find(1, j)
     return found
 
 
 def _widened(hot: np.ndarray) -> np.ndarray:
     """Places within AROUND of a hot one."""
-    sums = np.concatenate([[0], np.cumsum(hot)])
-    at = np.arange(len(hot))
-    return sums[np.minimum(at + AROUND + 1, len(hot))] > sums[np.maximum(at - AROUND, 0)]
+    wide = np.zeros(len(hot), dtype=bool)
+    for i in np.flatnonzero(hot).tolist():
+        wide[max(0, i - AROUND) : i + AROUND + 1] = True
+    return wide
 
 
 def _padded(scores: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -644,7 +657,7 @@ _STATE = "src string, row_id string, doc bigint, row bigint, start int, text str
 
 def _state_rows(found: list[tuple[tuple, Tokens]], model: Model) -> pd.DataFrame:
     """Windows with their unary scores, the beliefs that their tokens send first, and the pairs of document and word that look like names."""
-    rows = []
+    rows, named, docs, counts = [], [], [], []
     scores = model.unary([window for _, window in found])
     order = np.argsort([len(own) for own in scores], kind="stable")
     for group in _groups([len(scores[i]) for i in order], order):
@@ -657,9 +670,13 @@ def _state_rows(found: list[tuple[tuple, Tokens]], model: Model) -> pd.DataFrame
             if not sent and not logs[k].argmax(axis=1).any():
                 continue  # no other place could tell it anything
             likely = [s["key"] for s in sent if logs[k, s["at"], OTHER] <= MAYBE and logs[k, s["at"], 1:].argmax() == NAME - 1]
-            names = mix(np.array([_code(key) for key in likely], dtype=np.uint64) ^ np.uint64(int(doc) & (1 << 64) - 1)).view(np.int64)
-            rows.append((src, row_id, doc, 0, begin, text[begin:end], [x - begin for span in window.spans for x in span], scores[i].astype(np.float16).tobytes(), sent, names))
-    return pd.DataFrame(rows, columns=["src", "row_id", "doc", "row", "start", "text", "ends", "unary", "sent", "names"])
+            named += likely
+            docs += [int(doc) & (1 << 64) - 1] * len(likely)
+            counts.append(len(likely))
+            rows.append((src, row_id, doc, 0, begin, text[begin:end], [x - begin for span in window.spans for x in span], scores[i].astype(np.float16).tobytes(), sent))
+    frame = pd.DataFrame(rows, columns=["src", "row_id", "doc", "row", "start", "text", "ends", "unary", "sent"])
+    pairs = mix(np.array(list(map(_code, named)), dtype=np.uint64) ^ np.array(docs, dtype=np.uint64)).view(np.int64)
+    return frame.assign(names=np.split(pairs, np.cumsum(counts)[:-1]) if rows else [])
 
 
 def _with_ids(states: DataFrame) -> DataFrame:
