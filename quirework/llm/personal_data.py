@@ -676,7 +676,8 @@ def _state_rows(found: list[tuple[tuple, Tokens]], model: Model) -> pd.DataFrame
             rows.append((src, row_id, doc, 0, begin, text[begin:end], [x - begin for span in window.spans for x in span], scores[i].astype(np.float16).tobytes(), sent))
     frame = pd.DataFrame(rows, columns=["src", "row_id", "doc", "row", "start", "text", "ends", "unary", "sent"])
     pairs = mix(np.array(list(map(_code, named)), dtype=np.uint64) ^ np.array(docs, dtype=np.uint64)).view(np.int64)
-    return frame.assign(names=np.split(pairs, np.cumsum(counts)[:-1]) if rows else [])
+    ends = np.cumsum(counts).tolist()
+    return frame.assign(names=pd.Series([pairs[end - n : end].tolist() for end, n in zip(ends, counts)], dtype=object))
 
 
 def _with_ids(states: DataFrame) -> DataFrame:
