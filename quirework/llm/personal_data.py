@@ -61,7 +61,9 @@ AROUND = 9
 #: Characters around a token that is flagged for a format in which the format is looked for.
 NEAR = 120
 #: Tables by hash have two to this power cells of one byte, and take in so many (document, word) pairs at a time.
-CELLS, PAIRS = 24, 1 << 21
+CELLS, PAIRS = 24, 1 << 20
+#: A pair sets the cells that begin at these bits of its hash; a word is looked at only if all are set.
+PROBES = (40, 20, 0)
 
 #: Street types, labels, titles and company endings of the corpus.
 STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Court|Ct|Row|Terrace|Ter|Blvd|Boulevard|Drive|Dr|Way|Place|Pl|Close|Square|Sq"
@@ -154,7 +156,7 @@ def name_words(texts: DataFrame) -> DataFrame:
             for text in batch["text"]:
                 words = text.split()
                 tokens.update(words)
-                if not _CONTEXT_WORDS.isdisjoint(words):
+                if not _CONTEXT_WORDS.isdisjoint(words) and _CONTEXT.search(text):
                     for _, start, end in pattern_items(text, names):
                         counts.update(alike(w) for w in re.findall(r"[^\W\d_]{2,}", text[start:end]) if w.lower() not in _PARTICLES)
             for token, n in tokens.items():
@@ -733,7 +735,8 @@ def later_states(texts: DataFrame, pairs: DataFrame, model: Model) -> DataFrame:
 def _found_again(texts: DataFrame, pairs: DataFrame, model: Model, block: int, blocks: int) -> DataFrame:
     low = F.lit((1 << 32) - 1)
     own = pairs.where(F.pmod(F.col("pair").bitwiseAND(low), F.lit(blocks)) == block)
-    cells = own.select(F.shiftrightunsigned("pair", 64 - CELLS).cast("int").alias("cell"), F.lit(1).cast("bigint").alias("n")).distinct()
+    places = F.array(*(F.shiftrightunsigned("pair", bit).bitwiseAND(F.lit((1 << CELLS) - 1)).cast("int") for bit in PROBES))
+    cells = own.select(F.explode(places).alias("cell"), F.lit(1).cast("bigint").alias("n")).distinct()
     shared = texts.sparkSession.sparkContext.broadcast((model, Table(cell_table(cells))))
 
     def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -747,7 +750,10 @@ def _found_again(texts: DataFrame, pairs: DataFrame, model: Model, block: int, b
                 sizes = np.array(list(map(len, tokens)))
                 own = np.fromiter(map(codes.__getitem__, itertools.chain.from_iterable(tokens)), dtype=np.uint64, count=sizes.sum())
                 mixed = mix(own ^ np.repeat(part["doc"].to_numpy().view(np.uint64), sizes))
-                hits = np.flatnonzero((own != 0) & (table.counts[(mixed >> np.uint64(64 - CELLS)).astype(np.int64)] > 0) & ((mixed & np.uint64((1 << 32) - 1)) % np.uint64(blocks) == block))
+                held = (own != 0) & ((mixed & np.uint64((1 << 32) - 1)) % np.uint64(blocks) == block)
+                for bit in PROBES:
+                    held &= table.counts[((mixed >> np.uint64(bit)) & np.uint64((1 << CELLS) - 1)).astype(np.int64)] > 0
+                hits = np.flatnonzero(held)
                 line_of = np.searchsorted(np.cumsum(sizes), hits, side="right")
                 begins = np.cumsum(sizes) - sizes
                 wanted: dict[int, set[str]] = {}
