@@ -25,6 +25,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts of more characters are encoded in parts.
 PART_CHARS = 4096
+#: Parts of a text in one batch.
+PARTS_AT_ONCE = 1024
 #: Ids on either side of a join that are looked at first.
 WINDOW = 16
 
@@ -148,12 +150,21 @@ def encode_corpus(documents: DataFrame, vocabulary: str = VOCABULARY, part_chars
 
     short = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= part_chars).mapInArrow(encode, "doc_id bigint, ids array<int>")
 
-    long = texts.where(F.length("text") > part_chars).withColumn("row_id", F.expr("uuid()"))
-    halvings = F.ceil(F.log2(F.length("text") / part_chars)).cast("int")
-    long = long.withColumn("n", F.pow(F.lit(2.0), halvings).cast("long")).withColumn("size", F.length("text").cast("long"))
-    parts = long.select("doc_id", "row_id", "n", "size", "text", F.explode(F.expr("sequence(0L, n - 1)")).alias("k"))
-    begin, end = F.expr("k * size div n"), F.expr("(k + 1) * size div n")
-    parts = parts.select("doc_id", "row_id", "k", F.substring("text", (begin + 1).cast("int"), (end - begin).cast("int")).alias("text"))
-    encoded = parts.repartition("row_id", "k").mapInArrow(encode, "doc_id bigint, row_id string, k bigint, ids array<int>")
-    grouped = encoded.groupBy("row_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    return short.unionByName(grouped.mapInArrow(join, "doc_id bigint, ids array<int>"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every long text in 2**h equal parts, one batch after the other, each character copied once."""
+        for batch in batches:
+            for doc, print_, copies, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "print", "copies", "text"))):
+                n = 1 << max(0, -(-len(text) // part_chars) - 1).bit_length()
+                for first in range(0, n, PARTS_AT_ONCE):
+                    numbers = range(first, min(first + PARTS_AT_ONCE, n))
+                    parts = [text[k * len(text) // n : (k + 1) * len(text) // n] for k in numbers]
+                    own = [pa.array([value] * len(parts), kind) for value, kind in ((doc, pa.int64()), (print_, pa.int64()), (copies, pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(numbers, pa.int64()), pa.array(parts, pa.string())], ["doc_id", "print", "copies", "k", "text"])
+
+    # keys come from the rows themselves, so that a task that runs again gives the same ones; equal rows are cut once
+    long = texts.where(F.length("text") > part_chars).groupBy("doc_id", F.xxhash64("text").alias("print"), "text").agg(F.count("*").alias("copies"))
+    parts = long.select("doc_id", "print", "copies", "text").mapInArrow(cut, "doc_id bigint, print bigint, copies bigint, k bigint, text string")
+    encoded = parts.repartition("doc_id", "print", "k").mapInArrow(encode, "doc_id bigint, print bigint, copies bigint, k bigint, ids array<int>")
+    grouped = encoded.groupBy("doc_id", "print", "copies").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+    again = grouped.select("doc_id", "parts", F.explode(F.expr("sequence(1L, copies)")).alias("copy")).drop("copy")
+    return short.unionByName(again.mapInArrow(join, "doc_id bigint, ids array<int>"))

@@ -22,6 +22,8 @@ RUN = 40
 BLOCK = RUN // 2
 #: Bits of a block's hash. A chance hit costs a look at the windows around it and never shows in the result.
 BITS = 40
+#: Places that the other bits tell apart. Of records with more windows, all from the last place on are looked at if one of them is hit.
+PLACES = 1 << 64 - BITS
 
 
 def text_records(pages: DataFrame, sections: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def text_records(pages: DataFrame, sections: DataFrame) -> DataFrame:
     return records.select(F.xxhash64("src", "row_id").alias("rec"), "src", "row_id", "text")
 
 
-def _windows(records: DataFrame, step: int) -> DataFrame:
+def _windows(records: DataFrame, step: int, most: int) -> DataFrame:
     """rec, window of the 20-word windows that start at multiples of ``step``.
 
     ``window`` packs the place (upper 24 bits) and 40 bits of the hash, as
@@ -46,7 +48,7 @@ def _windows(records: DataFrame, step: int) -> DataFrame:
             packed = []
             for text in batch.column("text").to_pylist():
                 own = window_hashes(memo.of(text.split()), BLOCK)[::step]
-                places = np.arange(len(own), dtype=np.uint64) * np.uint64(step)
+                places = np.minimum(np.arange(len(own), dtype=np.uint64) * np.uint64(step), np.uint64(most - 1))
                 packed.append((places << np.uint64(BITS)) | (own & low))
             if packed:
                 recs = np.repeat(batch.column("rec").to_numpy(zero_copy_only=False), [len(x) for x in packed])
@@ -55,7 +57,7 @@ def _windows(records: DataFrame, step: int) -> DataFrame:
     return records.select("rec", "text").mapInArrow(windows, "rec bigint, window bigint")
 
 
-def _around_hits(hits: DataFrame, records: DataFrame) -> DataFrame:
+def _around_hits(hits: DataFrame, records: DataFrame, most: int) -> DataFrame:
     """rec, pos, hash of the 40-word windows that hold a hit."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,6 +67,8 @@ def _around_hits(hits: DataFrame, records: DataFrame) -> DataFrame:
             for text, hit in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist()):
                 own = window_hashes(memo.of(text.split()), RUN)
                 near = (np.asarray(hit, dtype=np.int64)[:, None] + np.arange(BLOCK - RUN, 1)[None, :]).ravel()
+                if most - 1 in hit:
+                    near = np.concatenate([near, np.arange(most - 1 + BLOCK - RUN, len(own))])
                 near = np.unique(near[(near >= 0) & (near < len(own))])
                 hashes.append(own[near])
                 places.append(near.astype(np.int32))
@@ -82,7 +86,7 @@ def _in_another(rows: DataFrame, owners: DataFrame) -> DataFrame:
     return rows.join(owners.hint("shuffle_hash"), "hash").where("first_rec <> rec or last_rec <> rec")
 
 
-def shared_spans(pages: DataFrame, sections: DataFrame) -> DataFrame:
+def shared_spans(pages: DataFrame, sections: DataFrame, most: int = PLACES) -> DataFrame:
     """src, row_id, start_word, end_word of every maximal run of shared 40-word windows.
 
     A word lies in a span if it lies in a run of 40 words that stands, word for
@@ -94,12 +98,12 @@ def shared_spans(pages: DataFrame, sections: DataFrame) -> DataFrame:
     records = text_records(pages, sections)
     ends = (F.min("rec").alias("first_rec"), F.max("rec").alias("last_rec"))
     block = F.col("window").bitwiseAND(F.lit((1 << BITS) - 1))
-    index = _windows(records, BLOCK).groupBy(block.alias("block")).agg(*ends)
-    probes = _windows(records, 1).join(index.hint("shuffle_hash"), block == F.col("block"))
+    index = _windows(records, BLOCK, most).groupBy(block.alias("block")).agg(*ends)
+    probes = _windows(records, 1, most).join(index.hint("shuffle_hash"), block == F.col("block"))
     # written, so that nothing later holds on to the shuffled windows
     hits = materialize(probes.where("first_rec <> rec or last_rec <> rec").select("rec", F.shiftrightunsigned("window", BITS).cast("int").alias("pos")))
     del probes, index
-    around = materialize(_around_hits(hits, records))
+    around = materialize(_around_hits(hits, records, most))
     owners = around.groupBy("hash").agg(*ends).where("first_rec <> last_rec")
     runs = _in_another(around, owners).select("rec", "pos")
     order = Window.partitionBy("rec").orderBy("pos")

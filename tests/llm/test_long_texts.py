@@ -32,6 +32,8 @@ def test_near_duplicates_and_shared_spans(spark):
 def test_encoding_leaks_and_labels(spark):
     documents = spark.createDataFrame([(1, LONG)], "doc_id bigint, text string")
     ids = encode_corpus.encode_corpus(documents).first().ids
+    twice = spark.createDataFrame([(1, LONG), (2, LONG), (1, LONG), (3, "")], "doc_id bigint, text string").repartition(3)
+    assert sorted((r.doc_id, len(r.ids)) for r in encode_corpus.encode_corpus(twice).collect()) == [(1, len(ids)), (1, len(ids)), (2, len(ids)), (3, 0)]
     assert list(ids) == encode_corpus.encoder(open(encode_corpus.VOCABULARY, "rb").read()).encode_ordinary(LONG)
     items = spark.createDataFrame([(7, " ".join(WORDS[50_000:50_020]))], "item_id bigint, text string")
     assert leaked_items.leaked_passages(documents, items).first().doc_word == 50_000

@@ -51,6 +51,16 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert near_duplicates.survivors(left, far, least).mean() < 0.001
 
 
+def test_shared_spans_beyond_the_last_place(spark):
+    draw = np.random.default_rng(4)
+    text = lambda n: " ".join(f"w{i}" for i in draw.integers(0, 10_000, size=n))
+    passage, other = text(63), text(41)
+    pages = spark.createDataFrame([("a", f"{text(150)} {passage} {text(300)} {other}"), ("b", f"{passage} {text(9)} {other} {text(200)}")], "extraction_id string, full_text string")
+    sections = spark.createDataFrame([], "section_id string, ai_text string")
+    few = {tuple(r) for r in shared_spans.shared_spans(pages, sections, most=100).collect()}
+    assert few == {tuple(r) for r in shared_spans.shared_spans(pages, sections).collect()} and len(few) == 4
+
+
 def test_shared_spans_against_all_windows(spark):
     draw = np.random.default_rng(3)
     text = lambda n: [f"w{i}" for i in draw.integers(0, 10_000, size=n)]

@@ -101,12 +101,13 @@ def test_leaks_with_places(spark):
     assert (passage.n_words, passage.item_word, passage.doc_word) == (20, 5, 2)
     assert passage.passage == doc[passage.start_char : passage.end_char] and passage.passage.startswith("“WORD5”")
     assert leaked_items.leaked_passages(frame, items).where("doc_id = 6 and item_id = 7").count() == 2
+    assert sorted(map(tuple, leaked_items.leaked_passages(frame, items, at_once=60).collect())) == sorted(map(tuple, leaked_items.leaked_passages(frame, items).collect()))
     assert leaked_items.found(frame, items.limit(0)).count() == 0
     assert leaked_items.found(frame.limit(0), items).count() == 0
 
 
 def test_leaks_in_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(leaked_items, "ITEMS_AT_ONCE", 1)
+    monkeypatch.setattr(leaked_items, "BYTES_AT_ONCE", 1)
     text = " ".join(f"w{i}" for i in range(20))
     items = spark.createDataFrame([(i, text) for i in range(3)], "item_id bigint, text string")
     assert leaked_items.found(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), items).count() == 3
