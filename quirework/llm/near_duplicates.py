@@ -2,9 +2,11 @@
 
 Pages with the same set of shingles form one class; only one page of each class
 takes part in the search. Bands of MinHash values give candidate pairs. Their
-values are then compared a few at a time: a pair is dropped as soon as the
-posterior probability that it reaches the threshold falls below a tolerance.
-The pairs that are left are verified on the whole sets.
+values are then compared a few at a time, those that belong to no band first: a
+pair is dropped as soon as the posterior probability that it reaches the
+threshold falls below a tolerance. The pairs that are left are verified on the
+whole sets, which are made anew for their pages only. The classes of a band that
+many share are cut into parts, and each two parts meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -20,24 +22,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.words import WordHashes, mix, window_hashes
-from quirework.plans.storage import materialize
+from quirework.plans.storage import broadcast_if_small, materialize
 
 SHINGLE = 3
 THRESHOLD = 0.7
 LEAST_WORDS = 30
 #: Bands and MinHash values per band: a pair at the threshold is a candidate with probability 0.9994.
 BANDS, ROWS = 40, 5
-#: MinHash values (one byte each) for the Bayesian comparison, and how many are added at a time.
-VALUES, STEP = 256, 32
+#: MinHash values (one byte each; those of the bands are the last), and how many are added at a time in the Bayesian comparison.
+VALUES, STEP = 256, 8
+#: A band is cut into PARTS parts if at least HOT of the classes that one in SAMPLED stands for share it. This says who does the work, not what is found.
+HOT, PARTS, SAMPLED = 50, 32, 16
 #: Posterior probability below which a pair is dropped.
 TOLERANCE = 1e-4
 
-_FEATURES = "extraction_id string, set_key string, n_words int, shingles array<bigint>, bands array<bigint>, signature binary"
+_FEATURES = "extraction_id string, set_key bigint, signature binary"
 
 
 @functools.lru_cache(maxsize=1)
 def _seeds() -> np.ndarray:
-    return np.random.default_rng(20_240_229).integers(1, 1 << 63, size=BANDS * ROWS + VALUES, dtype=np.uint64)
+    return np.random.default_rng(20_240_229).integers(1, 1 << 63, size=VALUES, dtype=np.uint64)
 
 
 def min_hashes(shingles: np.ndarray) -> np.ndarray:
@@ -83,30 +87,84 @@ def survivors(left: np.ndarray, right: np.ndarray, least: tuple[int, ...]) -> np
     return keep
 
 
+def shingle_set(text: str, memo: WordHashes) -> np.ndarray | None:
+    """Hashes of the distinct shingles of a text of at least 30 words."""
+    words = text.lower().split()
+    return np.unique(window_hashes(memo.of(words), SHINGLE)) if len(words) >= LEAST_WORDS else None
+
+
 def page_features(pages: DataFrame) -> DataFrame:
-    """Shingle set, band keys and signature of each page of at least 30 words."""
+    """Key of the shingle set and signature of each page of at least 30 words."""
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHashes()
-        salts = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             rows = []
             for key, text in batch.itertuples(index=False):
-                words = text.lower().split()
-                if len(words) < LEAST_WORDS:
-                    continue
-                shingles = np.unique(window_hashes(memo.of(words), SHINGLE))
-                values = min_hashes(shingles)
-                bands = values[: BANDS * ROWS].reshape(BANDS, ROWS)
-                keys = salts.copy()
-                for column in range(ROWS):
-                    keys = mix(keys ^ bands[:, column]) + np.uint64(column)
-                rows.append((key, xxhash.xxh3_128_hexdigest(shingles.tobytes()), len(words), shingles.view(np.int64), keys.view(np.int64), mix(values[BANDS * ROWS :]).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(rows, columns=["extraction_id", "set_key", "n_words", "shingles", "bands", "signature"])
+                if (shingles := shingle_set(text, memo)) is not None:
+                    rows.append((key, xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63), mix(min_hashes(shingles)).astype(np.uint8).tobytes()))
+            yield pd.DataFrame(rows, columns=["extraction_id", "set_key", "signature"])
 
     return pages.where("full_text is not null and extraction_id is not null").select("extraction_id", "full_text").mapInPandas(features, _FEATURES)
 
 
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """Key of each band: its number and the five bytes of its values."""
+    bands = signatures[:, VALUES - BANDS * ROWS :].reshape(-1, BANDS, ROWS).astype(np.int64)
+    keys = np.broadcast_to(np.arange(BANDS, dtype=np.int64), bands.shape[:2]).copy()
+    for column in range(ROWS):
+        keys = keys << 8 | bands[:, :, column]
+    return keys
+
+
+def _bands(classes: DataFrame) -> DataFrame:
+    """band, set_key of every class."""
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint8).reshape(-1, VALUES))
+                own = np.repeat(batch.column("set_key").to_numpy(zero_copy_only=False), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(own)], ["band", "set_key"])
+
+    return classes.select("set_key", "signature").mapInArrow(bands, "band bigint, set_key bigint")
+
+
+def candidates(keys: DataFrame, hot: int = HOT) -> DataFrame:
+    """key_a < key_b of the classes that share a band, each pair once."""
+    few = keys.where(F.pmod(F.xxhash64("set_key"), F.lit(SAMPLED)) == 0)
+    crowded = materialize(few.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") >= hot).select("band"))
+    left, right = (keys.select("band", F.col("set_key").alias(f"key_{side}")) for side in "ab")
+    if crowded.isEmpty():
+        return left.join(right, "band").where("key_a < key_b").select("key_a", "key_b").distinct()
+    crowded = broadcast_if_small(crowded)
+    left, right = (side.join(crowded, "band", "left_anti") for side in (left, right))
+    own = keys.join(crowded, "band").withColumn("part", F.pmod(F.xxhash64("set_key"), F.lit(PARTS)).cast("int"))
+    first = own.select("band", F.col("set_key").alias("one"), F.col("part").alias("low"), F.explode(F.sequence("part", F.lit(PARTS - 1))).alias("high"))
+    second = own.select("band", F.col("set_key").alias("two"), F.explode(F.sequence(F.lit(0), "part")).alias("low"), F.col("part").alias("high"))
+    met = first.join(second, ["band", "low", "high"]).where("low < high or one < two")
+    split = met.select(F.least("one", "two").alias("key_a"), F.greatest("one", "two").alias("key_b"))
+    return left.join(right, "band").where("key_a < key_b").select("key_a", "key_b").unionByName(split).distinct()
+
+
+def _shingles(pages: DataFrame, ids: DataFrame) -> DataFrame:
+    """set_key, shingles of the classes of ``ids`` (extraction_id, set_key), made anew from the pages that stand for them."""
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = WordHashes()
+        for batch in batches:
+            rows = []
+            for key, text in batch.itertuples(index=False):
+                shingles = shingle_set(text, memo)
+                # an id delivered with several texts: only the one whose class is asked for
+                if shingles is not None and xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63) == key:
+                    rows.append((key, shingles.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["set_key", "shingles"])
+
+    texts = pages.where("full_text is not null").select("extraction_id", "full_text").join(broadcast_if_small(ids), "extraction_id")
+    return texts.select("set_key", "full_text").mapInPandas(sets, "set_key bigint, shingles array<bigint>").dropDuplicates(["set_key"])
+
+
 def _pruned(pairs: DataFrame) -> DataFrame:
     """Candidate pairs that the Bayesian comparison of their signatures leaves."""
     least = least_matches()
@@ -117,7 +175,7 @@ def _pruned(pairs: DataFrame) -> DataFrame:
                 left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, VALUES) for c in ("sig_a", "sig_b"))
                 yield batch.select(["key_a", "key_b"]).filter(pa.array(survivors(left, right, least)))
 
-    return pairs.mapInArrow(prune, "key_a string, key_b string")
+    return pairs.mapInArrow(prune, "key_a bigint, key_b bigint")
 
 
 def similar_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -130,13 +188,13 @@ def similar_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     features = materialize(page_features(pages))
     members = features.select("extraction_id", "set_key").distinct()
-    classes = materialize(features.groupBy("set_key").agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
-    keys = classes.select("set_key", F.explode("bands").alias("band"))
-    left, right = (keys.select("band", F.col("set_key").alias(f"key_{side}")) for side in "ab")
-    pairs = left.join(right, "band").where("key_a < key_b").select("key_a", "key_b").distinct()
+    classes = materialize(features.groupBy("set_key").agg(F.min("extraction_id").alias("extraction_id"), F.first("signature").alias("signature")))
+    pairs = candidates(_bands(classes))
     sides = {side: classes.select(F.col("set_key").alias(f"key_{side}"), F.col("signature").alias(f"sig_{side}")) for side in "ab"}
-    kept = _pruned(pairs.join(sides["a"], "key_a").join(sides["b"], "key_b").select("key_a", "key_b", "sig_a", "sig_b"))
-    sets = {side: classes.select(F.col("set_key").alias(f"key_{side}"), F.col("shingles").alias(f"set_{side}")) for side in "ab"}
+    kept = materialize(_pruned(pairs.join(sides["a"], "key_a").join(sides["b"], "key_b").select("key_a", "key_b", "sig_a", "sig_b")))
+    asked = kept.select(F.explode(F.array("key_a", "key_b")).alias("set_key")).distinct()
+    found_sets = materialize(_shingles(pages, classes.select("extraction_id", "set_key").join(broadcast_if_small(asked), "set_key")))
+    sets = {side: found_sets.select(F.col("set_key").alias(f"key_{side}"), F.col("shingles").alias(f"set_{side}")) for side in "ab"}
     both = kept.join(sets["a"], "key_a").join(sets["b"], "key_b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     checked = both.select("key_a", "key_b", (common / (F.size("set_a") + F.size("set_b") - common)).alias("similarity"))

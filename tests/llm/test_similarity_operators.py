@@ -41,6 +41,14 @@ def test_near_duplicates_against_all_pairs(spark):
     assert near_duplicates.found(frame.limit(0)).count() == 0
 
 
+def test_bands_that_many_share_are_cut(spark):
+    keys = spark.createDataFrame([(1, k) for k in range(700)] + [(2, k) for k in range(650, 800)] + [(3, 5), (3, 6)], "band bigint, set_key bigint")
+    got = {tuple(r) for r in near_duplicates.candidates(keys, hot=5).collect()}
+    expected = {(a, b) for a in range(700) for b in range(a + 1, 700)} | {(a, b) for a in range(650, 800) for b in range(a + 1, 800)}
+    assert got == expected
+    assert got == {tuple(r) for r in near_duplicates.candidates(keys, hot=10_000).collect()}
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     draw = np.random.default_rng(1)
     least = near_duplicates.least_matches()
