@@ -32,10 +32,10 @@ FREQUENT, RATIO = 20, 20
 NATIVE = ("pdfplumber",)
 #: Lines at the top and at the bottom of a page that can be header, footer or page number.
 EDGE = 2
-#: A header stands on at least this share of a document's scanned pages.
-HEADER_SHARE = 0.25
-#: Pages after a page on which the twin of a damaged header is looked for.
+#: A running header comes again within so many pages.
 NEXT_PAGES = 4
+#: Words from which on a line that comes again later, at the very same height, is a header too.
+HEADER_WORDS = 3
 #: Letters that a page number with its ornament takes at most.
 PAGE_LETTERS = 16
 #: Longest line that can be a header or footer.
@@ -47,8 +47,8 @@ LETTERS_PER_ERROR = 8
 
 _OUTER = ".,;:()[]{}<>\"'!?…“”‘’„«»|*•~–—-‐‑¬­"
 _HAS_LETTER = re.compile(r"[^\W\d_]")
-_NUMBER = r"(?:\d{1,4}|[ivxlc]{1,7})"
-_PAGE = rf"[\[(\-–—~|*•\s]*(?:page|pg\.?|p\.|seite|página|pagina)?\s*{_NUMBER}(?:\s*(?:of|/|von|de|sur)\s*\d{{1,4}})?[\])\-–—~|*•\s]*"
+_NUMBER = r"(?:\d{1,6}|[ivxlc]{1,7})"
+_PAGE = rf"[\[(\-–—~|*•\s]*(?:page|pg\.?|p\.|seite|página|pagina)?\s*{_NUMBER}(?:\s*(?:of|/|von|de|sur)\s*\d{{1,6}})?[\])\-–—~|*•\s]*"
 PAGE_ONLY = rf"(?i)^{_PAGE}$"
 PAGE_AT_EITHER_END = rf"(?i)^{_PAGE}(?:\s*\|\s*|\s{{2,}})|(?:\s*\|\s*|\s{{2,}}){_PAGE}$"
 HYPHENS = "-‐‑¬­"
@@ -65,12 +65,13 @@ _DIFFERENCES = [(wrong, anagram_hash(wrong) - anagram_hash(right)) for wrong, ri
 
 def possible_hashes(word: str) -> dict[int, int]:
     """Hash of what ``word`` may stand for -> fewest confusions that lead there."""
-    own, reached = anagram_hash(word), {}
-    places = [d for wrong, d in _DIFFERENCES for _ in range(word.count(wrong))]
-    for count in range(1, min(MOST_CONFUSIONS, len(places)) + 1):
-        for chosen in set(itertools.combinations(sorted(places), count)):
-            reached.setdefault(own - sum(chosen), count)
-    return reached
+    reached = {anagram_hash(word): 0}
+    for wrong, difference in _DIFFERENCES:  # only how often each confusion is taken counts, not where
+        for target, taken in list(reached.items()):
+            for more in range(1, min(word.count(wrong), MOST_CONFUSIONS - taken) + 1):
+                found = target - more * difference
+                reached[found] = min(reached.get(found, MOST_CONFUSIONS), taken + more)
+    return {target: taken for target, taken in reached.items() if taken}
 
 
 def word_cores(spans: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def corrections(words: DataFrame) -> DataFrame:
             yield batch.assign(target=[anagram_hash(word) for word in batch["right"]])
 
     letters = F.length(F.regexp_replace("word", r"[^\p{L}]", ""))
-    plain = words.where(F.col("word").rlike(r"^[a-z0-9@(ß-ÿ]{2,40}$"))
+    plain = words.where(F.col("word").rlike(r"^[\p{L}\p{N}@(]{2,}$"))
     rare = plain.where(letters >= 2 * (F.length("word") - letters)).mapInPandas(expand, "word string, n bigint, target bigint, edits int")
     frequent = plain.where((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^\p{L}+$")).select(F.col("word").alias("right"), F.col("n").alias("n_right"))
     frequent = frequent.mapInPandas(hashes, "right string, n_right bigint, target bigint")
@@ -124,7 +125,7 @@ def corrections(words: DataFrame) -> DataFrame:
 
 def page_lines(spans: DataFrame) -> DataFrame:
     """The lines of each page in reading order, each once, with their distance from both edges."""
-    lines = spans.where("span_id is not null").select("span_id", F.coalesce("document_id", "span_id").alias("doc"), F.coalesce("page_number", F.lit(-1)).alias("page"), F.coalesce("text", F.lit("")).alias("text"), "x0", "x1", "y0", "y1", (~F.coalesce(F.col("source").isin(*NATIVE), F.lit(False))).alias("scanned"))
+    lines = spans.where("span_id is not null").select("span_id", F.when(F.col("page_number").isNull(), F.col("span_id")).otherwise(F.coalesce("document_id", "span_id")).alias("doc"), F.coalesce("page_number", F.lit(-1)).alias("page"), F.coalesce("text", F.lit("")).alias("text"), "x0", "x1", "y0", "y1", (~F.coalesce(F.col("source").isin(*NATIVE), F.lit(False))).alias("scanned"))
     order = Window.partitionBy("doc", "page").orderBy("y0", "x0", "span_id")
     lines = lines.withColumn("again", F.lag("span_id").over(order) == F.col("span_id")).where("again is null or not again").drop("again")
     whole = Window.partitionBy("doc", "page")
@@ -133,15 +134,21 @@ def page_lines(spans: DataFrame) -> DataFrame:
 
 def edge_noise(lines: DataFrame) -> DataFrame:
     """span_id, noise_type of header, footer and page number lines."""
-    edges = lines.where(f"scanned and (top <= {EDGE} or bottom <= {EDGE})").select("span_id", "doc", "page", "top", "bottom", "text")
+    edges = lines.where(f"scanned and (top <= {EDGE} or bottom <= {EDGE})").select("span_id", "doc", "page", "top", "bottom", "y0", "text")
     number = F.col("text").rlike(PAGE_ONLY) & F.col("text").rlike(r"(?i)[\divxlc]")
     numbers = edges.where(number).select("span_id", F.lit("page_number").alias("noise_type"))
     key = F.lower(F.trim(F.regexp_replace(F.regexp_replace("text", PAGE_AT_EITHER_END, ""), r"\s+", " ")))
     running = F.col("text").rlike(r"^\s*\p{Ll}|[,;\-‐‑¬­]\s*$")  # begins or ends within a sentence
-    keyed = materialize(edges.where(~number & ~running).withColumn("key", key).where(F.length("key").between(4, HEADER_CHARS)).select("span_id", "doc", "page", "top", "bottom", "key"))
-    pages = lines.where("scanned").groupBy("doc").agg(F.count_distinct("page").alias("n_pages"))
-    counts = keyed.groupBy("doc", "key").agg(F.count_distinct("page").alias("n"))
-    headers = counts.where("n >= 2").join(pages, "doc").where(F.col("n") >= HEADER_SHARE * F.col("n_pages")).select("doc", F.col("key").alias("header"))
+    keyed = materialize(edges.where(~number & ~running).withColumn("key", key).where(F.length("key").between(4, HEADER_CHARS)).select("span_id", "doc", "page", "top", "bottom", "y0", "key"))
+    # a header stands at the same edge of two pages, soon again or at the same height
+    edge = F.when(F.col("top") <= EDGE, "top").otherwise("bottom")
+    placed = keyed.withColumn("edge", edge).withColumn("height", F.round("y0", 2))
+    again = Window.partitionBy("doc", "key", "edge").orderBy("page")
+    soon = (F.col("page") > F.lag("page").over(again)) & (F.col("page") - F.lag("page").over(again) <= NEXT_PAGES)
+    headers = placed.withColumn("soon", soon).where("soon").select("doc", F.col("key").alias("header")).distinct()
+    long = placed.where(F.size(F.split("key", " ")) >= HEADER_WORDS)
+    later_again = long.groupBy("doc", "key", "edge", "height").agg(F.count_distinct("page").alias("n")).where("n >= 2")
+    later_again = long.join(later_again, ["doc", "key", "edge", "height"]).select("span_id")
 
     def alike(a: Column, b: Column) -> Column:
         return F.levenshtein(a, b) * LETTERS_PER_ERROR <= F.greatest(F.length(a), F.length(b), F.lit(LETTERS_PER_ERROR))
@@ -158,7 +165,7 @@ def edge_noise(lines: DataFrame) -> DataFrame:
     later = slots.select("doc", F.explode(F.array(*(F.col("page") - k for k in range(1, NEXT_PAGES + 1)))).alias("page"), "edge", F.col("span_id").alias("later_id"), F.col("key").alias("later_key"))
     twins = slots.join(later, ["doc", "page", "edge"]).where(alike(F.col("key"), F.col("later_key")) & (F.col("key") != F.col("later_key")))
     twins = twins.select(F.explode(F.array("span_id", "later_id")).alias("span_id"))
-    return numbers.unionByName(known.unionByName(twins).distinct().withColumn("noise_type", F.lit("header")))
+    return numbers.unionByName(known.unionByName(later_again).unionByName(twins).distinct().withColumn("noise_type", F.lit("header")))
 
 
 def _in_case_of(right: Column, seen: Column) -> Column:

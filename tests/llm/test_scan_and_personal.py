@@ -48,6 +48,21 @@ def test_noise_of_scanned_pages(spark):
     assert "The mortgage was recorded" in pages["e", 2] and "claimant," in pages["e", 2]
 
 
+def test_headers_of_long_documents(spark):
+    """A header on two of many pages; a word with many confusions; a page number of five figures."""
+    draw = np.random.default_rng(9)
+    body = "the claimant served a notice of the third-party complaint on the carrier and the mortgage was recorded".split()
+    rows = []
+    for p in range(1, 13):
+        head = "SCHEDULE OF INSURED ITEMS" if p in (1, 8) else f"{' '.join(draw.permutation(body))}."
+        lines_of = [head, *(" ".join(draw.permutation(body)) + "." for _ in range(6)), f"- {10_000 + p} -"]
+        rows += [(f"q{p}-{k}", "long", p, k, t, "vlm") for k, t in enumerate(lines_of)]
+    got = {tuple(r) for r in scan_repair.found(lines(spark, rows)).collect()}
+    assert {("q1-0", "header", ""), ("q8-0", "header", "")} == {g for g in got if g[1] == "header"}
+    assert {i for i, kind, _ in got if kind == "page_number"} == {f"q{p}-7" for p in range(1, 13)}
+    assert scan_repair.anagram_hash("m" * 60 + "enn") in scan_repair.possible_hashes("rn" + "m" * 59 + "cnn")
+
+
 def test_pages_without_spans_come_from_their_text(spark):
     """Both joinings of lines; a page with spans keeps these."""
     body = ["The mortg@gc was recorded and the", "clairnant served a notice of the mort-", "gage on the carrier in this place."]
