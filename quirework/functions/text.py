@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 #: White space of any kind, for Java's regular expressions.
 BLANK = r"(?U)\s+"
 
-#: Citations of statutes, cases, names, amounts and dates, in the order in which entities are listed.
+#: Forms of statutes, cases, proper names, amounts and dates, in the order in which entities are listed.
 ENTITY_PATTERNS = (
-    r"\d+ U\.S\.C\. § ?\d+[a-z]?",
-    r"[A-Z][a-z]+ v\. [A-Z][a-z]+(?: [A-Z][a-z]+)*",
-    r"(?<!\. )\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\b",
-    r"\$\d[\d,]*(?:\.\d\d)?",
-    r"\b(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4}\b",
+    r"(?U)\b\d+\s+U\.?S\.?C\.?\s*§?\s*\d+(?:\([a-z]\))?\b",
+    r"(?U)\b[A-Z]\w+\s+v\.\s+[A-Z]\w+\b",
+    r"(?U)(?<!\.\s)\b(?:[A-Z][a-z]+\s){1,3}[A-Z][a-z]+\b",
+    r"\$[\d,]+(?:\.\d{2})?",
+    r"(?U)\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}\b",
 )
+#: Fixed value: a citation tag.
 CITATION = r"\[chunk:([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\]"
 
 

@@ -7,8 +7,10 @@ a total order: the score rounded to nine places, then the id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,27 +29,47 @@ def best(ranked: DataFrame, k: int, *, by: str = "query_id") -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def lexical_search(chunks: DataFrame, queries: DataFrame, most_terms: int = 6) -> DataFrame:
-    """Chunks that hold all terms of a query, scored by cover density.
+def ready_only(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Chunks of documents whose newest state is ready."""
+    ready = documents.where(F.col("status") == "ready").select(F.col("document_id").alias("doc")).distinct()
+    return chunks.join(broadcast_if_small(ready), "doc", "left_semi")
+
+
+def in_documents(chunks: DataFrame, ids: DataFrame | list[str] | None) -> DataFrame:
+    """Chunks of the documents named: None names all, an empty list none."""
+    if ids is None:
+        return chunks
+    if isinstance(ids, list):
+        return chunks.where(F.col("doc").isin(ids))
+    return chunks.join(broadcast_if_small(ids.select(F.col("document_id").alias("doc")).distinct()), "doc", "left_semi")
+
+
+def _with_cover(state: Column, hit: Column, at: Column) -> Column:
+    """The fold of one hit: the last place of each term, and the gain of the cover that this hit ends, if it is a new one."""
+    last = F.transform(state["last"], lambda place, k: F.when(k == hit["k"], F.struct(hit["pos"].alias("pos"), at.alias("at"))).otherwise(place))
+    start = F.array_min(last)
+    fresh = (start["pos"] >= 0) & (start["pos"] > state["start"])
+    gain = F.lit(0.1) / (1 + (hit["pos"] - start["pos"]) - (at - start["at"]))
+    return F.struct(last.alias("last"), F.when(fresh, start["pos"]).otherwise(state["start"]).alias("start"), (state["total"] + F.when(fresh, gain).otherwise(0.0)).alias("total"))
+
+
+def lexical_search(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Chunks that hold all terms of a query, however many, scored by cover density.
 
     A cover is a shortest run of words that holds every term; it adds
-    0.1 / (1 + number of other words in it). ``most_terms`` bounds the terms of
-    a query that are ranked (the distinct ones in order); queries without terms
-    match nothing.
+    0.1 / (1 + number of other words in it). Queries without terms match
+    nothing. A chunk's hits of one query are one row, folded in order.
     """
-    asked = queries.select("query_id", F.slice(F.array_distinct(T.terms(F.col("query"))), 1, most_terms).alias("terms")).where("size(terms) > 0")
+    asked = queries.select("query_id", F.array_distinct(T.terms(F.col("query"))).alias("terms")).where("size(terms) > 0")
     asked = asked.select("query_id", F.size("terms").alias("n"), F.posexplode("terms").alias("k", "term"))
     hits = chunks.select("id", F.posexplode(T.terms(F.col("text"))).alias("pos", "term")).join(broadcast_if_small(asked), "term")
-    group = Window.partitionBy("query_id", "id")
-    order = group.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = [F.max(F.when(F.col("k") == k, F.col("pos"))).over(order) for k in range(most_terms)]
-    begun = [F.when(F.col("n") > k, F.coalesce(column, F.lit(-1))) for k, column in enumerate(last)]
-    covers = hits.withColumn("start", F.array_min(F.array_compact(F.array(*begun)))).withColumn("nth", F.row_number().over(group.orderBy("pos")))
-    ends = covers.where("start >= 0").groupBy("query_id", "id", "start").agg(F.min("pos").alias("stop"), F.min("nth").alias("nth"))
-    firsts = covers.select("query_id", "id", F.col("pos").alias("start"), F.col("nth").alias("first"))
-    held = ends.join(firsts, ["query_id", "id", "start"]).withColumn("hits", F.col("nth") - F.col("first") + 1)
-    gain = F.lit(0.1) / (1 + (F.col("stop") - F.col("start")) - (F.col("hits") - 1))
-    return held.groupBy("query_id", "id").agg(F.round(F.sum(gain), 9).alias("score"))
+    held = hits.groupBy("query_id", "id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "k"))).alias("hits"))
+    held = held.where(F.size(F.array_distinct(F.transform("hits", lambda h: h["k"]))) == F.col("n"))
+    numbered = F.transform("hits", lambda h, at: F.struct(h.alias("hit"), at.alias("at")))
+    nowhere = F.array_repeat(F.struct(F.lit(-1).alias("pos"), F.lit(-1).alias("at")), F.col("n"))
+    zero = F.struct(nowhere.alias("last"), F.lit(-1).alias("start"), F.lit(0.0).alias("total"))
+    score = F.aggregate(numbered, zero, lambda state, x: _with_cover(state, x["hit"], x["at"]), lambda state: state["total"])
+    return held.select("query_id", "id", F.round(score, 9).alias("score"))
 
 
 def trigram_search(chunks: DataFrame, queries: DataFrame, least: float = 0.15) -> DataFrame:
@@ -104,9 +126,35 @@ def cap_per_document(ranked: DataFrame, chunks: DataFrame, cap: int = 3, keep: i
     return best(capped.drop("rank"), keep)
 
 
-def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, top: int = 8, fetch: int = 50) -> DataFrame:
-    """Lexical and trigram lists fused, entity bonus added, capped per document: the best ``top`` of each query."""
-    lists = [best(lexical_search(chunks, queries), fetch), best(trigram_search(chunks, queries, 0.0), fetch)]
-    fused = fuse(lists).join(entity_bonus(chunks, queries), ["query_id", "id"], "left")
+def rerank(ranked: DataFrame, chunks: DataFrame, queries: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None, k: int = 8) -> DataFrame:
+    """The best ``k`` of each query by a model's score of (query, text), asked in Arrow batches; without a model the order stays."""
+    if scorer is None:
+        return best(ranked.drop("rank"), k)
+    asked = ranked.join(chunks.select("id", "text"), "id").join(broadcast_if_small(queries.select("query_id", "query")), "query_id")
+    return best(asked.select("query_id", "id", F.pandas_udf(scorer, "double")("query", "text").alias("score")), k)
+
+
+def embed(texts: DataFrame, size: int = 1024) -> DataFrame:
+    """``texts`` with a vector of unit length: trigrams hashed into ``size`` places, by built-in functions. A text without trigrams has a null vector."""
+    places = F.transform(T.trigrams(F.col("text")), lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
+    counted = texts.withColumn("places", F.array_sort(places)).withColumn("counts", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter("places", lambda p: p == k)).cast("float")))
+    length = F.sqrt(F.aggregate("counts", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
+    return counted.withColumn("embedding", F.when(F.size("places") > 0, F.transform("counts", lambda x: (x / length).cast("float")))).drop("places", "counts")
+
+
+def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, top: int = 8, fetch: int = 50, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
+    """Lexical, dense and trigram lists fused (1, 1, 0.5), entity bonus added, capped per document, reranked: the best ``top`` of each query.
+
+    The dense list is made where chunks and queries have an ``embedding``;
+    trigrams are only asked for queries that need them.
+    """
+    gated = queries.where(T.needs_trigrams(F.col("query")))
+    lists, weights = [best(lexical_search(chunks, queries), fetch)], [1.0]
+    if "embedding" in chunks.columns and "embedding" in queries.columns:
+        lists.append(dense_search(chunks.select("id", "embedding"), queries.select("query_id", "embedding"), fetch))
+        weights.append(1.0)
+    lists.append(best(trigram_search(chunks, gated), fetch))
+    weights.append(0.5)
+    fused = fuse(lists, weights).join(entity_bonus(chunks, queries), ["query_id", "id"], "left")
     scored = fused.select("query_id", "id", F.round(F.col("score") + F.coalesce("bonus", F.lit(0.0)), 9).alias("score"))
-    return best(cap_per_document(scored, chunks, keep=fetch).drop("rank"), top)
+    return rerank(cap_per_document(scored, chunks, keep=fetch), chunks, queries, scorer, top)

@@ -124,11 +124,9 @@ _BLANK = r"[\s\x1c-\x1f\x{a0}\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{2
 _JOBS = ", ".join(f"('{k}', '{v}')" for k, v in C.NEXT_JOB.items())
 _TYPES = ", ".join(f"('{k}', '{v}')" for k, v in C.TYPES.items())
 _LINES = r"""l AS (SELECT doc_id::VARCHAR AS doc, unnest(t) AS text, unnest(range(len(t))) AS reading_order FROM (SELECT doc_id, regexp_split_to_array(text, '\n+') AS t FROM documents WHERE text IS NOT NULL))"""
-_ENTITIES = r"""e AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(t, '\d+ U\.S\.C\. § ?\d+[a-z]?'), regexp_extract_all(t, '[A-Z][a-z]+ v\. [A-Z][a-z]+(?: [A-Z][a-z]+)*'),
-    regexp_extract_all(regexp_replace(regexp_replace(t, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{1FFF}\x{2C00}-\x{2FEF}\x{3040}-\x{D7FF}\x{F900}-\x{FDFF}]', '_', 'g'), '\. ([A-Z])', '. _\1', 'g'), '\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\b'), regexp_extract_all(t, '\$\d[\d,]*(?:\.\d\d)?'),
-    regexp_extract_all(regexp_replace(t, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{1FFF}\x{2C00}-\x{2FEF}\x{3040}-\x{D7FF}\x{F900}-\x{FDFF}]', '_', 'g'), '\b(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4}\b'))) AS entity FROM (SELECT doc_id, text AS t FROM documents))"""
+from quirework.plans.retrieval_queries import NAMED_ENTITIES  # noqa: E402
 ORACLES = {
-    "entity_list": f"WITH {_ENTITIES} SELECT DISTINCT doc_id, trim(entity) AS entity FROM e",
+    "entity_list": f"WITH {NAMED_ENTITIES} SELECT id AS doc_id, entity FROM named",
     "text_spans": """WITH p AS (SELECT doc_id AS id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: trim(p)), lambda p: p <> '') AS t FROM documents WHERE text IS NOT NULL),
         r AS (SELECT id, len(t) AS n, unnest(t) AS text, unnest(range(len(t))) AS place FROM p)
         SELECT id, place::INT AS place, round(place / n, 9) AS y0, round((place + 1 - CASE WHEN n > 1 THEN 0.2::DOUBLE ELSE 0 END) / n, 9) AS y1, length(text)::INT AS n_chars FROM r""",
