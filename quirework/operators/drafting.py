@@ -80,14 +80,12 @@ def rule_groups(edits: DataFrame, newest: int = 12, least: int = 3) -> DataFrame
 
 
 def value_changes(edits: DataFrame) -> DataFrame:
-    """edit_id, kind, distance, improvement: what an edit did to a value and the edit distance over the longer text.
+    """edit_id, field_type, kind, distance, share: what an edit did to a value, the edit distance, and its share of the longer text.
 
     Values are compared trimmed; a change of null to a value is an addition,
     the other way round a removal.
     """
-    path = F.when(F.col("field_type") == "section", "$.text").otherwise("$.value")
     get = lambda c: F.trim(F.when(F.col("field_type") == "section", F.get_json_object(c, "$.text")).otherwise(F.get_json_object(c, "$.value")))
-    del path
     rows = edits.select("edit_id", "field_type", get("ai_value").alias("a"), get("user_value").alias("u"))
     kind = F.when(F.col("a").eqNullSafe(F.col("u")), "same").when(F.col("a").isNull(), "added").when(F.col("u").isNull(), "removed").otherwise("modified")
     distance = F.levenshtein("a", "u")

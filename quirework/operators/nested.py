@@ -8,6 +8,7 @@ written partitioned by tag and read back as one table per tag with its schema.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 from typing import Any
@@ -29,16 +30,11 @@ PAYLOADS = {
     "validator": "validator_id string, status string, message string",
 }
 
-#: How often JSON text inside a JSON string is unpacked.
-UNPACK = 8
-
 
 def parse_output(text: str | None) -> dict[str, Any] | None:
     """The object that ``text`` holds, unpacked from JSON strings; None if there is none."""
     value: Any = text
-    for _ in range(UNPACK):
-        if not isinstance(value, str):
-            break
+    while isinstance(value, str):  # each unpacking leaves a shorter text
         try:
             value = json.loads(value)
         except (ValueError, RecursionError):
@@ -146,6 +142,9 @@ def flat_table(tagged: DataFrame, tag: str) -> DataFrame:
     return rows.select("draft_id", "doc", "row_key", "parent_key", "name", "pos", *(F.col(f"payload.{n}").alias(f"p_{n}") for n in names))
 
 
-def found(drafts: DataFrame) -> DataFrame:
-    """draft_id, doc, kind, name, pos of every row below the outputs themselves."""
-    return shred(drafts).where("tag <> 'output'").select("draft_id", "doc", F.col("tag").alias("kind"), "name", "pos").distinct()
+def found(drafts: DataFrame, path: str) -> DataFrame:
+    """draft_id, doc, kind, name, pos of every row below the outputs themselves, from the flat tables written under ``path``."""
+    write_tables(shred(drafts), path)
+    kinds = [tag for tag in PAYLOADS if tag != "output"]
+    tables = (read_flat(drafts.sparkSession, path, tag).select("draft_id", "doc", F.lit(tag).alias("kind"), "name", "pos") for tag in kinds)
+    return functools.reduce(DataFrame.unionByName, tables).distinct()

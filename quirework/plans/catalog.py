@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.plans import document_queries, draft_queries, event_queries, layout_queries, nested_queries, retrieval_queries, review_queries, stream_queries
+from quirework.plans import document_queries, draft_queries, event_queries, layout_queries, nested_queries, retrieval_queries, review_queries, stream_queries, upkeep_queries, validation_queries
 
-_MODULES = [retrieval_queries, event_queries, layout_queries, document_queries, draft_queries, review_queries, nested_queries, stream_queries]
+_MODULES = [retrieval_queries, event_queries, layout_queries, document_queries, draft_queries, review_queries, nested_queries, stream_queries, validation_queries, upkeep_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

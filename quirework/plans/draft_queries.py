@@ -69,10 +69,14 @@ def rule_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def edit_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """All edits, whatever their letters and nulls; the statement below has only the ones in plain ASCII without nulls, as DuckDB counts bytes."""
+    """All edits, whatever their letters and nulls. DuckDB counts the distance in bytes, so that a test compares it with brute force instead."""
     return D.value_changes(_edits(spark, folder))
 
 
+def edit_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return D.value_changes(_edits(spark, folder)).select("edit_id", "kind")
+
+
 def edit_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Every draft with its number of edits, 0 included."""
     counts = _edits(spark, folder).groupBy("draft_id").agg(F.count("*").alias("n_edits"))
@@ -130,35 +134,35 @@ QUERIES = {
     f.__name__: f
     for f in (
         citations_parse, claims_segment, dangling_citations, groundedness_scores, section_scores, section_checks, latest_template, template_changes, edit_metrics, rule_candidates,
-        edit_changes, edit_counts, draft_usage, draft_documents, draft_assembly, parties_changed, validator_status, template_fingerprints, claim_verdicts,
+        edit_changes, edit_kinds, edit_counts, draft_usage, draft_documents, draft_assembly, parties_changed, validator_status, template_fingerprints, claim_verdicts,
     )
 }
 
 from quirework.plans.nested_queries import NEWEST  # noqa: E402
 
 _SEC = "s AS (SELECT DISTINCT ON (section_id) * FROM draft_sections)"
-_CITE = r"\[chunk:([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\]"
-_BLANK = r"[\s\x{a0}\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+CITE = r"\[chunk:([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\]"
+WHITE = r"[\s\x{a0}\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _PARTS = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(ai_text, '([.!?])\s*((?:\[chunk:[^\]]+\]\s*)+)', '\1\2' || chr(1), 'g'), '([.!?])\s+([^\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda p: trim(p)), lambda p: p <> '')"
 _CLAIMS = rf"""{_SEC},
     p AS (SELECT section_id, draft_id, unnest({_PARTS}) AS part, unnest(range(len({_PARTS}))) AS claim_no FROM s WHERE ai_text IS NOT NULL),
-    claims AS (SELECT section_id, draft_id, claim_no, trim(regexp_replace(part, '\s*\[chunk:[^\]]*\]', '', 'g')) AS claim, len(regexp_extract_all(part, '{_CITE}', 1)) AS n FROM p)"""
+    claims AS (SELECT section_id, draft_id, claim_no, trim(regexp_replace(part, '\s*\[chunk:[^\]]*\]', '', 'g')) AS claim, len(regexp_extract_all(part, '{CITE}', 1)) AS n FROM p)"""
 _EDITS = "e AS (SELECT DISTINCT ON (edit_id) * FROM few_shot_store)"
 _LATEST = "d AS (SELECT * FROM drafts QUALIFY row_number() OVER (PARTITION BY draft_id ORDER BY edited_at DESC NULLS LAST, created_at DESC NULLS LAST) = 1)"
 _VALIDATORS = f"WITH {NEWEST}, v AS (SELECT draft_id, e.value AS v FROM outputs, json_each(j, '$.validators') e WHERE doc = 'ai' AND json_type(j, '$.validators') = 'ARRAY' AND json_type(e.value) = 'OBJECT')"
 ORACLES = {
-    "citations_parse": f"WITH {_SEC} SELECT section_id, unnest(c) AS chunk_id, unnest(range(len(c)))::INT AS place FROM (SELECT section_id, regexp_extract_all(ai_text, '{_CITE}', 1) AS c FROM s)",
+    "citations_parse": f"WITH {_SEC} SELECT section_id, unnest(c) AS chunk_id, unnest(range(len(c)))::INT AS place FROM (SELECT section_id, regexp_extract_all(ai_text, '{CITE}', 1) AS c FROM s)",
     "claims_segment": f"WITH {_CLAIMS} SELECT section_id, claim_no::INT AS claim_no, n::INT AS n_chunks, length(claim)::INT AS n_chars FROM claims WHERE claim <> ''",
     "dangling_citations": f"""WITH {NEWEST}, {_SEC},
         sup AS (SELECT draft_id, e.value->>'$' AS chunk_id FROM fields, json_each(m, '$.supporting_chunk_ids') e WHERE doc = 'ai' AND json_type(m) = 'OBJECT' AND json_type(m, '$.supporting_chunk_ids') = 'ARRAY'
                 UNION SELECT draft_id, m->>'$.supporting_chunk_ids' FROM fields WHERE doc = 'ai' AND json_type(m) = 'OBJECT' AND json_type(m, '$.supporting_chunk_ids') = 'VARCHAR'),
-        c AS (SELECT draft_id, unnest(regexp_extract_all(ai_text, '{_CITE}', 1)) AS chunk_id FROM s)
+        c AS (SELECT draft_id, unnest(regexp_extract_all(ai_text, '{CITE}', 1)) AS chunk_id FROM s)
         SELECT draft_id, count(DISTINCT chunk_id) AS n_dangling FROM c WHERE NOT EXISTS (SELECT 1 FROM sup WHERE sup.draft_id = c.draft_id AND sup.chunk_id = c.chunk_id) GROUP BY 1""",
     "groundedness_scores": f"""WITH {_CLAIMS}, x AS (SELECT draft_id, section_id, count(*) AS claims, sum((n > 0)::INT) AS cited FROM claims WHERE claim <> '' GROUP BY 1, 2)
         SELECT draft_id, sum(claims)::BIGINT AS claims, sum(cited)::BIGINT AS cited, round(sum(cited) / sum(claims), 3) AS by_claim, round(avg(cited / claims), 3) AS by_section FROM x GROUP BY 1""",
-    "section_checks": f"""WITH {_SEC}, n AS (SELECT *, len(list_filter(regexp_split_to_array(coalesce(ai_text, ''), '{_BLANK}'), lambda w: w <> '')) AS n FROM s)
+    "section_checks": f"""WITH {_SEC}, n AS (SELECT *, len(list_filter(regexp_split_to_array(coalesce(ai_text, ''), '{WHITE}'), lambda w: w <> '')) AS n FROM s)
         SELECT section_id, name, n::INT AS n_words, CASE WHEN n = 0 THEN 'fail' WHEN n BETWEEN coalesce(target_length_min, 0) AND coalesce(target_length_max, 2147483647) THEN 'ok' ELSE 'warn' END AS length_between,
-               CASE WHEN regexp_matches(coalesce(ai_text, ''), '{_CITE}') THEN 'ok' ELSE 'fail' END AS cites_at_least_one FROM n""",
+               CASE WHEN regexp_matches(coalesce(ai_text, ''), '{CITE}') THEN 'ok' ELSE 'fail' END AS cites_at_least_one FROM n""",
     "section_scores": f"""WITH {NEWEST}, x AS (SELECT o.draft_id, m.name, TRY_CAST(json_extract_string(o.j, '$.sections_groundedness."' || m.name || '"') AS DOUBLE) AS g FROM outputs o JOIN members m ON o.draft_id = m.draft_id AND o.doc = m.doc WHERE o.doc = 'ai' AND m.part <> 'fields')
         SELECT draft_id, round(avg(g), 6) AS mean_score, count(g) AS n_scored FROM x GROUP BY 1""",
     "latest_template": "SELECT template_id, template_version, string_agg(DISTINCT name, ',' ORDER BY name) AS sections FROM section_specs s WHERE template_version = (SELECT max(template_version) FROM section_specs t WHERE t.template_id = s.template_id) GROUP BY 1, 2",
@@ -170,16 +174,14 @@ ORACLES = {
         SELECT c.*, drafts, round(edited / drafts, 6) AS rate FROM c LEFT JOIN t USING (template_id)""",
     "rule_candidates": f"""WITH {_EDITS}, r AS (SELECT template_id, field_or_section_name, field_type, edit_id, row_number() OVER (PARTITION BY template_id, field_or_section_name, field_type ORDER BY created_at DESC, edit_id) AS k FROM e QUALIFY k <= 12)
         SELECT template_id, field_or_section_name, field_type, count(*) AS n, greatest(2, ceil(count(*) * 6 / 10))::INT AS min_evidence, string_agg(edit_id, ',' ORDER BY k) AS edit_ids FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 3""",
-    "edit_changes": f"""WITH {_EDITS}, v AS (SELECT edit_id, field_type, trim(CASE field_type WHEN 'section' THEN ai_value->>'$.text' ELSE ai_value->>'$.value' END) AS a,
-            trim(CASE field_type WHEN 'section' THEN user_value->>'$.text' ELSE user_value->>'$.value' END) AS u FROM e
-            WHERE NOT regexp_matches(ai_value, '[^\\x00-\\x7F]|u00') AND NOT regexp_matches(user_value, '[^\\x00-\\x7F]|u00'))
-        SELECT edit_id, field_type, CASE WHEN a IS NOT DISTINCT FROM u THEN 'same' WHEN a IS NULL THEN 'added' WHEN u IS NULL THEN 'removed' ELSE 'modified' END AS kind,
-               levenshtein(a, u)::INT AS distance, round(levenshtein(a, u) / greatest(length(a), length(u), 1), 6) AS share FROM v""",
+    "edit_kinds": f"""WITH {_EDITS}, v AS (SELECT edit_id, trim(CASE field_type WHEN 'section' THEN ai_value->>'$.text' ELSE ai_value->>'$.value' END) AS a,
+            trim(CASE field_type WHEN 'section' THEN user_value->>'$.text' ELSE user_value->>'$.value' END) AS u FROM e)
+        SELECT edit_id, CASE WHEN a IS NOT DISTINCT FROM u THEN 'same' WHEN a IS NULL THEN 'added' WHEN u IS NULL THEN 'removed' ELSE 'modified' END AS kind FROM v""",
     "edit_counts": f"WITH {_EDITS}, c AS (SELECT draft_id, count(*) AS n FROM e GROUP BY 1) SELECT d.draft_id, coalesce(n, 0) AS n_edits FROM (SELECT DISTINCT draft_id FROM drafts) d LEFT JOIN c USING (draft_id)",
     "draft_usage": f"WITH {_LATEST} SELECT model_used, count(*) AS n, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, sum(cost_usd)::DOUBLE AS cost, round(avg(groundedness_score::DOUBLE), 6) AS mean_score FROM d GROUP BY 1",
     "draft_documents": f"""WITH {_LATEST}, p AS (SELECT DISTINCT draft_id, unnest(document_ids) AS document_id FROM d)
         SELECT draft_id, count(*) AS n_documents, bool_and(document_id IN (SELECT document_id FROM source_documents WHERE status = 'ready')) AS all_ready FROM p GROUP BY 1""",
-    "draft_assembly": f"WITH {_SEC} SELECT draft_id, string_agg(name || ':' || len(regexp_extract_all(coalesce(ai_text, ''), '{_CITE}', 1)), ';' ORDER BY created_at, section_id) AS sections FROM s GROUP BY 1",
+    "draft_assembly": f"WITH {_SEC} SELECT draft_id, string_agg(name || ':' || len(regexp_extract_all(coalesce(ai_text, ''), '{CITE}', 1)), ';' ORDER BY created_at, section_id) AS sections FROM s GROUP BY 1",
     "validator_status": f"{_VALIDATORS} SELECT v->>'$.validator_id' AS validator_id, v->>'$.status' AS status, count(*) AS n FROM v GROUP BY 1, 2",
     "claim_verdicts": f"""{_VALIDATORS} SELECT draft_id || '/' || (v->>'$.field_or_section') AS claim_id,
         CASE coalesce(max(CASE v->>'$.status' WHEN 'ok' THEN 0 WHEN 'warn' THEN 1 WHEN 'fail' THEN 2 END), 2) WHEN 0 THEN 'supported' WHEN 1 THEN 'partial' ELSE 'unsupported' END AS status

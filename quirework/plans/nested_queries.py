@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quirework.operators import nested
@@ -10,13 +12,11 @@ from quirework.sources.tables import read_spread
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.found(read_spread(spark, folder, "drafts"))
+    return nested.found(read_spread(spark, folder, "drafts"), f"{shared_folder(spark)}/quirework-{uuid.uuid4().hex}")
 
 
 def p6_parties(spark: SparkSession, folder: str) -> DataFrame:
     """Parties with the field each belongs to, from the written flat tables."""
-    import uuid
-
     path = f"{shared_folder(spark)}/quirework-{uuid.uuid4().hex}"
     nested.write_tables(nested.shred(read_spread(spark, folder, "drafts")), path)
     parties, fields = nested.read_flat(spark, path, "party"), nested.read_flat(spark, path, "field")

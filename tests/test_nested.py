@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from quirework.operators import nested
 
@@ -12,7 +13,7 @@ def drafts(spark, *rows):
 
 
 def found(frame):
-    return {tuple(r) for r in nested.found(frame).collect()}
+    return {tuple(r) for r in nested.found(frame, tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/tables").collect()}
 
 
 def test_all_kinds_and_places(spark):
