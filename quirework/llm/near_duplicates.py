@@ -213,7 +213,8 @@ def found(pages: DataFrame) -> DataFrame:
 
 
 def classes_with_links(pages: DataFrame) -> DataFrame:
-    """extraction_id, class_id, n_links: class of each page and how many other classes it is similar to."""
+    """extraction_id, class_id, n_links: class of each page, named by its smallest id, and how many other classes it is similar to."""
     members, links = similar_pages(pages)
+    names = members.groupBy("set_key").agg(F.min("extraction_id").alias("class_id"))
     ends = links.select(F.explode(F.array("key_a", "key_b")).alias("set_key")).groupBy("set_key").agg(F.count("*").alias("n_links"))
-    return members.join(ends, "set_key", "left").select("extraction_id", F.col("set_key").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(names.join(ends, "set_key", "left"), "set_key").select("extraction_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -3,7 +3,10 @@
 Vectors are projected onto their main axes (fitted on a bounded sample), turned
 and shifted anew for each of several Hilbert curves, and range-partitioned by
 their place on the curve. Every vector is compared with all those in the
-windows before and after it; the lists of all curves are merged and ranked.
+windows before and after it in its partition; the partitions of each curve end
+elsewhere, so that a neighbour beyond the end of one is met on another curve.
+The lists of all curves are merged and ranked, by vectors of one byte for each
+dimension, so that scores closer than that can change places.
 """
 
 from __future__ import annotations

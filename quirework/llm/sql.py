@@ -16,7 +16,26 @@ def plain_words(column: str) -> str:
     return f"list_filter(list_transform({words(f'lower({column})')}, lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda w: w <> '')"
 
 
+_SHARED = f"""
+        WITH t AS (SELECT 'page_extractions' AS src, extraction_id AS row_id, full_text AS t FROM page_extractions
+                   UNION SELECT 'draft_sections', section_id, ai_text FROM draft_sections),
+             r AS (SELECT src, row_id, {words('t')} AS w FROM t WHERE t IS NOT NULL),
+             g AS (SELECT src, row_id, k, array_to_string(w[k : k + 39], ' ') AS g FROM r, unnest(range(1, len(w) - 38)) AS u(k)),
+             m AS (SELECT g FROM g GROUP BY g HAVING min(src || row_id) <> max(src || row_id)),
+             x AS (SELECT DISTINCT src, row_id, k + d AS pos FROM g SEMI JOIN m USING (g), range(40) AS o(d))"""
+_SIMILAR = f"""
+        WITH p AS (SELECT DISTINCT extraction_id AS id, {words('lower(full_text)')} AS w FROM page_extractions),
+             s AS (SELECT DISTINCT id, array_to_string(w[k : k + 2], ' ') AS g FROM p, unnest(range(1, len(w) - 1)) AS r(k) WHERE len(w) >= 30),
+             k AS (SELECT id, md5(string_agg(g, chr(1) ORDER BY g)) AS own FROM s GROUP BY id),
+             n AS (SELECT own, min(id) AS class_id FROM k GROUP BY own),
+             f AS (SELECT s.id, s.g FROM s SEMI JOIN n ON n.class_id = s.id), z AS (SELECT id, count(*) AS n FROM f GROUP BY id),
+             c AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM f a JOIN f b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2),
+             l AS (SELECT a, count(*) AS n_links FROM c JOIN z x ON x.id = a JOIN z y ON y.id = b WHERE c / (x.n + y.n - c) >= 0.7 GROUP BY 1)"""
+
 ORACLES: dict[str, str] = {
+    "p4_classes": f"{_SIMILAR} SELECT k.id AS extraction_id, class_id, coalesce(n_links, 0) AS n_links FROM k JOIN n USING (own) LEFT JOIN l ON l.a = class_id",
+    "p5_spans": f"""{_SHARED}, i AS (SELECT *, pos - row_number() OVER (PARTITION BY src, row_id ORDER BY pos) AS run FROM x)
+        SELECT src, row_id, (min(pos) - 1)::INT AS start_word, max(pos)::INT AS end_word FROM i GROUP BY src, row_id, run""",
     "p1_found": f"""
         WITH newest AS (SELECT template_id, name, arg_max(struct_pack(m := target_length_max), template_version).m AS m
                         FROM section_specs GROUP BY 1, 2)
