@@ -64,6 +64,13 @@ def oldest_of(rows: DataFrame, key: str, order: str, of: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(F.struct(order, of)).alias("f")).select(key, F.col(f"f.{of}").alias(of))
 
 
+def reclaimed(beats: DataFrame, now: Column, seconds: int) -> DataFrame:
+    """Jobs that run without a heartbeat within the lease, back in line: job_id, last_beat, status."""
+    last = beats.groupBy("job_id").agg(F.max(F.struct("ts", "event_id", "status")).alias("l"), F.max("ts").alias("last_beat"))
+    late = F.col("last_beat") < now - F.make_dt_interval(secs=F.lit(seconds))
+    return last.where((F.col("l.status") == "running") & late).select("job_id", "last_beat", F.lit("pending").alias("status"))
+
+
 def page_numbers(rows: DataFrame, ranges: str) -> DataFrame:
     """Every row with each page that a text like 1-3,7 names, sorted and once; parts that are no range give none."""
     parts = F.filter(F.transform(F.split(ranges, ","), lambda p: F.trim(p)), lambda p: p.rlike(r"^\d+(\s*-\s*\d+)?$"))

@@ -50,6 +50,7 @@ NEWEST = """
 """
 
 ORACLES = {
+    "p6_parties": f"WITH {NEWEST} SELECT DISTINCT draft_id, doc, name, pos, v->>'$.name' AS p_name, v->>'$.role' AS p_role FROM elements WHERE json_type(v) = 'OBJECT'",
     "p6_found": f"""
     WITH {NEWEST}
     SELECT DISTINCT * FROM (

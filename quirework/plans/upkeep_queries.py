@@ -87,13 +87,19 @@ def first_file(spark: SparkSession, folder: str) -> DataFrame:
     return types.join(ready, "doc_type").groupBy("doc_type").agg(F.min("document_id").alias("document_id"))
 
 
+def reclaimed_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """A user's events as a job's log: jobs that have been silent for six hours are pending again."""
+    events = read_table(spark, folder, "events").where("user_id is not null").select(F.col("user_id").alias("job_id"), "ts", "event_id", F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running").alias("status"))
+    return upkeep.reclaimed(events, F.lit("2024-01-31").cast("timestamp_ntz"), 6 * 3_600)
+
+
 def running_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of each page by the running mean of their height."""
     spans = read_table(spark, folder, "ocr_spans").where("span_id is not null and document_id is not null and y0 is not null").select(F.col("document_id").alias("doc"), F.coalesce("page_number", F.lit(-1)).alias("page"), "y0", "x0", "span_id").distinct()
     return upkeep.lines_by_mean(spans, 0.004)
 
 
-QUERIES = {f.__name__: f for f in (cache_upsert, extractor_state, moved_documents, block_cascade, unindexed_edits, edits_to_mine, texts_without_vector, next_in_line, pages_asked_for, first_file, running_lines)}
+QUERIES = {f.__name__: f for f in (cache_upsert, extractor_state, moved_documents, block_cascade, unindexed_edits, edits_to_mine, texts_without_vector, next_in_line, pages_asked_for, first_file, reclaimed_jobs, running_lines)}
 
 _E = "e AS (SELECT DISTINCT ON (edit_id) * FROM few_shot_store)"
 _D = "d AS (SELECT document_id, arg_max(struct_pack(s := status, f := filename, c := created_at, p := page_count), updated_at) AS r FROM source_documents WHERE document_id IS NOT NULL GROUP BY 1)"
@@ -110,5 +116,7 @@ ORACLES = {
     "texts_without_vector": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "next_in_line": f"WITH {_D} SELECT r.s AS status, arg_min(document_id, (r.c, document_id)) AS document_id FROM d GROUP BY 1",
     "pages_asked_for": f"WITH {_D} SELECT DISTINCT document_id, page::INT AS page FROM (SELECT document_id, unnest(list_append(range(1, least(r.p, 3) + 1), r.p::BIGINT)) AS page FROM d WHERE r.p IS NOT NULL)",
+    "reclaimed_jobs": """WITH l AS (SELECT user_id AS job_id, ts AS last_beat, event_type FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+        SELECT job_id, last_beat, 'pending' AS status FROM l WHERE event_type NOT IN ('purchase', 'error') AND last_beat < TIMESTAMP '2024-01-31' - INTERVAL 6 HOUR""",
     "first_file": f"WITH {_D} SELECT t.doc_type, min(document_id) AS document_id FROM (SELECT DISTINCT doc_type FROM documents WHERE doc_type IS NOT NULL) t JOIN d ON r.s = 'ready' AND regexp_extract(r.f, '^(.*)_\\d+\\.\\w+$', 1) = t.doc_type GROUP BY 1",
 }

@@ -8,6 +8,7 @@ table it leaves.
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -57,27 +58,32 @@ def first_deliveries(events: DataFrame, delay: str = "60 days") -> DataFrame:
 def admitted_spend(events: DataFrame, cap: float, seconds: int = 3600) -> DataFrame:
     """Which requests a budget of ``cap`` per hour admits: each looks back on those admitted before it.
 
-    The state of a key holds the admitted requests of the last hour only.
-    Requests of a batch are taken in the order of their time and id.
+    The state of a key holds the admitted requests of the last hour only, with
+    amounts in millionths, so that their running sum is exact. Requests of a
+    batch are taken in the order of their time and id. A null value costs
+    nothing.
     """
 
     def admit(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, values = (list(x) for x in state.get) if state.exists else ([], [])
+        held = deque(zip(*state.get)) if state.exists else deque()
+        spent = sum(amount for _, amount in held)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         admitted = []
         for ts, value in zip(rows["ts"], rows["value"]):
             now = ts.timestamp()
-            while times and times[0] < now - seconds:
-                times.pop(0), values.pop(0)
-            fits = sum(values) + value <= cap
+            while held and held[0][0] < now - seconds:
+                spent -= held.popleft()[1]
+            amount = 0 if pd.isna(value) else round(value * 1_000_000)
+            fits = spent + amount <= cap * 1_000_000
             if fits:
-                times.append(now), values.append(float(value))
+                held.append((now, amount))
+                spent += amount
             admitted.append(fits)
-        state.update((times, values))
+        state.update(([time for time, _ in held], [amount for _, amount in held]))
         yield rows.assign(admitted=admitted)[["event_id", "user_id", "admitted"]]
 
     return events.select("event_id", "user_id", "ts", "value").groupBy("user_id").applyInPandasWithState(
-        admit, "event_id bigint, user_id bigint, admitted boolean", "times array<double>, amounts array<double>", "append", GroupStateTimeout.NoTimeout
+        admit, "event_id bigint, user_id bigint, admitted boolean", "times array<double>, amounts array<bigint>", "append", GroupStateTimeout.NoTimeout
     )
 
 

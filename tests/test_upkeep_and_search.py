@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pandas as pd
 import pytest
@@ -97,6 +98,22 @@ def test_claims_follow_their_tags(spark):
     assert bare["inside"] == "One. Two  three. Four!" and "null" not in bare
 
 
+def test_budget_against_a_loop(spark):
+    from quirework.plans import stream_queries
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    events = spark.read.parquet(f"{folder}/events.parquet").toPandas().drop_duplicates("event_id").sort_values(["ts", "event_id"])
+    expected, held = {}, {}
+    for event, user, ts, value in zip(events.event_id, events.user_id, events.ts, events.value):
+        own = [(t, v) for t, v in held.get(user, []) if t >= ts - pd.Timedelta(hours=1)]
+        expected[event] = sum(v for _, v in own) + round(value * 1e6) <= 100e6
+        held[user] = own + [(ts, round(value * 1e6))] * expected[event]
+    got = {r.event_id: r.admitted for r in stream_queries.stream_budget(spark, folder).collect()}
+    assert got == expected and 0 < sum(got.values())
+
+
 def test_json_in_many_layers():
     text = json.dumps({"fields": {}})
     for _ in range(10):
