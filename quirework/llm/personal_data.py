@@ -49,7 +49,7 @@ WITHOUT_FORMATS = 4
 #: Passes over the windows in training and windows per gradient step; rounds of messages between equal tokens.
 PASSES, BATCH, ROUNDS = 8, 64, 2
 #: Weight of what the other tokens of a group believe, and its limit.
-SHARED, MOST = 0.7, 2.5
+SHARED, MOST = 1.0, 4.0
 #: Log probability of being no part of an item above which a token takes no part in the messages.
 SURE = -1e-3
 #: Log probability of being no part of an item up to which a name token makes windows at its other places in the document.
@@ -811,10 +811,10 @@ def shared_key(token: str, lexicon: Lexicon) -> str:
 
 
 def _sent(text: str, spans: list[tuple[int, int]], logs: np.ndarray, got: dict[int, np.ndarray], lexicon: Lexicon) -> Iterator[tuple[int, str, list[float]]]:
-    """(place, key, belief) of the tokens of a window that may be part of an item, whatever their kind, without what their group told them."""
-    for at in np.flatnonzero(logs[:, OTHER] <= SURE).tolist():
-        a, b = spans[at]
-        if b - a >= 3 and (key := shared_key(text[a:b], lexicon)):
+    """(place, key, belief) of the tokens of a window that may be part of an item or are known as names, without what their group told them."""
+    maybe = logs[:, OTHER] <= SURE
+    for at, (a, b) in enumerate(spans):
+        if b - a >= 3 and (maybe[at] or text[a].isupper()) and (key := shared_key(text[a:b], lexicon)) and (maybe[at] or lexicon.count(key)):
             yield at, key, (np.clip(logs[at], -MOST * 2, 0) - got.get(at, 0)).tolist()
 
 
