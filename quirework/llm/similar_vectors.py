@@ -3,15 +3,16 @@
 Vectors are projected onto their main axes (fitted on a bounded sample), turned
 and shifted anew for each of several Hilbert curves, and range-partitioned by
 their place on the curve. Every vector is compared with all those in the
-windows before and after it in its partition; the partitions of each curve end
-elsewhere, so that a neighbour beyond the end of one is met on another curve.
-The lists of all curves are merged and ranked, by vectors of one byte for each
-dimension, so that scores closer than that can change places.
+windows before and after it: by their projections first, then the nearest of
+them by all dimensions. The borders of the partitions come from the places of
+the same sample, and the vectors about a quarter of a window beyond a border are
+copied across it. The lists of all curves are merged and ranked, by vectors of
+one byte for each dimension, so that scores closer than that can change places.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,14 +28,22 @@ K = 5
 #: About so many vectors, chosen by the hash of their ids, are the sample that the main axes are fitted on.
 SAMPLE = 4000
 CURVES, AXES, TURNED, BITS = 4, 32, 16, 4
-#: Vectors compared at a time, and how many before and after them.
-WINDOW = 512
-#: Vectors that one task takes in at a time, and about how many it gets in all.
-CHUNK, ROWS_PER_TASK = 4096, 20_000
+#: Vectors before and after each that it is compared with, at least, and as a share of all vectors: recall follows the share.
+WINDOW, WINDOW_SHARE = 4096, 1 / 400
+#: Main axes by which a window is looked through, and how many of it are then compared by all dimensions.
+LOOK_AXES, LOOKED_AT = 64, 32
+#: Vectors that one task takes in at a time, and about how many a partition of a curve has (four windows at least).
+CHUNK, ROWS_PER_TASK = 4096, 32_768
+#: Part of a window that is copied across the borders of partitions.
+REACH = 1 / 4
+#: Scores that are held at a time.
+SCORES = 1 << 22
+#: Points of the sample that lie between two borders at least, which bounds the number of partitions.
+POINTS_PER_PART = 4
 #: Standard deviations that the curve's cube spans on either side.
 SPREAD = 3.2
 
-_POINT = "curve int, place bigint, edit_id string, vector binary"
+_POINT = "part int, key binary, own boolean, edit_id string, vector binary"
 _NEAR = "edit_id string, others array<string>, scores array<float>"
 
 
@@ -73,16 +82,13 @@ def _stacked(batch: pd.DataFrame) -> tuple[pd.Series, np.ndarray]:
     return batch["edit_id"][usable], (rows[usable] / norms[usable, None]).astype(np.float32)
 
 
-def main_axes(vectors: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, main axes and the deviation along each, of a sample of about SAMPLE of ``count`` vectors."""
-    share = min(1.0, SAMPLE / max(count, 1))
-    sample = vectors.where(F.pmod(F.xxhash64("edit_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
-    _, rows = _stacked(sample.toPandas())
+def main_axes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, main axes and the deviation along each, of the sampled unit vectors."""
     if not len(rows):
-        return np.zeros(DIMENSIONS, np.float32), np.zeros((DIMENSIONS, AXES), np.float32), np.ones(AXES, np.float32)
+        return np.zeros(DIMENSIONS, np.float32), np.zeros((DIMENSIONS, LOOK_AXES), np.float32), np.ones(LOOK_AXES, np.float32)
     mean = rows.mean(axis=0)
     _, axes = np.linalg.eigh((rows - mean).T @ (rows - mean))
-    axes = np.ascontiguousarray(axes[:, ::-1][:, :AXES])
+    axes = np.ascontiguousarray(axes[:, ::-1][:, :LOOK_AXES])
     return mean, axes, ((rows - mean) @ axes).std(axis=0)
 
 
@@ -97,10 +103,60 @@ def curve_shapes(deviations: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return shapes
 
 
-def _points(vectors: DataFrame, count: int) -> DataFrame:
-    """Every vector in one byte per dimension, with its place on each curve."""
-    mean, axes, deviations = main_axes(vectors, count)
-    shapes = curve_shapes(deviations)
+def _keys(places: np.ndarray, ids: pd.Series) -> np.ndarray:
+    """Place and a hash of the id, as bytes in their order: a cell that many vectors share can be cut too."""
+    salts = np.array([xxhash.xxh64_intdigest(i) for i in ids], dtype=np.uint64)
+    return np.stack([places, salts], axis=1).astype(">u8").view("S16").ravel()
+
+
+class Curve:
+    """One Hilbert curve, with the borders of its partitions and how far beyond them vectors are copied."""
+
+    def __init__(self, turn: np.ndarray, shift: np.ndarray) -> None:
+        self.turn, self.shift = turn, shift
+        self.borders = self.below = self.above = np.zeros(0, "S16")
+
+    def keys(self, projected: np.ndarray, ids: pd.Series) -> np.ndarray:
+        cells = (projected @ self.turn + self.shift + SPREAD) / (2 * SPREAD) * (1 << BITS)
+        return _keys(hilbert_places(np.clip(cells, 0, (1 << BITS) - 1), BITS), ids)
+
+    def cut(self, sample: np.ndarray, parts: int, reach: float) -> None:
+        """Borders at the quantiles of the sample's keys; ``reach`` is a window's length in points of the sample."""
+        points = [int.from_bytes(key.ljust(16, b"\0"), "big") for key in np.sort(sample).tolist()]
+
+        def at(place: float) -> bytes:
+            place = min(max(place, 0.0), len(points) - 1.0)
+            low = int(place)
+            step = points[min(low + 1, len(points) - 1)] - points[low]
+            return (points[low] + int((place - low) * (1 << 32)) * step // (1 << 32)).to_bytes(16, "big")
+
+        middles = [len(points) * part / parts for part in range(1, parts)]
+        self.borders, self.below, self.above = (np.array([at(m + d) for m in middles], "S16") for d in (0, -reach, reach))
+
+    def parts(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(rows, their partitions, whether they are its own) of the keys: own rows, then the copies for the next and the last partition."""
+        part = np.searchsorted(self.borders, keys, side="right")
+        yield np.arange(len(keys)), part, True
+        for edges, border, step in ((self.below, part, 1), (self.above, part - 1, -1)):
+            inner = np.flatnonzero((border >= 0) & (border < len(self.borders)))
+            near = keys[inner] >= edges[border[inner]] if step > 0 else keys[inner] < edges[border[inner]]
+            yield inner[near], part[inner[near]] + step, False
+
+
+def _lists(vectors: DataFrame, count: int, window: int) -> DataFrame:
+    """edit_id, others, scores: the nearest of every vector on each curve.
+
+    Every vector goes, in one byte per dimension, to its partition of each curve
+    and to those whose windows reach it.
+    """
+    share = min(1.0, SAMPLE / max(count, 1))
+    ids, rows = _stacked(vectors.where(F.pmod(F.xxhash64("edit_id"), F.lit(1 << 32)) < int(share * (1 << 32))).toPandas())
+    mean, look_axes, deviations = main_axes(rows)
+    axes = np.ascontiguousarray(look_axes[:, :AXES])
+    parts = max(1, min(-(-count // max(ROWS_PER_TASK, 4 * window)), len(ids) // POINTS_PER_PART))
+    curves = [Curve(*shape) for shape in curve_shapes(deviations[:AXES])]
+    for curve in curves if len(ids) else ():
+        curve.cut(curve.keys((rows - mean) @ axes, ids), parts, REACH * window * len(ids) / count)
 
     def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -108,67 +164,107 @@ def _points(vectors: DataFrame, count: int) -> DataFrame:
             if not len(ids):
                 continue
             coarse = np.rint(rows * (127 / np.abs(rows).max(axis=1))[:, None]).astype(np.int8)
-            packed = [row.tobytes() for row in coarse]
+            names, packed = ids.to_numpy(), np.array([row.tobytes() for row in coarse], dtype=object)
             projected = (rows - mean) @ axes
-            for curve, (turn, shift) in enumerate(shapes):
-                cells = (projected @ turn + shift + SPREAD) / (2 * SPREAD) * (1 << BITS)
-                places = hilbert_places(np.clip(cells, 0, (1 << BITS) - 1), BITS)
-                # signed order of the shifted value is the unsigned order of the place
-                yield pd.DataFrame({"curve": np.int32(curve), "place": (places ^ np.uint64(1 << 63)).view(np.int64), "edit_id": ids.to_numpy(), "vector": packed})
-
-    return vectors.mapInPandas(points, _POINT)
-
-
-def _ranked(ids: np.ndarray, rows: np.ndarray, first: int, last: int) -> Iterator[tuple[str, list[str], list[float]]]:
-    """The K nearest of each of rows first..last-1 among the windows around them."""
-    for start in range(first, last, WINDOW):
-        stop = min(start + WINDOW, last)
-        low, high = max(0, start - WINDOW), min(len(ids), stop + WINDOW)
-        scores = rows[start:stop] @ rows[low:high].T
-        scores[np.arange(stop - start), np.arange(start - low, stop - low)] = -2
-        few = min(K + 3, scores.shape[1] - 1)
-        if few <= 0:
-            continue
-        best = np.argpartition(scores, -few, axis=1)[:, -few:]
-        for i in range(stop - start):
-            mine = sorted(((-float(scores[i, j]), ids[low + j]) for j in best[i]))[:K]
-            yield ids[start + i], [other for _, other in mine], [-score for score, _ in mine]
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams the sorted points of a partition through a sliding window, one curve after the other."""
-    ids, rows, done, current = np.zeros(0, dtype=object), np.zeros((0, DIMENSIONS), np.float32), 0, None
-
-    def flush(ahead: int) -> pa.RecordBatch | None:
-        nonlocal ids, rows, done
-        last = len(ids) - ahead
-        if last <= done:
-            return None
-        found = list(_ranked(ids, rows, done, last))
-        kept = max(0, last - WINDOW)
-        ids, rows, done = ids[kept:], rows[kept:], last - kept
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.string())), pa.array([f[2] for f in found], pa.list_(pa.float32()))], ["edit_id", "others", "scores"]) if found else None
-
-    for batch in batches:
-        curves = batch.column("curve").to_numpy(zero_copy_only=False)
-        keys = np.array(batch.column("edit_id").to_pylist(), dtype=object)
-        vectors = batch.column("vector").to_pylist()
-        for curve in np.unique(curves):
-            if curve != current:
-                if (out := flush(0)) is not None:
+            for n, curve in enumerate(curves):
+                keys = curve.keys(projected, ids)
+                whole = np.array([key.ljust(16, b"\0") for key in keys.tolist()], dtype=object)
+                for at, part, own in curve.parts(keys):
+                    if len(at):
+                        yield pd.DataFrame({"part": (n * parts + part).astype(np.int32), "key": whole[at], "own": own, "edit_id": names[at], "vector": packed[at]})
+
+    every = vectors.mapInPandas(points, _POINT)
+    ordered = every.repartitionById(len(curves) * parts, F.col("part")).sortWithinPartitions("part", "key", "edit_id")
+    return ordered.mapInArrow(_near(window, mean, look_axes), _NEAR)
+
+
+class Strip:
+    """Points of a partition in their order on the curve, as far as the window has come."""
+
+    def __init__(self) -> None:
+        self.ids, self.own = np.zeros(0, dtype=object), np.zeros(0, dtype=bool)
+        self.rows, self.norms = np.zeros((0, DIMENSIONS), np.int8), np.zeros(0, np.float32)
+        self.looks = np.zeros((0, LOOK_AXES), np.float32)
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.ids, self.own, self.rows, self.norms, self.looks
+
+    def take(self, *more: np.ndarray) -> None:
+        self.ids, self.own, self.rows, self.norms, self.looks = (np.concatenate(both) for both in zip(self.parts(), more))
+
+    def drop(self, n: int) -> None:
+        self.ids, self.own, self.rows, self.norms, self.looks = (part[n:] for part in self.parts())
+
+    def cosines(self, of: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Cosine of each row with each of its others."""
+        result = np.empty(others.shape, np.float32)
+        for start in range(0, len(of), 32):
+            some = slice(start, start + 32)
+            mine = self.rows[of[some]].astype(np.float32)[:, :, None]
+            dots = (self.rows[others[some]].astype(np.float32) @ mine)[:, :, 0]
+            result[some] = dots / (self.norms[of[some], None] * self.norms[others[some]])
+        return result
+
+    def ranked(self, first: int, last: int, window: int) -> Iterator[tuple[str, list[str], list[float]]]:
+        """The K nearest of each own row of rows first..last-1 among the windows around them."""
+        squares = (self.looks**2).sum(axis=1)
+        block = max(16, min(512, SCORES // (2 * window)))
+        for start in range(first, last, block):
+            stop = min(start + block, last)
+            own = np.flatnonzero(self.own[start:stop]) + start
+            low, high = max(0, start - window), min(len(self.ids), stop + window)
+            few = min(LOOKED_AT, high - low - 1)
+            if not len(own) or few <= 0:
+                continue
+            near = 2 * (self.looks[own] @ self.looks[low:high].T) - squares[low:high]
+            near[np.arange(len(own)), own - low] = -np.inf
+            best = np.argpartition(near, -few, axis=1)[:, -few:] + low
+            for i, others, scores in zip(own, best, self.cosines(own, best)):
+                top = sorted(zip((-scores).tolist(), self.ids[others].tolist()))[:K]
+                yield self.ids[i], [other for _, other in top], [-score for score, _ in top]
+
+
+def _near(window: int, mean: np.ndarray, axes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Streams sorted points through a sliding window, one partition of a curve after the other."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strip, done, current = Strip(), 0, None
+
+        def flush(ahead: int) -> pa.RecordBatch | None:
+            nonlocal done
+            last = len(strip.ids) - ahead
+            if last <= done:
+                return None
+            found = list(strip.ranked(done, last, window))
+            kept = max(0, last - window)
+            strip.drop(kept)
+            done = last - kept
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.string())), pa.array([f[2] for f in found], pa.list_(pa.float32()))], ["edit_id", "others", "scores"]) if found else None
+
+        for batch in batches:
+            parts = batch.column("part").to_numpy(zero_copy_only=False)
+            keys = np.array(batch.column("edit_id").to_pylist(), dtype=object)
+            owned = batch.column("own").to_numpy(zero_copy_only=False)
+            vectors = batch.column("vector").to_pylist()
+            for part in np.unique(parts):
+                if part != current:
+                    if (out := flush(0)) is not None:
+                        yield out
+                    strip, done, current = Strip(), 0, part
+                these = np.flatnonzero(parts == part)
+                before = np.concatenate([strip.ids[-1:], keys[these]])[-len(these) - 1 : -1] if len(strip.ids) else np.concatenate([[None], keys[these][:-1]])
+                these = these[keys[these] != before]  # rows delivered twice are neighbours
+                if len(these):
+                    rows = np.frombuffer(b"".join(vectors[i] for i in these), dtype=np.int8).reshape(len(these), DIMENSIONS)
+                    units = rows.astype(np.float32)
+                    norms = np.linalg.norm(units, axis=1)
+                    strip.take(keys[these], owned[these], rows, norms, (units / norms[:, None] - mean) @ axes)
+                if len(strip.ids) - done >= CHUNK + window and (out := flush(window)) is not None:
                     yield out
-                ids, rows, done, current = ids[:0], rows[:0], 0, curve
-            own = np.flatnonzero(curves == curve)
-            before = np.concatenate([ids[-1:], keys[own]])[-len(own) - 1 : -1] if len(ids) else np.concatenate([[None], keys[own][:-1]])
-            own = own[keys[own] != before]  # rows delivered twice are neighbours
-            if len(own):
-                fresh = np.frombuffer(b"".join(vectors[i] for i in own), dtype=np.int8).reshape(len(own), DIMENSIONS).astype(np.float32)
-                fresh /= np.linalg.norm(fresh, axis=1)[:, None]
-                ids, rows = np.concatenate([ids, keys[own]]), np.concatenate([rows, fresh])
-            if len(ids) - done >= CHUNK + WINDOW and (out := flush(WINDOW)) is not None:
-                yield out
-    if (out := flush(0)) is not None:
-        yield out
+        if (out := flush(0)) is not None:
+            yield out
+
+    return near
 
 
 def _fingerprints(vectors: DataFrame) -> DataFrame:
@@ -182,7 +278,7 @@ def _fingerprints(vectors: DataFrame) -> DataFrame:
     return vectors.mapInPandas(hashes, "edit_id string, print string")
 
 
-def nearest_vectors(store: DataFrame) -> DataFrame:
+def nearest_vectors(store: DataFrame, window: int | None = None) -> DataFrame:
     """edit_id, rank, other_id, score: the five most similar vectors of every usable vector.
 
     A vector is usable if it has 1024 elements, none of them null or NaN, that
@@ -190,6 +286,8 @@ def nearest_vectors(store: DataFrame) -> DataFrame:
     one; extra columns are ignored. Of more than six equal vectors only the six
     with the smallest ids are searched; the others have the first five of them,
     which no search could better, so that copies never crowd a window.
+    ``window`` is how many vectors before and after it each is compared with on
+    every curve; left out, it is WINDOW or a WINDOW_SHARE of the vectors, if more.
     """
     vectors = store.select("edit_id", "embedding").where("edit_id is not null and size(embedding) = 1024")
     prints = materialize(_fingerprints(vectors).distinct())
@@ -204,9 +302,7 @@ def nearest_vectors(store: DataFrame) -> DataFrame:
         first = leaders.where(F.col("rank") <= K).select("print", F.col("edit_id").alias("other_id"), "rank")
         copies = followers.join(first, "print").select("edit_id", "rank", "other_id", F.lit(1.0).cast("float").alias("score"))
     count = prints.count()
-    parts = max(1, -(-CURVES * count // ROWS_PER_TASK))
-    sorted_points = _points(vectors, count).repartitionByRange(parts, "curve", "place").sortWithinPartitions("curve", "place", "edit_id")
-    lists = sorted_points.mapInArrow(_near, _NEAR)
+    lists = _lists(vectors, count, window or max(WINDOW, int(count * WINDOW_SHARE)))
     pairs = lists.select("edit_id", F.arrays_zip("others", "scores").alias("near")).groupBy("edit_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     by_score = F.transform("near", lambda p: F.struct((-p["scores"]).alias("minus"), p["others"].alias("other_id")))
     # the same pair can differ in the last bit between curves: keep its first place in the order only

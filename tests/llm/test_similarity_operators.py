@@ -143,3 +143,48 @@ def test_hilbert_places_are_neighbours():
     cells = np.array([(a, b) for a in range(side) for b in range(side)])
     order = cells[np.argsort(similar_vectors.hilbert_places(cells, 3))]
     assert (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_windows_reach_over_borders():
+    curve = similar_vectors.Curve(np.zeros((1, 1), np.float32), np.zeros(1, np.float32))
+    places = np.random.default_rng(5).integers(0, 1 << 63, size=1500, dtype=np.uint64)
+    keys = similar_vectors._keys(places, [f"id{i}" for i in range(1500)])
+    curve.cut(keys, 10, 40)
+    order = np.argsort(keys)
+    seen, own = {part: set() for part in range(10)}, {}
+    for at, parts, mine in curve.parts(keys):
+        for row, part in zip(at.tolist(), parts.tolist()):
+            seen[part].add(row)
+            if mine:
+                own[row] = part
+    assert len(own) == 1500
+    for n, row in enumerate(order.tolist()):
+        assert set(order[max(0, n - 40) : n + 41].tolist()) <= seen[own[row]]
+
+
+def test_many_partitions_lose_no_neighbours(spark, monkeypatch):
+    x = vectors(1500, seed=5)
+    rows = store(spark, [(f"{i:05}", v.tolist()) for i, v in enumerate(x)])
+    pairs = lambda: {tuple(r) for r in similar_vectors.nearest_vectors(rows, window=40).select("edit_id", "other_id").collect()}
+    whole = pairs()
+    monkeypatch.setattr(similar_vectors, "ROWS_PER_TASK", 160)
+    cut = pairs()
+    assert len(whole) == len(cut) == 5 * len(x) and len(whole & cut) > 0.9 * len(whole)
+
+
+def test_a_cell_that_many_share_is_cut():
+    curve = similar_vectors.Curve(np.zeros((1, 1), np.float32), np.zeros(1, np.float32))
+    draw = np.random.default_rng(6)
+    ids = [f"id{i}" for i in range(5000)]
+    places = np.where(np.arange(5000) % 3 > 0, np.uint64(1 << 60), draw.integers(0, 1 << 63, size=5000, dtype=np.uint64))
+    keys = similar_vectors._keys(places, ids)
+    curve.cut(keys[:2000], 10, 8)
+    own, copies = np.zeros(10, int), 0
+    for at, part, mine in curve.parts(keys):
+        if mine:
+            assert len(at) == 5000
+            own += np.bincount(part, minlength=10)
+        else:
+            assert part.min() >= 0 and part.max() <= 9
+            copies += len(at)
+    assert own.max() < 800 and own.min() > 250 and 9 * 2 * 8 < copies < 9 * 2 * 60
