@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -12,14 +13,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
+@functools.cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where it is unset, a temporary one on a local master only (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_folder(spark.sparkContext.applicationId)
     return folder.rstrip("/")
 
 

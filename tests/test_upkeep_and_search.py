@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quirework.operators import nested, search, upkeep, validation
+from quirework.plans.storage import shared_folder
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta".split()
 
@@ -120,3 +122,12 @@ def test_json_in_many_layers():
         text = json.dumps(text)
     assert nested.parse_output(text) == {"fields": {}}
     assert nested.parse_output('"cut') is None and nested.parse_output('"3"') is None
+
+
+def test_shared_folder_without_the_setting():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master="local[2]", applicationId="here"))
+    folder = shared_folder(session)
+    assert folder and folder == shared_folder(session)
+    session.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError):
+        shared_folder(session)
