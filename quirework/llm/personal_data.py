@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -657,9 +658,14 @@ def source_texts(spans: DataFrame, sections: DataFrame) -> DataFrame:
 _STATE = "src string, row_id string, doc bigint, row bigint, start int, text string, ends array<int>, unary binary, sent array<struct<at: int, key: string, logs: array<double>>>, names array<bigint>"
 
 
-def _state_rows(found: list[tuple[tuple, Tokens]], model: Model) -> pd.DataFrame:
+def _lists(counts: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
+def _state_rows(found: list[tuple[tuple, Tokens]], model: Model) -> pa.RecordBatch:
     """Windows with their unary scores, the beliefs that their tokens send first, and the pairs of document and word that look like names."""
-    rows, named, docs, counts = [], [], [], []
+    rows, spans, named, docs, sent_all = [], [], [], [], []
+    sizes: dict[str, list[int]] = {"ends": [], "sent": [], "names": []}
     scores = model.unary([window for _, window in found])
     order = np.argsort([len(own) for own in scores], kind="stable")
     for group in _groups([len(scores[i]) for i in order], order):
@@ -668,18 +674,35 @@ def _state_rows(found: list[tuple[tuple, Tokens]], model: Model) -> pd.DataFrame
         for k, i in enumerate(group):
             (src, row_id, doc, text), window = found[i]
             begin, end = window.spans[0][0], window.spans[-1][1]
-            sent = [{"at": at, "key": key, "logs": message} for at, key, message in _sent(text, window.spans, logs[k, : len(window.spans)], {}, model.lexicon)]
+            sent = list(_sent(text, window.spans, logs[k, : len(window.spans)], {}, model.lexicon))
             if not sent and not logs[k].argmax(axis=1).any():
                 continue  # no other place could tell it anything
-            likely = [s["key"] for s in sent if logs[k, s["at"], OTHER] <= MAYBE and logs[k, s["at"], 1:].argmax() == NAME - 1]
+            likely = [key for at, key, _ in sent if logs[k, at, OTHER] <= MAYBE and logs[k, at, 1:].argmax() == NAME - 1]
             named += likely
             docs += [int(doc) & (1 << 64) - 1] * len(likely)
-            counts.append(len(likely))
-            rows.append((src, row_id, doc, 0, begin, text[begin:end], [x - begin for span in window.spans for x in span], scores[i].astype(np.float16).tobytes(), sent))
-    frame = pd.DataFrame(rows, columns=["src", "row_id", "doc", "row", "start", "text", "ends", "unary", "sent"])
+            sent_all += sent
+            spans += [x - begin for span in window.spans for x in span]
+            for name, n in (("ends", 2 * len(window.spans)), ("sent", len(sent)), ("names", len(likely))):
+                sizes[name].append(n)
+            rows.append((src, row_id, doc, begin, text[begin:end], scores[i].astype(np.float16).tobytes()))
     pairs = mix(np.array(list(map(_code, named)), dtype=np.uint64) ^ np.array(docs, dtype=np.uint64)).view(np.int64)
-    ends = np.cumsum(counts).tolist()
-    return frame.assign(names=pd.Series([pairs[end - n : end].tolist() for end, n in zip(ends, counts)], dtype=object))
+    src, row_id, doc, start, text, unary = zip(*rows) if rows else [()] * 6
+    at, keys, logs = zip(*sent_all) if sent_all else [()] * 3
+    beliefs_sent = _lists([len(LABELS)] * len(logs), pa.array(np.array(logs, dtype=np.float64).ravel()))
+    messages = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(keys, pa.string()), beliefs_sent], names=["at", "key", "logs"])
+    columns = {
+        "src": pa.array(src, pa.string()),
+        "row_id": pa.array(row_id, pa.string()),
+        "doc": pa.array(doc, pa.int64()),
+        "row": pa.array([0] * len(rows), pa.int64()),
+        "start": pa.array(start, pa.int32()),
+        "text": pa.array(text, pa.string()),
+        "ends": _lists(sizes["ends"], pa.array(spans, pa.int32())),
+        "unary": pa.array(unary, pa.binary()),
+        "sent": _lists(sizes["sent"], messages),
+        "names": _lists(sizes["names"], pa.array(pairs, pa.int64())),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def _with_ids(states: DataFrame) -> DataFrame:
@@ -691,14 +714,14 @@ def first_states(texts: DataFrame, model: Model) -> DataFrame:
     """Every window that its text gives away. Scores are half floats, ``ends`` (start, end) pairs."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
-    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = Flags(shared.value.lexicon)
         for batch in batches:
-            for first in range(0, len(batch), 1000):
-                part = batch.iloc[first : first + 1000].itertuples(index=False)
-                yield _state_rows([(key, window) for key in map(tuple, part) for window in windows(key[3], flags)], shared.value)
+            for first in range(0, batch.num_rows, 1000):
+                part = zip(*(column.to_pylist() for column in batch.slice(first, 1000).columns))
+                yield _state_rows([(key, window) for key in part for window in windows(key[3], flags)], shared.value)
 
-    return _with_ids(texts.select("src", "row_id", "doc", "text").mapInPandas(states, _STATE))
+    return _with_ids(texts.select("src", "row_id", "doc", "text").mapInArrow(states, _STATE))
 
 
 class TokenCodes(dict):
@@ -739,17 +762,18 @@ def _found_again(texts: DataFrame, pairs: DataFrame, model: Model, block: int, b
     cells = own.select(F.explode(places).alias("cell"), F.lit(1).cast("bigint").alias("n")).distinct()
     shared = texts.sparkSession.sparkContext.broadcast((model, Table(cell_table(cells))))
 
-    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table = shared.value
         flags = Flags(model.lexicon)
         codes = TokenCodes(flags)
         for batch in batches:
-            for first in range(0, len(batch), 1000):
-                part = batch.iloc[first : first + 1000]
-                tokens = [text.split() for text in part["text"]]
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                src, row_id, doc, text = (column.to_pylist() for column in part.columns)
+                tokens = [line.split() for line in text]
                 sizes = np.array(list(map(len, tokens)))
                 own = np.fromiter(map(codes.__getitem__, itertools.chain.from_iterable(tokens)), dtype=np.uint64, count=sizes.sum())
-                mixed = mix(own ^ np.repeat(part["doc"].to_numpy().view(np.uint64), sizes))
+                mixed = mix(own ^ np.repeat(np.array(doc, dtype=np.int64).view(np.uint64), sizes))
                 held = (own != 0) & ((mixed & np.uint64((1 << 32) - 1)) % np.uint64(blocks) == block)
                 for bit in PROBES:
                     held &= table.counts[((mixed >> np.uint64(bit)) & np.uint64((1 << CELLS) - 1)).astype(np.int64)] > 0
@@ -759,11 +783,10 @@ def _found_again(texts: DataFrame, pairs: DataFrame, model: Model, block: int, b
                 wanted: dict[int, set[str]] = {}
                 for line, hit in zip(line_of.tolist(), hits.tolist()):
                     wanted.setdefault(line, set()).add(alike(tokens[line][hit - begins[line]]))
-                keys = part[["src", "row_id", "doc", "text"]]
-                found = [(key, window) for line, names in wanted.items() for key in [tuple(keys.iloc[line])] for window in windows(key[3], flags, frozenset(names))]
+                found = [((src[n], row_id[n], doc[n], text[n]), window) for n, names in wanted.items() for window in windows(text[n], flags, frozenset(names))]
                 yield _state_rows(found, model)
 
-    return texts.select("src", "row_id", "doc", "text").mapInPandas(states, _STATE)
+    return texts.select("src", "row_id", "doc", "text").mapInArrow(states, _STATE)
 
 
 def _groups(lengths: list[int], order: np.ndarray) -> Iterator[np.ndarray]:
@@ -865,10 +888,11 @@ def find_personal_data(spans: DataFrame, sections: DataFrame) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
+            src, row_id, begins = (batch[c].tolist() for c in ("src", "row_id", "start"))
             for i, own, text, logs in _solved(batch, steps):
-                first = int(batch["start"].iloc[i])
+                first = begins[i]
                 for label, start, end in decoded(text, own, logs.argmax(axis=1)):
-                    rows.append((batch["src"].iloc[i], batch["row_id"].iloc[i], first + start, first + end, LABELS[label], text[start:end]))
+                    rows.append((src[i], row_id[i], first + start, first + end, LABELS[label], text[start:end]))
             yield pd.DataFrame(rows, columns=["src", "row_id", "start", "end", "pii_type", "value"])
 
     schema = "src string, row_id string, start int, end int, pii_type string, value string"
