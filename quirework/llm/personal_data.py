@@ -743,33 +743,50 @@ class TokenCodes(dict):
         return value
 
 
+_NAMED = "src string, row_id string, doc bigint, text string, names array<string>"
+
+
 def later_states(texts: DataFrame, pairs: DataFrame, model: Model) -> DataFrame:
     """Windows at the other places of words that a window of their document took for a name, be they written small or stand in no clear context.
 
     ``pairs`` are hashes of (document, word). PAIRS of them at a time go into a
-    table of fixed size; each block is one pass over the texts.
+    table of fixed size; each block is one pass over the texts. The words that
+    the blocks find in a text are put together before its windows are made, so
+    that no two of its windows overlap.
     """
     count = pairs.count()
     blocks = -(-count // PAIRS)
-    parts = [_with_ids(_found_again(texts, pairs, model, block, blocks)) for block in range(blocks)]
-    return functools.reduce(DataFrame.unionByName, parts) if parts else texts.sparkSession.createDataFrame([], _STATE)
+    if not blocks:
+        return texts.sparkSession.createDataFrame([], _STATE)
+    named = functools.reduce(DataFrame.unionByName, [_found_again(texts, pairs, model, block, blocks) for block in range(blocks)])
+    named = named.groupBy("src", "row_id", "doc", "text").agg(F.flatten(F.collect_list("names")).alias("names"))
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = Flags(shared.value.lexicon)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                part = zip(*(column.to_pylist() for column in batch.slice(first, 1000).columns))
+                yield _state_rows([((src, row_id, doc, text), window) for src, row_id, doc, text, names in part for window in windows(text, flags, frozenset(names))], shared.value)
+
+    return _with_ids(named.select("src", "row_id", "doc", "text", "names").mapInArrow(states, _STATE))
 
 
 def _found_again(texts: DataFrame, pairs: DataFrame, model: Model, block: int, blocks: int) -> DataFrame:
+    """The texts that hold a word of a pair of the block, with these words."""
     low = F.lit((1 << 32) - 1)
     own = pairs.where(F.pmod(F.col("pair").bitwiseAND(low), F.lit(blocks)) == block)
     places = F.array(*(F.shiftrightunsigned("pair", bit).bitwiseAND(F.lit((1 << CELLS) - 1)).cast("int") for bit in PROBES))
     cells = own.select(F.explode(places).alias("cell"), F.lit(1).cast("bigint").alias("n")).distinct()
-    shared = texts.sparkSession.sparkContext.broadcast((model, Table(cell_table(cells))))
+    shared = texts.sparkSession.sparkContext.broadcast((model.lexicon, Table(cell_table(cells))))
 
-    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table = shared.value
-        flags = Flags(model.lexicon)
-        codes = TokenCodes(flags)
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, table = shared.value
+        codes = TokenCodes(Flags(lexicon))
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
                 part = batch.slice(first, 1000)
-                src, row_id, doc, text = (column.to_pylist() for column in part.columns)
+                doc, text = part.column("doc").to_pylist(), part.column("text").to_pylist()
                 tokens = [line.split() for line in text]
                 sizes = np.array(list(map(len, tokens)))
                 own = np.fromiter(map(codes.__getitem__, itertools.chain.from_iterable(tokens)), dtype=np.uint64, count=sizes.sum())
@@ -783,10 +800,12 @@ def _found_again(texts: DataFrame, pairs: DataFrame, model: Model, block: int, b
                 wanted: dict[int, set[str]] = {}
                 for line, hit in zip(line_of.tolist(), hits.tolist()):
                     wanted.setdefault(line, set()).add(alike(tokens[line][hit - begins[line]]))
-                found = [((src[n], row_id[n], doc[n], text[n]), window) for n, names in wanted.items() for window in windows(text[n], flags, frozenset(names))]
-                yield _state_rows(found, model)
+                if wanted:
+                    names = _lists(list(map(len, wanted.values())), pa.array(list(itertools.chain.from_iterable(wanted.values())), pa.string()))
+                    found = part.take(pa.array(list(wanted), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*found.columns, names], names=["src", "row_id", "doc", "text", "names"])
 
-    return texts.select("src", "row_id", "doc", "text").mapInArrow(states, _STATE)
+    return texts.select("src", "row_id", "doc", "text").mapInArrow(again, _NAMED)
 
 
 def _groups(lengths: list[int], order: np.ndarray) -> Iterator[np.ndarray]:

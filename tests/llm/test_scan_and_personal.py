@@ -168,6 +168,27 @@ def test_rare_names_make_windows_in_their_document(spark):
     assert any(i == "far" and "Quandt" in value for i, value in got), [v for v in got if v[0] == "far"]
 
 
+def test_names_come_in_blocks(spark, monkeypatch):
+    """With more pairs of document and word than one table takes in, the windows are the same, and no two of a text overlap."""
+    again = "the view of zoran there and of marek was noted before the court of orla by all who had come to the place of viggo in time"
+    rows = texts(3, 300) + [("again", again, set())]
+    spans = spark.createDataFrame([(i, "one", t) for i, t, _ in rows], "span_id string, document_id string, text string")
+    sections = spark.createDataFrame([], "section_id string, draft_id string, final_text string")
+    every = personal_data.source_texts(spans, sections)
+    model = personal_data.trained_model(every, personal_data.name_words(every), {"ocr_spans": len(rows), "draft_sections": 0})
+    codes = np.array([personal_data._code(word) for word in ("zoran", "marek", "orla", "viggo")], dtype=np.uint64)
+    pairs = personal_data.mix(codes ^ np.array([every.first().doc]).view(np.uint64)).view(np.int64).tolist()
+    pairs = spark.createDataFrame([(pair,) for pair in pairs], "pair bigint")
+
+    def windows() -> list[tuple]:
+        return [(r.row_id, r.start, r.text) for r in personal_data.later_states(every, pairs, model).collect()]
+
+    whole = windows()
+    assert [i for i, _, _ in whole] == ["again"]
+    monkeypatch.setattr(personal_data, "PAIRS", 2)
+    assert windows() == whole
+
+
 def test_items_are_told_by_their_surroundings_too(spark, monkeypatch):
     """Recall with all features of formats held out while decoding."""
     rows = texts(5, 600)
