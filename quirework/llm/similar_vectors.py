@@ -6,19 +6,24 @@ their place on the curve. Every vector is compared with all those in the
 windows before and after it: by their projections first, then the nearest of
 them by all dimensions. The borders of the partitions come from the places of
 the same sample, and the vectors about a quarter of a window beyond a border are
-copied across it. The lists of all curves are merged and ranked, by vectors of
-one byte for each dimension, so that scores closer than that can change places.
+copied across it. The lists of all curves are merged. Vectors that a curve
+tears apart are mostly joined by others between them: the merged lists are a
+graph, in which the smallest number of a neighbourhood is handed on for some
+rounds, and the vectors in the order of these numbers are one more curve, on
+which they are compared once more. The lists of all are ranked by vectors of one
+byte for each dimension, so that scores closer than that can change places.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.plans.storage import materialize
@@ -29,19 +34,27 @@ K = 5
 SAMPLE = 4000
 CURVES, AXES, TURNED, BITS = 4, 32, 16, 4
 #: Vectors before and after each that it is compared with, at least, and as a share of all vectors: recall follows the share.
-WINDOW, WINDOW_SHARE = 4096, 1 / 400
+WINDOW, WINDOW_SHARE = 16_384, 1 / 400
 #: Main axes by which a window is looked through, and how many of it are then compared by all dimensions.
 LOOK_AXES, LOOKED_AT = 64, 32
 #: Vectors that one task takes in at a time, and about how many a partition of a curve has (four windows at least).
-CHUNK, ROWS_PER_TASK = 4096, 32_768
+CHUNK, ROWS_PER_TASK = 4096, 65_536
 #: Part of a window that is copied across the borders of partitions.
-REACH = 1 / 4
+REACH = 1 / 16
 #: Scores that are held at a time.
 SCORES = 1 << 22
 #: Points of the sample that lie between two borders at least, which bounds the number of partitions.
 POINTS_PER_PART = 4
 #: Standard deviations that the curve's cube spans on either side.
 SPREAD = 3.2
+#: A vector is linked with those of its list whose score is at least so much of the best; rounds in which numbers are handed on along the links.
+LINKED, ROUNDS = 0.6, 3
+#: Vectors before and after each in the order of these numbers, and how many may have one number; more keep that of the first round.
+LABEL_WINDOW, LABEL_MOST = 512, 4096
+#: Vectors whose numbers travel at a time (eight bytes each), and about how many a task has in their order.
+LABELS_SENT, LABELLED_ROWS = 1 << 22, 16_384
+#: Columns of which the best is looked up first.
+COLUMNS = 16
 
 _POINT = "part int, key binary, own boolean, edit_id string, vector binary"
 _NEAR = "edit_id string, others array<string>, scores array<float>"
@@ -143,14 +156,22 @@ class Curve:
             yield inner[near], part[inner[near]] + step, False
 
 
-def _lists(vectors: DataFrame, count: int, window: int) -> DataFrame:
-    """edit_id, others, scores: the nearest of every vector on each curve.
+def _sample(vectors: DataFrame, count: int) -> tuple[pd.Series, np.ndarray]:
+    share = min(1.0, SAMPLE / max(count, 1))
+    return _stacked(vectors.where(F.pmod(F.xxhash64("edit_id"), F.lit(1 << 32)) < int(share * (1 << 32))).toPandas())
+
+
+def _coarse(rows: np.ndarray) -> np.ndarray:
+    """Vectors with one byte for each dimension, as bytes."""
+    return np.array([row.tobytes() for row in np.rint(rows * (127 / np.abs(rows).max(axis=1))[:, None]).astype(np.int8)], dtype=object)
+
+
+def _lists(vectors: DataFrame, count: int, window: int, ids: pd.Series, rows: np.ndarray) -> DataFrame:
+    """edit_id, others, scores: the nearest of every vector on each curve; ``ids`` and ``rows`` are the sample.
 
     Every vector goes, in one byte per dimension, to its partition of each curve
     and to those whose windows reach it.
     """
-    share = min(1.0, SAMPLE / max(count, 1))
-    ids, rows = _stacked(vectors.where(F.pmod(F.xxhash64("edit_id"), F.lit(1 << 32)) < int(share * (1 << 32))).toPandas())
     mean, look_axes, deviations = main_axes(rows)
     axes = np.ascontiguousarray(look_axes[:, :AXES])
     parts = max(1, min(-(-count // max(ROWS_PER_TASK, 4 * window)), len(ids) // POINTS_PER_PART))
@@ -163,8 +184,7 @@ def _lists(vectors: DataFrame, count: int, window: int) -> DataFrame:
             ids, rows = _stacked(batch)
             if not len(ids):
                 continue
-            coarse = np.rint(rows * (127 / np.abs(rows).max(axis=1))[:, None]).astype(np.int8)
-            names, packed = ids.to_numpy(), np.array([row.tobytes() for row in coarse], dtype=object)
+            names, packed = ids.to_numpy(), _coarse(rows)
             projected = (rows - mean) @ axes
             for n, curve in enumerate(curves):
                 keys = curve.keys(projected, ids)
@@ -173,9 +193,82 @@ def _lists(vectors: DataFrame, count: int, window: int) -> DataFrame:
                     if len(at):
                         yield pd.DataFrame({"part": (n * parts + part).astype(np.int32), "key": whole[at], "own": own, "edit_id": names[at], "vector": packed[at]})
 
-    every = vectors.mapInPandas(points, _POINT)
-    ordered = every.repartitionById(len(curves) * parts, F.col("part")).sortWithinPartitions("part", "key", "edit_id")
-    return ordered.mapInArrow(_near(window, mean, look_axes), _NEAR)
+    return _compared(vectors.mapInPandas(points, _POINT), len(curves) * parts, window, mean, look_axes)
+
+
+def _compared(points: DataFrame, parts: int, window: int, mean: np.ndarray, axes: np.ndarray) -> DataFrame:
+    return points.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "key", "edit_id").mapInArrow(_near(window, mean, axes), _NEAR)
+
+
+def _merged(lists: DataFrame) -> DataFrame:
+    """edit_id, others, scores: the K best of all lists of each vector."""
+    pairs = lists.select("edit_id", F.arrays_zip("others", "scores").alias("near")).groupBy("edit_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    by_score = F.transform("near", lambda p: F.struct((-p["scores"]).alias("minus"), p["others"].alias("other_id")))
+    # the same pair can differ in the last bit between curves: keep its first place in the order only
+    ranked = pairs.select("edit_id", F.array_sort(by_score).alias("near"))
+    others = F.slice(F.array_distinct(F.transform("near", lambda p: p["other_id"])), 1, K)
+    best = ranked.select("edit_id", "near", others.alias("others"))
+    return best.select("edit_id", "others", F.expr("transform(others, o -> -element_at(filter(near, p -> p.other_id = o), 1).minus)").alias("scores"))
+
+
+def _node(column: str) -> Column:
+    """Number of an id; two with one number only come to stand together."""
+    return F.hash(column)
+
+
+def neighbourhoods(merged: DataFrame) -> DataFrame:
+    """node, label: the smallest number of each vector's neighbourhood in the graph of the lists."""
+    near = F.filter(F.arrays_zip("others", "scores"), lambda p: p["scores"] >= LINKED * F.col("scores")[0])
+    links = merged.select(_node("edit_id").alias("node"), F.explode(F.transform(near, lambda p: p["others"])).alias("other")).select("node", _node("other").alias("other"))
+    both = links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other")))
+    graph = both.groupBy("node").agg(F.collect_set("other").alias("others"))
+    first = F.least("node", F.array_min("others"))
+    graph = materialize(graph.select("node", "others", first.alias("first"), first.alias("label")))
+    for _ in range(ROUNDS - 1):
+        handed = graph.select(F.explode("others").alias("node"), "label").groupBy("node").agg(F.min("label").alias("handed"))
+        graph = materialize(graph.join(handed, "node").select("node", "others", "first", F.least("label", "handed").alias("label")))
+    many = F.count("*").over(Window.partitionBy("label")) > LABEL_MOST
+    return graph.select("node", F.when(many, F.col("first")).otherwise(F.col("label")).alias("label"))
+
+
+def _by_neighbourhood(vectors: DataFrame, count: int, labels: DataFrame, window: int, rows: np.ndarray) -> DataFrame:
+    """edit_id, others, scores: the nearest of every vector in the order of the labels; ``rows`` are the sample.
+
+    The labels of LABELS_SENT vectors at a time travel as a table; each such
+    block is one pass over the vectors that it has the labels of.
+    """
+    mean, axes, _ = main_axes(rows)
+    parts, blocks = max(1, -(-count // LABELLED_ROWS)), max(1, -(-count // LABELS_SENT))
+    labels = materialize(labels)
+    numbered = vectors.withColumn("node", _node("edit_id"))
+    block_of = F.pmod(F.col("node"), F.lit(blocks))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"part": [np.stack([batch["node"].to_numpy(np.int32), batch["label"].to_numpy(np.int32)]).tobytes()]})
+
+    def block(n: int) -> DataFrame:
+        packed = labels.where(block_of == n).select("node", "label").mapInPandas(pack, "part binary").collect()
+        table = np.concatenate([np.zeros((2, 0), np.int32), *(np.frombuffer(row.part, np.int32).reshape(2, -1) for row in packed)], axis=1)
+        shared = vectors.sparkSession.sparkContext.broadcast(table[:, np.argsort(table[0], kind="stable")])
+
+        def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            nodes, known = shared.value
+            for batch in batches:
+                ids, rows = _stacked(batch)
+                if not len(ids):
+                    continue
+                own = batch["node"].loc[ids.index].to_numpy(np.int32)
+                if len(nodes):
+                    at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
+                    own = np.where(nodes[at] == own, known[at], own)
+                keys = own.astype(">i4")
+                part = (pd.util.hash_array(own) % np.uint64(parts)).astype(np.int32)
+                yield pd.DataFrame({"part": part, "key": [key.tobytes() for key in keys], "own": True, "edit_id": ids.to_numpy(), "vector": _coarse(rows)})
+
+        return numbered.where(block_of == n).select("edit_id", "embedding", "node").mapInPandas(points, _POINT)
+
+    return _compared(functools.reduce(DataFrame.unionByName, map(block, range(blocks))), parts, window, mean, axes)
 
 
 class Strip:
@@ -218,12 +311,24 @@ class Strip:
                 continue
             near = 2 * (self.looks[own] @ self.looks[low:high].T) - squares[low:high]
             near[np.arange(len(own)), own - low] = -np.inf
-            best = np.argpartition(near, -few, axis=1)[:, -few:] + low
+            best = _largest(near, few) + low
             for i, others, scores in zip(own, best, self.cosines(own, best)):
                 top = sorted(zip((-scores).tolist(), self.ids[others].tolist()))[:K]
                 yield self.ids[i], [other for _, other in top], [-score for score, _ in top]
 
 
+def _largest(values: np.ndarray, few: int) -> np.ndarray:
+    """Columns of the largest of each row. They stand where the largest of every COLUMNS values are among the largest of these."""
+    n, width = values.shape
+    groups = width // COLUMNS
+    if groups <= 2 * few:
+        return np.argpartition(values, -few, axis=1)[:, -few:]
+    best = np.argpartition(values[:, : groups * COLUMNS].reshape(n, COLUMNS, groups).max(axis=1), -few, axis=1)[:, -few:]
+    rest = np.broadcast_to(np.arange(groups * COLUMNS, width), (n, width - groups * COLUMNS))
+    columns = np.concatenate([(best[:, None, :] + groups * np.arange(COLUMNS)[:, None]).reshape(n, -1), rest], axis=1)
+    return np.take_along_axis(columns, np.argpartition(np.take_along_axis(values, columns, axis=1), -few, axis=1)[:, -few:], axis=1)
+
+
 def _near(window: int, mean: np.ndarray, axes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Streams sorted points through a sliding window, one partition of a curve after the other."""
 
@@ -302,15 +407,12 @@ def nearest_vectors(store: DataFrame, window: int | None = None) -> DataFrame:
         first = leaders.where(F.col("rank") <= K).select("print", F.col("edit_id").alias("other_id"), "rank")
         copies = followers.join(first, "print").select("edit_id", "rank", "other_id", F.lit(1.0).cast("float").alias("score"))
     count = prints.count()
-    lists = _lists(vectors, count, window or max(WINDOW, int(count * WINDOW_SHARE)))
-    pairs = lists.select("edit_id", F.arrays_zip("others", "scores").alias("near")).groupBy("edit_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    by_score = F.transform("near", lambda p: F.struct((-p["scores"]).alias("minus"), p["others"].alias("other_id")))
-    # the same pair can differ in the last bit between curves: keep its first place in the order only
-    ranked = pairs.select("edit_id", F.array_sort(by_score).alias("near"))
-    others = F.slice(F.array_distinct(F.transform("near", lambda p: p["other_id"])), 1, K)
-    best = ranked.select("edit_id", "near", F.posexplode(others).alias("rank", "other_id"))
-    score = F.expr("-element_at(filter(near, p -> p.other_id = other_id), 1).minus")
-    result = best.select("edit_id", (F.col("rank") + 1).alias("rank"), "other_id", score.alias("score"))
+    window = window or max(WINDOW, int(count * WINDOW_SHARE))
+    ids, rows = _sample(vectors, count)
+    merged = materialize(_merged(_lists(vectors, count, window, ids, rows)))
+    again = _by_neighbourhood(vectors, count, neighbourhoods(merged), min(window, LABEL_WINDOW), rows)
+    best = _merged(merged.unionByName(again)).select("edit_id", F.posexplode(F.arrays_zip("others", "scores")).alias("rank", "near"))
+    result = best.select("edit_id", (F.col("rank") + 1).alias("rank"), F.col("near.others").alias("other_id"), F.col("near.scores").alias("score"))
     return result if followers is None else result.unionByName(copies)
 
 
