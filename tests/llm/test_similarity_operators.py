@@ -176,16 +176,17 @@ def test_neighbours_that_the_curves_tear_apart_are_found(spark, monkeypatch):
     """Small groups, and windows of a 250th of the vectors."""
     monkeypatch.setattr(similar_vectors, "SCORES", 1)  # few rows share a window
     draw = np.random.default_rng(8)
-    low = np.linalg.qr(draw.normal(size=(1024, 64)))[0].T
-    centres = draw.normal(size=(300, 64)) @ low
-    x = np.repeat(centres, 10, axis=0) + draw.normal(size=(3000, 1024)) * draw.uniform(0.1, 0.2, size=(3000, 1))
+    low = np.linalg.qr(draw.normal(size=(1024, 200)))[0].T
+    centres = draw.normal(size=(300, 200))
+    centres *= 8 / np.linalg.norm(centres, axis=1)[:, None]
+    x = np.repeat(centres @ low, 10, axis=0) + draw.normal(size=(3000, 1024)) * draw.uniform(0.2, 0.28, size=(3000, 1))
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     scores = unit @ unit.T
     np.fill_diagonal(scores, -2)
     true = {(f"{i:05}", f"{j:05}") for i, row in enumerate(np.argsort(-scores, axis=1)[:, :5]) for j in row}
     rows = store(spark, [(f"{i:05}", x[i].tolist()) for i in draw.permutation(3000)])
     got = {tuple(r) for r in similar_vectors.nearest_vectors(rows, window=12).select("edit_id", "other_id").collect()}
-    assert len(got) == 15_000 and len(got & true) >= 0.95 * len(true)
+    assert len(got) == 15_000 and len(got & true) >= 0.995 * len(true)  # 0.989 by the curves alone
 
 
 def test_largest_of_many_columns():
