@@ -23,15 +23,17 @@ from __future__ import annotations
 import bisect
 import functools
 import itertools
+import operator
 import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +65,10 @@ AROUND = 9
 NEAR = 120
 #: Tables by hash have two to this power cells of one byte, and take in so many (document, word) pairs at a time.
 CELLS, PAIRS = 24, 1 << 20
+#: Different tokens that are kept at most, in tables of tokens seen before.
+KEPT = 300_000
+#: Windows that are scored together at least, if there are so many.
+SCORED = 2_000
 #: A pair sets the cells that begin at these bits of its hash; a word is looked at only if all are set.
 PROBES = (40, 20, 0)
 
@@ -106,6 +112,16 @@ PATTERNS = [
     (NAME, re.compile(rf"^({_PERSON}) for (?:{_WORD} ){{1,4}}(?:LL[CP]|Inc|Ltd|Co|Group|Corporation)\b"), 1),
     (NAME, re.compile(rf"(?:examined|treated) ({_PERSON}) (?:and|on)\b"), 1),
 ]
+#: Patterns that begin with a person, and words of which a text must hold one for them.
+_NEEDED = {
+    pattern: words
+    for _, pattern, _ in PATTERNS
+    for end, words in {
+        r"holder of)\b)": ("testified", " be reached", "and diagnosed", " show", "resides at", "holder of"),
+        rf"(?:{_EMAIL})": ("@", "[at]", "(at)"),
+    }.items()
+    if pattern.pattern.startswith(f"({_PERSON})") and pattern.pattern.endswith(end)
+}
 _CAPITAL = r"[^\W\d_a-zß-ÿ]"
 _CONTEXT = re.compile(rf"(?:[Ss]igned by|repared by|itnessed by|[Ff]ile of|[Rr]ecords? of|ontact|[Aa]ttention|examined|treated) (?={_CAPITAL})|of record:|Bill to:|[Cc]laimant:|eponent,|Witness |{_CAPITAL}[\w'’-]* (?:testified|(?:may|can) be reached|and diagnosed)|\b(?:{TITLES})\b")
 
@@ -120,11 +136,16 @@ FORMATS = [
 ]
 
 
+_MISREAD = str.maketrans("0159@i", "olsgal")
+
+
 @functools.lru_cache(maxsize=1 << 17)
 def alike(token: str) -> str:
     """Key of tokens that are written alike: letters without case and accents, misread figures as letters."""
-    plain = unicodedata.normalize("NFKD", token.casefold().translate(str.maketrans("0159@i", "olsgal")))
-    return "".join(c for c in plain if c.isalnum())
+    plain = token.casefold().translate(_MISREAD)
+    if not plain.isascii():
+        plain = unicodedata.normalize("NFKD", plain)
+    return plain if plain.isalnum() else "".join(filter(str.isalnum, plain))
 
 
 def pattern_items(text: str, patterns=None) -> list[tuple[int, int, int]]:
@@ -132,6 +153,8 @@ def pattern_items(text: str, patterns=None) -> list[tuple[int, int, int]]:
     taken = np.zeros(len(text) + 1, dtype=bool)
     items = []
     for label, pattern, group in PATTERNS if patterns is None else patterns:
+        if pattern in _NEEDED and not any(word in text for word in _NEEDED[pattern]):
+            continue
         for m in pattern.finditer(text):
             start, end = m.span(group)
             last = text[start:end].rsplit(None, 1)[-1].lower().strip(".,") if end > start else ""
@@ -151,19 +174,26 @@ def name_words(texts: DataFrame) -> DataFrame:
 
     names = [p for p in PATTERNS if p[0] == NAME]
 
+    def rows(counts: Counter, tokens: Counter) -> pd.DataFrame:
+        seen = Counter()
+        for token, n in tokens.items():
+            if (plain := token.strip(".,;:()'\"?!"))[:1].isupper() and (key := alike(plain.partition("-")[0])):
+                seen[key] += n
+        return pd.DataFrame([(_code(word) >> 64 - CELLS, counts[word], seen[word]) for word in seen.keys() | counts.keys()], columns=["cell", "n", "seen"])
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, tokens = Counter(), Counter()
         for batch in batches:
-            counts, tokens, seen = Counter(), Counter(), Counter()
-            for text in batch["text"]:
-                words = text.split()
-                tokens.update(words)
+            lines = [text.split() for text in batch["text"]]
+            tokens.update(itertools.chain.from_iterable(lines))
+            for text, words in zip(batch["text"], lines):
                 if not _CONTEXT_WORDS.isdisjoint(words) and _CONTEXT.search(text):
                     for _, start, end in pattern_items(text, names):
                         counts.update(alike(w) for w in re.findall(r"[^\W\d_]{2,}", text[start:end]) if w.lower() not in _PARTICLES)
-            for token, n in tokens.items():
-                if (plain := token.strip(".,;:()'\"?!"))[:1].isupper() and (key := alike(plain.partition("-")[0])):
-                    seen[key] += n
-            yield pd.DataFrame([(_code(word) >> 64 - CELLS, counts[word], seen[word]) for word in seen.keys() | counts.keys()], columns=["cell", "n", "seen"])
+            if len(tokens) > KEPT:
+                yield rows(counts, tokens)
+                counts, tokens = Counter(), Counter()
+        yield rows(counts, tokens)
 
     counted = texts.select("text").mapInPandas(count, "cell int, n bigint, seen bigint").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
     return counted.where((F.col("n") > 0) & (F.col("n") * PLACES >= F.col("seen"))).select("cell", "n")
@@ -210,6 +240,16 @@ class Lexicon(Table):
     def count(self, key: str) -> int:
         return int(self.counts[_code(key) >> 64 - CELLS]) if key else 0
 
+    @functools.cached_property
+    def flags(self) -> Flags:
+        """What tokens can be part of, kept for all tasks of a worker; it does not travel."""
+        return Flags(self)
+
+    @functools.cached_property
+    def codes(self) -> TokenCodes:
+        """Codes of tokens that can be named again, kept and not sent in the same way."""
+        return TokenCodes(self.flags)
+
 
 class Tokens:
     """Tokens of one window with their places in the text and the facts that features are made of."""
@@ -286,7 +326,7 @@ class Flags(dict):
         self.named = functools.lru_cache(maxsize=1 << 17)(lambda token: token[0].isupper() and lexicon.count(alike(token.partition("-")[0])) > 0)
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > KEPT:
             self.clear()
         plain = token.strip(".,;:()'\"?!")
         low = plain.lower()
@@ -316,7 +356,7 @@ class Flags(dict):
         """Codes of a window's token (itself, lower case, shape, how well known as a name, ending, company) and what it is in a run."""
         facts = self.words.get(token)
         if facts is None:
-            if len(self.words) > 300_000:
+            if len(self.words) > KEPT:
                 self.words.clear()
             low, shape = token.lower(), _shape(token)
             count = _bin(min(self.lexicon.count(alike(part)) for part in token.replace("’", "-").split("-"))) if token[0].isalpha() else "-"
@@ -334,8 +374,12 @@ class Flags(dict):
         Short numbers count as a number two in a row, a number after a word
         like "instrument" does not, and a road needs a house number before it.
         """
+        own = list(map(self.__getitem__, text.split()))
+        found = functools.reduce(operator.or_, own, 0)
+        if not (found & IS_DIGITS or found & IS_NUMBER and found & IS_NUMBERED or found & IS_ROAD and found & IS_HOUSE):
+            return found
         found, last, house = 0, 0, 9
-        for flags in map(self.__getitem__, text.split()):
+        for flags in own:
             if flags:
                 if flags & IS_DIGITS & last:
                     found |= IS_NUMBER
@@ -406,21 +450,23 @@ def format_items(text: str, flags: Flags, held: int) -> list[tuple[int, int, int
     if len(text) <= 2 * NEAR:
         found = [(label, *m.span()) for label, _, pattern in wanted for m in pattern.finditer(text)]
         return [item for item in found if item[0] in (EMAIL, ADDRESS) or not flags[text[: item[1]].rpartition(" ")[0].rpartition(" ")[2]] & IS_NUMBERED]
-    tokens = [(m.start(), m.end(), flags[m[0]]) for m in _SOLID.finditer(text)]
+    spans = [m.span() for m in _SOLID.finditer(text)]
+    marks = list(map(flags.__getitem__, text.split()))
+    flagged = [k for k, mark in enumerate(marks) if mark]
     for label, need, pattern in wanted:
-        places = [k for k, (_, _, flag) in enumerate(tokens) if flag & need]
+        places = [k for k in flagged if marks[k] & need]
         if need == IS_STREET:
-            places += [k for k, (_, _, flag) in enumerate(tokens) if flag & IS_ROAD and any(tokens[j][2] & IS_HOUSE for j in range(max(0, k - 6), k))]
+            places += [k for k in flagged if marks[k] & IS_ROAD and any(mark & IS_HOUSE for mark in marks[max(0, k - 6) : k])]
         elif need == IS_NUMBER:
-            places += [k for k in range(1, len(tokens)) if tokens[k - 1][2] & tokens[k][2] & IS_DIGITS]
+            places += [k for k in flagged if k and marks[k - 1] & marks[k] & IS_DIGITS]
         low, high = 0, 0
-        for start, end, _ in [*(tokens[k] for k in sorted(places)), (len(text) + 2 * NEAR + 1, 0, 0)]:
+        for start, end in [*(spans[k] for k in sorted(places)), (len(text) + 2 * NEAR + 1, 0)]:
             if start - NEAR > high:
                 found += [(label, *m.span()) for m in pattern.finditer(text, low, high)] if high else []
                 low = max(text.rfind(" ", 0, max(0, start - NEAR)) + 1, 0)
             high = text.find(" ", end + NEAR) if end + NEAR < len(text) else len(text)
             high = len(text) if high < 0 else high
-    numbered = {end + 1 for start, end, flag in tokens if flag & IS_NUMBERED}
+    numbered = {spans[k][1] + 1 for k in flagged if marks[k] & IS_NUMBERED}
     return [item for item in found if item[0] in (EMAIL, ADDRESS) or item[1] not in numbered]
 
 
@@ -433,13 +479,15 @@ def windows(text: str, flags: Flags, wanted: frozenset[str] = frozenset()) -> li
     contexts = [m.span() for m in _CONTEXT.finditer(text)] if held & IS_CONTEXT else []
     if not (formats or contexts or wanted or held & IS_NAME):
         return []
+    tokens = _TOKEN.findall(text)
+    known = list(map(flags.named, tokens))
+    if not (formats or contexts or wanted or True in known):
+        return []
     spans = [m.span() for m in _TOKEN.finditer(text)]
-    tokens = [text[a:b] for a, b in spans]
-    hot = np.zeros(len(spans), dtype=bool)
+    hot = np.array(known, dtype=bool)
     starts = [a for a, _ in spans]
     for start, end in contexts + [(a, b) for _, a, b in formats]:
         hot[max(0, bisect.bisect_left(starts, start) - 1) : bisect.bisect_left(starts, end) + 1] = True
-    hot[[i for i, token in enumerate(tokens) if flags.named(token)]] = True
     if not (wanted or hot.any()):
         return []
     wide = _widened(hot)
@@ -476,9 +524,9 @@ def _lse(values: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(values - top).sum(axis=axis))
 
 
-def beliefs(unary: np.ndarray, filled: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log marginals of every place of many chains at once, and the expected steps summed over all."""
-    n, length, k = unary.shape
+def _marginals(unary: np.ndarray, filled: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log marginals of every place of many chains at once, and the messages ahead and back."""
+    length = unary.shape[1]
     ahead, back = unary.copy(), np.zeros_like(unary)
     for t in range(1, length):
         ahead[:, t] = unary[:, t] + _lse(ahead[:, t - 1, :, None] + steps, 1)
@@ -487,6 +535,13 @@ def beliefs(unary: np.ndarray, filled: np.ndarray, steps: np.ndarray) -> tuple[n
         back[:, t] = np.where(filled[:, t + 1, None], later, 0.0)
     logs = ahead + back
     logs -= _lse(logs, 2)[:, :, None]
+    return logs, ahead, back
+
+
+def beliefs(unary: np.ndarray, filled: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log marginals of every place of many chains at once, and the expected steps summed over all."""
+    logs, ahead, back = _marginals(unary, filled, steps)
+    length, k = unary.shape[1:]
     expected = np.zeros((k, k))
     for t in range(length - 1):
         both = ahead[:, t, :, None] + steps + (unary[:, t + 1] + back[:, t + 1])[:, None, :]
@@ -591,7 +646,7 @@ def trained_model(texts: DataFrame, names: DataFrame, totals: dict[str, int]) ->
     limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col("src")]
 
     def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags = Flags(shared.value)
+        flags = shared.value.flags
         for batch in batches:
             keys, parts, truth = [], [], []
             for turn, text in batch.itertuples(index=False):
@@ -662,7 +717,7 @@ def _lists(counts: list[int], values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
 
 
-def _state_rows(found: list[tuple[tuple, Tokens]], model: Model) -> pa.RecordBatch:
+def _state_rows(found: Sequence[tuple[tuple, Tokens]], model: Model) -> pa.RecordBatch:
     """Windows with their unary scores, the beliefs that their tokens send first, and the pairs of document and word that look like names."""
     rows, spans, named, docs, sent_all = [], [], [], [], []
     sizes: dict[str, list[int]] = {"ends": [], "sent": [], "names": []}
@@ -670,11 +725,11 @@ def _state_rows(found: list[tuple[tuple, Tokens]], model: Model) -> pa.RecordBat
     order = np.argsort([len(own) for own in scores], kind="stable")
     for group in _groups([len(scores[i]) for i in order], order):
         array, filled = _padded([scores[i] for i in group])
-        logs, _ = beliefs(array, filled, model.steps)
+        logs, _, _ = _marginals(array, filled, model.steps)
         for k, i in enumerate(group):
             (src, row_id, doc, text), window = found[i]
             begin, end = window.spans[0][0], window.spans[-1][1]
-            sent = list(_sent(text, window.spans, logs[k, : len(window.spans)], {}, model.lexicon))
+            sent = list(_sent(text, window.spans, logs[k, : len(window.spans)], None, model.lexicon))
             if not sent and not logs[k].argmax(axis=1).any():
                 continue  # no other place could tell it anything
             likely = [key for at, key, _ in sent if logs[k, at, OTHER] <= MAYBE and logs[k, at, 1:].argmax() == NAME - 1]
@@ -710,16 +765,22 @@ def _with_ids(states: DataFrame) -> DataFrame:
     return states.dropDuplicates(["src", "row_id", "start"]).withColumn("row", F.xxhash64("src", "row_id", "start"))
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of all batches."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 1000):
+            yield from zip(*(column.to_pylist() for column in batch.slice(first, 1000).columns))
+
+
 def first_states(texts: DataFrame, model: Model) -> DataFrame:
     """Every window that its text gives away. Scores are half floats, ``ends`` (start, end) pairs."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = Flags(shared.value.lexicon)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = zip(*(column.to_pylist() for column in batch.slice(first, 1000).columns))
-                yield _state_rows([(key, window) for key in part for window in windows(key[3], flags)], shared.value)
+        flags = shared.value.lexicon.flags
+        found = ((key, window) for key in _rows(batches) for window in windows(key[3], flags))
+        for part in itertools.batched(found, SCORED):
+            yield _state_rows(part, shared.value)
 
     return _with_ids(texts.select("src", "row_id", "doc", "text").mapInArrow(states, _STATE))
 
@@ -736,7 +797,7 @@ class TokenCodes(dict):
         self.flags = flags
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > KEPT:
             self.clear()
         key, plain = alike(token), token.strip(".,;:()'\"?!")
         value = self[token] = _code(key) if len(key) >= 3 and plain and not self.flags.named(plain) else 0
@@ -763,11 +824,10 @@ def later_states(texts: DataFrame, pairs: DataFrame, model: Model) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = Flags(shared.value.lexicon)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = zip(*(column.to_pylist() for column in batch.slice(first, 1000).columns))
-                yield _state_rows([((src, row_id, doc, text), window) for src, row_id, doc, text, names in part for window in windows(text, flags, frozenset(names))], shared.value)
+        flags = shared.value.lexicon.flags
+        found = ((key, window) for *key, names in _rows(batches) for window in windows(key[3], flags, frozenset(names)))
+        for part in itertools.batched(found, SCORED):
+            yield _state_rows(part, shared.value)
 
     return _with_ids(named.select("src", "row_id", "doc", "text", "names").mapInArrow(states, _STATE))
 
@@ -782,19 +842,18 @@ def _found_again(texts: DataFrame, pairs: DataFrame, model: Model, block: int, b
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, table = shared.value
-        codes = TokenCodes(Flags(lexicon))
+        codes = lexicon.codes
         for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
+            for first in range(0, batch.num_rows, 4000):
+                part = batch.slice(first, 4000)
                 doc, text = part.column("doc").to_pylist(), part.column("text").to_pylist()
                 tokens = [line.split() for line in text]
                 sizes = np.array(list(map(len, tokens)))
                 own = np.fromiter(map(codes.__getitem__, itertools.chain.from_iterable(tokens)), dtype=np.uint64, count=sizes.sum())
                 mixed = mix(own ^ np.repeat(np.array(doc, dtype=np.int64).view(np.uint64), sizes))
-                held = (own != 0) & ((mixed & np.uint64((1 << 32) - 1)) % np.uint64(blocks) == block)
+                hits = np.flatnonzero((own != 0) & ((mixed & np.uint64((1 << 32) - 1)) % np.uint64(blocks) == block))
                 for bit in PROBES:
-                    held &= table.counts[((mixed >> np.uint64(bit)) & np.uint64((1 << CELLS) - 1)).astype(np.int64)] > 0
-                hits = np.flatnonzero(held)
+                    hits = hits[table.counts[((mixed[hits] >> np.uint64(bit)) & np.uint64((1 << CELLS) - 1)).astype(np.int64)] > 0]
                 line_of = np.searchsorted(np.cumsum(sizes), hits, side="right")
                 begins = np.cumsum(sizes) - sizes
                 wanted: dict[int, set[str]] = {}
@@ -817,22 +876,27 @@ def _groups(lengths: list[int], order: np.ndarray) -> Iterator[np.ndarray]:
             start = stop
 
 
-def _solved(batch: pd.DataFrame, steps: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]], str, np.ndarray]]:
-    """(index, spans, text, log marginals) of each window of a batch, with the messages added to its scores."""
-    ends, unary, texts, messages = (batch[c].tolist() for c in ("ends", "unary", "text", "messages"))
-    order = np.argsort([len(e) for e in ends], kind="stable")
-    for group in _groups([len(ends[i]) // 2 for i in order], order):
-        lengths = [len(ends[i]) // 2 for i in group]
-        flat = np.frombuffer(b"".join(unary[i] for i in group), dtype=np.float16).astype(np.float64).reshape(-1, len(LABELS))
-        scores = np.split(flat, np.cumsum(lengths)[:-1])
-        for k, i in enumerate(group):
-            if messages[i] is not None:
-                for message in messages[i]:
-                    scores[k][message["at"]] += message["logs"]
-        array, filled = _padded(scores)
-        logs, _ = beliefs(array, filled, steps)
-        for k, i in enumerate(group):
-            yield int(i), list(zip(ends[i][::2], ends[i][1::2])), texts[i], logs[k, : lengths[k]]
+def _solved(batch: pa.RecordBatch, steps: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(index, spans, log marginals, what the messages told each place) of each window of a batch, with the messages added to its scores."""
+    if not batch.num_rows:
+        return
+    sizes = pc.list_value_length(batch.column("ends")).to_numpy() // 2
+    spans = batch.column("ends").flatten().to_numpy().reshape(-1, 2)
+    flat = np.frombuffer(b"".join(batch.column("unary").to_pylist()), dtype=np.float16).astype(np.float64).reshape(-1, len(LABELS))
+    firsts, told = np.cumsum(sizes) - sizes, np.zeros_like(flat)
+    messages = batch.column("messages").flatten()
+    counts = pc.fill_null(pc.list_value_length(batch.column("messages")), 0).to_numpy(zero_copy_only=False)
+    np.add.at(told, np.repeat(firsts, counts) + messages.field("at").to_numpy(), messages.field("logs").flatten().to_numpy().reshape(-1, len(LABELS)))
+    flat += told
+    order = np.argsort(sizes, kind="stable")
+    for group in _groups(sizes[order].tolist(), order):
+        places = firsts[group, None] + np.arange(sizes[group[-1]])
+        filled = places < (firsts + sizes)[group, None]
+        array = np.where(filled[:, :, None], flat[np.minimum(places, len(flat) - 1)], 0.0)
+        logs, _, _ = _marginals(array, filled, steps)
+        for k, i in enumerate(group.tolist()):
+            own = slice(firsts[i], firsts[i] + sizes[i])
+            yield i, spans[own], logs[k, : sizes[i]], told[own]
 
 
 _MESSAGE = "row bigint, at int, doc bigint, key string, logs array<double>"
@@ -852,31 +916,34 @@ def shared_key(token: str, lexicon: Lexicon) -> str:
     return key if len(key) >= (3 if token[0].isupper() else 6) else ""
 
 
-def _sent(text: str, spans: list[tuple[int, int]], logs: np.ndarray, got: dict[int, np.ndarray], lexicon: Lexicon) -> Iterator[tuple[int, str, list[float]]]:
+def _sent(text: str, spans: list[tuple[int, int]], logs: np.ndarray, got: np.ndarray | None, lexicon: Lexicon) -> Iterator[tuple[int, str, list[float]]]:
     """(place, key, belief) of the tokens of a window that may be part of an item or are known as names, without what their group told them."""
-    maybe = logs[:, OTHER] <= SURE
+    maybe = (logs[:, OTHER] <= SURE).tolist()
     for at, (a, b) in enumerate(spans):
         if b - a >= 3 and (maybe[at] or text[a].isupper()) and (key := shared_key(text[a:b], lexicon)) and (maybe[at] or lexicon.count(key)):
-            yield at, key, (np.clip(logs[at], -MOST * 2, 0) - got.get(at, 0)).tolist()
+            own = np.clip(logs[at], -MOST * 2, 0)
+            yield at, key, (own if got is None else own - got[at]).tolist()
 
 
 def _exchange(states: DataFrame, messages: DataFrame | None, model: Model) -> DataFrame:
     """New messages: for each token what the other tokens of its group believe."""
     steps, shared = model.steps, states.sparkSession.sparkContext.broadcast(model.lexicon)
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            row, doc, messages = batch["row"].tolist(), batch["doc"].tolist(), batch["messages"].tolist()
-            for i, spans, text, logs in _solved(batch, steps):
-                got = {m["at"]: np.asarray(m["logs"]) for m in messages[i]} if messages[i] is not None else {}
-                rows += [(row[i], at, doc[i], key, own) for at, key, own in _sent(text, [(int(a), int(b)) for a, b in spans], logs, got, shared.value)]
-            yield pd.DataFrame(rows, columns=["row", "at", "doc", "key", "logs"])
+            row, doc, texts = (batch.column(c).to_pylist() for c in ("row", "doc", "text"))
+            for i, spans, logs, told in _solved(batch, steps):
+                rows += [(row[i], at, doc[i], key, own) for at, key, own in _sent(texts[i], spans.tolist(), logs, told, shared.value)]
+            if rows:
+                row, at, doc, key, logs = zip(*rows)
+                columns = [pa.array(row, pa.int64()), pa.array(at, pa.int32()), pa.array(doc, pa.int64()), pa.array(key, pa.string()), _lists([len(LABELS)] * len(logs), pa.array(np.array(logs).ravel()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "at", "doc", "key", "logs"])
 
     if messages is None:
         sent = states.select("row", "doc", F.explode("sent").alias("s")).select("row", "s.at", "doc", "s.key", "s.logs")
     else:
-        sent = materialize(states.join(messages, "row", "left").select("row", "doc", "text", "ends", "unary", "messages").mapInPandas(send, _MESSAGE))
+        sent = materialize(states.join(messages, "row", "left").select("row", "doc", "text", "ends", "unary", "messages").mapInArrow(send, _MESSAGE))
     parts = [F.col("logs")[k] for k in range(len(LABELS))]
     groups = sent.groupBy("doc", "key").agg(F.count("*").alias("n"), *(F.sum(part).alias(f"sum{k}") for k, part in enumerate(parts))).where("n > 1")
     others = [(F.col(f"sum{k}") - part) / (F.col("n") - 1) for k, part in enumerate(parts)]
@@ -904,18 +971,22 @@ def find_personal_data(spans: DataFrame, sections: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         messages = _exchange(states, messages, model)
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            src, row_id, begins = (batch[c].tolist() for c in ("src", "row_id", "start"))
-            for i, own, text, logs in _solved(batch, steps):
-                first = begins[i]
-                for label, start, end in decoded(text, own, logs.argmax(axis=1)):
-                    rows.append((src[i], row_id[i], first + start, first + end, LABELS[label], text[start:end]))
-            yield pd.DataFrame(rows, columns=["src", "row_id", "start", "end", "pii_type", "value"])
+            src, row_id, begins, texts = (batch.column(c).to_pylist() for c in ("src", "row_id", "start", "text"))
+            for i, own, logs, _ in _solved(batch, steps):
+                labels = logs.argmax(axis=1)
+                if labels.any():
+                    first, text = begins[i], texts[i]
+                    for label, start, end in decoded(text, own.tolist(), labels.tolist()):
+                        rows.append((src[i], row_id[i], first + start, first + end, LABELS[label], text[start:end]))
+            if rows:
+                kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows), kinds)), names=["src", "row_id", "start", "end", "pii_type", "value"])
 
     schema = "src string, row_id string, start int, end int, pii_type string, value string"
-    return states.join(messages, "row", "left").select("src", "row_id", "start", "text", "ends", "unary", "messages").mapInPandas(decode, schema)
+    return states.join(messages, "row", "left").select("src", "row_id", "start", "text", "ends", "unary", "messages").mapInArrow(decode, schema)
 
 
 def redact(spans: DataFrame, sections: DataFrame) -> DataFrame:
