@@ -132,9 +132,25 @@ def page_lines(spans: DataFrame) -> DataFrame:
     return lines.withColumn("top", F.row_number().over(order)).withColumn("bottom", F.count("*").over(whole) - F.col("top") + 1).withColumn("next_text", F.lead("text").over(order))
 
 
+#: Lines that can be header, footer or page number.
+AT_EDGE = f"scanned and (top <= {EDGE} or bottom <= {EDGE})"
+
+
+def body_lines(lines: DataFrame, noise: DataFrame) -> DataFrame:
+    """The lines that are no noise. Only those at the edges are looked up in ``noise``, all others stay where they are."""
+    at_edge = lines.where(AT_EDGE).join(noise.select("span_id"), "span_id", "left_anti")
+    return lines.where(f"not ({AT_EDGE})").unionByName(at_edge)
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Whether two lines differ in no more letters than damage explains. Distances beyond that are not counted out."""
+    most = F.floor(F.greatest(F.length(a), F.length(b), F.lit(LETTERS_PER_ERROR)) / LETTERS_PER_ERROR).cast("int")
+    return (F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)
+
+
 def edge_noise(lines: DataFrame) -> DataFrame:
     """span_id, noise_type of header, footer and page number lines."""
-    edges = lines.where(f"scanned and (top <= {EDGE} or bottom <= {EDGE})").select("span_id", "doc", "page", "top", "bottom", "y0", "text")
+    edges = lines.where(AT_EDGE).select("span_id", "doc", "page", "top", "bottom", "y0", "text")
     number = F.col("text").rlike(PAGE_ONLY) & F.col("text").rlike(r"(?i)[\divxlc]")
     numbers = edges.where(number).select("span_id", F.lit("page_number").alias("noise_type"))
     key = F.lower(F.trim(F.regexp_replace(F.regexp_replace("text", PAGE_AT_EITHER_END, ""), r"\s+", " ")))
@@ -150,12 +166,9 @@ def edge_noise(lines: DataFrame) -> DataFrame:
     later_again = long.groupBy("doc", "key", "edge", "height").agg(F.count_distinct("page").alias("n")).where("n >= 2")
     later_again = long.join(later_again, ["doc", "key", "edge", "height"]).select("span_id")
 
-    def alike(a: Column, b: Column) -> Column:
-        return F.levenshtein(a, b) * LETTERS_PER_ERROR <= F.greatest(F.length(a), F.length(b), F.lit(LETTERS_PER_ERROR))
-
     # the page number after a header can be too damaged to be taken off
     size = F.length("header")
-    begins = alike(F.substring(F.col("key"), F.lit(1), size), F.col("header")) & (size >= LETTERS_PER_ERROR) & (F.length("key") - size <= PAGE_LETTERS)
+    begins = (size >= LETTERS_PER_ERROR) & (F.length("key") - size <= PAGE_LETTERS) & alike(F.substring(F.col("key"), F.lit(1), size), F.col("header"))
     known = keyed.join(headers, "doc").where(alike(F.col("key"), F.col("header")) | begins).select("span_id")
     # a header that is damaged on one of few pages has no twin: look at the same place of the next pages
     def at(place: str) -> DataFrame:
@@ -163,7 +176,7 @@ def edge_noise(lines: DataFrame) -> DataFrame:
 
     slots = at("top").unionByName(at("bottom")).where("length(key) >= 6")
     later = slots.select("doc", F.explode(F.array(*(F.col("page") - k for k in range(1, NEXT_PAGES + 1)))).alias("page"), "edge", F.col("span_id").alias("later_id"), F.col("key").alias("later_key"))
-    twins = slots.join(later, ["doc", "page", "edge"]).where(alike(F.col("key"), F.col("later_key")) & (F.col("key") != F.col("later_key")))
+    twins = slots.join(later, ["doc", "page", "edge"]).where((F.col("key") != F.col("later_key")) & alike(F.col("key"), F.col("later_key")))
     twins = twins.select(F.explode(F.array("span_id", "later_id")).alias("span_id"))
     return numbers.unionByName(known.unionByName(later_again).unionByName(twins).distinct().withColumn("noise_type", F.lit("header")))
 
@@ -195,11 +208,11 @@ def repairs(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     lines = materialize(page_lines(spans))
     noise = materialize(edge_noise(lines).distinct())
     cores = materialize(word_cores(spans))
-    body = lines.join(noise.select("span_id"), "span_id", "left_anti")
-    joined = _joined_words(body, cores)
+    body = body_lines(lines, noise)
+    joined = materialize(_joined_words(body, cores))
     unseen = joined.where("not kept and n_joined = 0").select(F.col("low_joined").alias("word"), F.lit(1).cast("bigint").alias("n")).distinct()
-    words = pieces_of(cores)
-    right = materialize(corrections(words.unionByName(unseen).groupBy("word").agg(F.max("n").alias("n"))))
+    words = materialize(pieces_of(cores).unionByName(unseen).groupBy("word").agg(F.max("n").alias("n")))
+    right = materialize(corrections(words))
 
     fixed_joined = joined.join(right.withColumnRenamed("word", "low_joined"), "low_joined", "left")
     fixed_joined = fixed_joined.withColumn("fixed", F.when(F.col("kept"), F.col("compound")).when(F.col("right").isNotNull() & (F.col("n_joined") < FREQUENT), _in_case_of(F.col("right"), F.col("joined"))).otherwise(F.col("joined")))
@@ -209,7 +222,8 @@ def repairs(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     split = cores.select("core", F.explode(F.split("core", r"[^\p{L}\p{N}@(]+")).alias("word")).join(right, "word")
     wrong = split.groupBy("core").agg(F.collect_list(F.struct("word", "right")).alias("swaps"))
     wrong = wrong.select("core", F.aggregate("swaps", F.col("core"), lambda text, swap: F.replace(text, swap["word"], swap["right"])).alias("right"))
-    split_text = F.split(F.rtrim(F.translate("text", "\t\u00a0", "  ")), " ")
+    blanks = F.when(F.contains("text", F.lit("\t")) | F.contains("text", F.lit("\u00a0")), F.translate("text", "\t\u00a0", "  ")).otherwise(F.col("text"))
+    split_text = F.split(F.rtrim(blanks), " ")
     ends_broken = F.right(F.rtrim("text"), F.lit(1)).isin(*HYPHENS)
     tokens = body.select("span_id", F.explode(F.when(ends_broken, F.slice(split_text, F.lit(1), F.greatest(F.size(split_text) - 1, F.lit(0)))).otherwise(split_text)).alias("token")).where(F.length("token") > 1)
     # an opening bracket that is never closed is part of the core, be it a misread c or not
@@ -217,7 +231,7 @@ def repairs(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     seen = F.btrim("token", F.lit(_OUTER))
     tokens = tokens.select("span_id", F.when(unclosed, F.concat(F.lit("("), seen)).otherwise(seen).alias("seen"))
     wrong = wrong.unionByName(wrong.where(~F.startswith("core", F.lit("("))).select(F.concat(F.lit("("), "core").alias("core"), "right"))
-    misread = tokens.withColumn("core", F.lower("seen")).join(broadcast_if_small(wrong), "core")
+    misread = tokens.withColumn("core", F.lower("seen")).join(broadcast_if_small(materialize(wrong)), "core")
     misread = misread.select("span_id", F.lit("misread").alias("noise_type"), "seen", _in_case_of(F.col("right"), F.col("seen")).alias("fixed"))
     return lines, noise, hyphens.unionByName(misread)
 
@@ -286,7 +300,7 @@ def clean_pages(spans: DataFrame, page_texts: DataFrame | None = None) -> DataFr
     lines, noise, fixes = repairs(spans)
     swaps = fixes.where("noise_type = 'misread'").groupBy("span_id").agg(F.collect_set(F.struct("seen", "fixed")).alias("swaps"))
     joins = fixes.where("noise_type = 'hyphen'").groupBy("span_id").agg(F.first("fixed").alias("whole"))
-    body = lines.join(noise.select("span_id"), "span_id", "left_anti").join(swaps, "span_id", "left").join(joins, "span_id", "left")
+    body = body_lines(lines, noise).join(swaps, "span_id", "left").join(joins, "span_id", "left")
     text = F.trim(F.coalesce(F.aggregate("swaps", F.col("text"), lambda t, s: F.replace(t, s["seen"], s["fixed"])), F.col("text")))
     body = body.withColumn("text", text)
     order = Window.partitionBy("doc", "page").orderBy("top")

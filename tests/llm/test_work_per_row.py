@@ -9,7 +9,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from quirework.llm import personal_data
+from pyspark.sql import functions as F
+
+from quirework.llm import personal_data, scan_repair
 
 
 class Caught(Exception):
@@ -84,3 +86,44 @@ def test_solved_windows_with_messages():
         assert got[i][0] == [[a, a + 1] for a, _ in pairwise(range(2 * n + 1))][::2]
     assert not list(personal_data._solved(batch.slice(0, 0), steps))
     assert len(list(personal_data._solved(batch.slice(1, 2), steps))) == 2
+
+
+def test_lines_alike_are_those_of_the_whole_distance(spark):
+    draw = np.random.default_rng(6)
+    pairs = []
+    for length in [*range(4, 40), 120, 300]:
+        text = "".join(draw.choice(list("abcé 1"), length))
+        for wrong in range(8):
+            other = list(text)
+            for _ in range(wrong):
+                at = int(draw.integers(0, len(other)))
+                other[at : at + int(draw.integers(0, 2))] = draw.choice(["", "z", "zz"])
+            pairs.append((text, "".join(other)))
+    pairs += [("", ""), ("", "z"), ("abcdefgh", "z")]
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    whole = F.levenshtein("a", "b") * scan_repair.LETTERS_PER_ERROR <= F.greatest(F.length("a"), F.length("b"), F.lit(scan_repair.LETTERS_PER_ERROR))
+    rows = frame.select(scan_repair.alike(F.col("a"), F.col("b")).alias("got"), whole.alias("whole")).collect()
+    assert [r.got for r in rows] == [r.whole for r in rows] and 20 < sum(r.whole for r in rows) < len(rows) - 20
+
+
+def test_only_lines_at_the_edges_are_looked_up(spark):
+    rows = [(f"{d}{k}", d, 1, f"line {k}", 0.1, 0.9, 0.1 * k, 0.1 * k + 0.05, source) for d, source in (("s", "vlm"), ("n", "pdfplumber"), ("u", None)) for k in range(7)]
+    frame = spark.createDataFrame(rows, "span_id string, document_id string, page_number int, text string, x0 double, x1 double, y0 double, y1 double, source string")
+    lines = scan_repair.page_lines(frame)
+    noise = spark.createDataFrame([("s0",), ("s5",), ("u6",)], "span_id string")
+    body = scan_repair.body_lines(lines, noise)
+    assert sorted(r.span_id for r in body.collect()) == sorted(r.span_id for r in lines.join(noise, "span_id", "left_anti").collect())
+    assert body.columns == lines.columns
+    looked_up = lines.where(scan_repair.AT_EDGE).select("span_id").collect()
+    assert sorted(r.span_id for r in looked_up) == [f"{d}{k}" for d in "su" for k in (0, 1, 5, 6)]
+
+
+def test_broken_words_and_words_are_counted_once(spark, monkeypatch):
+    written = []
+    whole = scan_repair.materialize
+    monkeypatch.setattr(scan_repair, "materialize", lambda df: written.append(set(df.columns)) or whole(df))
+    rows = [("a", "d", 1, "and the mort-", 0.1, 0.9, 0.1, 0.15, "vlm"), ("b", "d", 1, "gage was\trecorded", 0.1, 0.9, 0.2, 0.25, "vlm")]
+    frame = spark.createDataFrame(rows, "span_id string, document_id string, page_number int, text string, x0 double, x1 double, y0 double, y1 double, source string")
+    assert {tuple(r) for r in scan_repair.found(frame).collect()} == {("a", "hyphen", "mortgage")}
+    for columns in ({"span_id", "joined", "compound", "low_joined", "kept", "n_joined"}, {"word", "n"}, {"core", "right"}):
+        assert written.count(columns) == 1
