@@ -23,7 +23,6 @@ from __future__ import annotations
 import bisect
 import functools
 import itertools
-import operator
 import re
 import unicodedata
 import zlib
@@ -256,9 +255,9 @@ class Tokens:
 
     __slots__ = ("spans", "facts", "forms", "runs")
 
-    def __init__(self, text: str, spans: list[tuple[int, int]], flags: Flags, formats: list[tuple[int, int, int]]) -> None:
+    def __init__(self, tokens: list[str], spans: list[tuple[int, int]], flags: Flags, formats: list[tuple[int, int, int]]) -> None:
         self.spans = spans
-        self.facts = [flags.word(text[a:b]) for a, b in spans]
+        self.facts = list(map(flags.words.__getitem__, tokens))
         self.forms = [0] * len(spans)
         for label, start, end in formats:
             if end > spans[0][0] and start < spans[-1][1]:
@@ -316,23 +315,48 @@ _HOUSE = re.compile(r"\d{1,5}[A-Z]?(?:[-–]\d{1,5})?$")
 _NUMBER_LIKE = re.compile(r"^(?!\d\d-\d\d-)(?:.*(?:\+\d|^\(?\d{3}\)|\d{3}[-. ]\d{3}|\d{9}|[A-Z]\d{3}-\d{4}|[A-Z]\d{6}|\d{3}-\d\d-)|[A-Z]{2}$)")
 
 
+def _split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Tokens between blanks of many texts: how many each text has (at least one, which may be empty), the different ones, and which of them stands at each place."""
+    lines = pc.utf8_split_whitespace(texts)
+    tokens = lines.flatten().dictionary_encode()
+    return pc.list_value_length(lines).to_numpy().astype(np.int64), tokens.dictionary.to_numpy(zero_copy_only=False).tolist(), tokens.indices.to_numpy()
+
+
+#: Figures, all of them as one.
+_NINES = str.maketrans("0123456789", "9999999999")
+
+
 class Flags(dict):
     """What a token between blanks can be part of; kept for tokens seen before."""
 
     def __init__(self, lexicon: Lexicon) -> None:
         super().__init__()
         self.lexicon = lexicon
-        self.words: dict[str, tuple] = {}
+        self.shapes: dict[str, int] = {}
+        self.words = Words(lexicon)
         self.named = functools.lru_cache(maxsize=1 << 17)(lambda token: token[0].isupper() and lexicon.count(alike(token.partition("-")[0])) > 0)
 
     def __missing__(self, token: str) -> int:
         if len(self) > KEPT:
             self.clear()
         plain = token.strip(".,;:()'\"?!")
+        if plain[:1].isupper():
+            flags = self._formed(token, plain) | (IS_NAME if self.named(plain) else 0)
+        else:  # which figures it has matters for names only
+            shape = token.translate(_NINES)
+            flags = self.shapes.get(shape)
+            if flags is None:
+                if len(self.shapes) > KEPT:
+                    self.shapes.clear()
+                flags = self.shapes[shape] = self._formed(token, plain)
+        self[token] = flags
+        return flags
+
+    @staticmethod
+    def _formed(token: str, plain: str) -> int:
+        """Flags that do not depend on the lexicon."""
         low = plain.lower()
-        flags = 0
-        if plain and self.named(plain) or low.startswith(("al-", "el-")):
-            flags |= IS_NAME
+        flags = IS_NAME if low.startswith(("al-", "el-")) else 0
         if "@" in token or low == "at" and token[0] in "[(" or "[at]" in token.lower() or "(at)" in token.lower():
             flags |= IS_EMAIL
         if plain.isdigit() and 2 <= len(plain) <= 4:
@@ -349,50 +373,55 @@ class Flags(dict):
             flags |= IS_NUMBERED
         if token in _CONTEXT_WORDS:
             flags |= IS_CONTEXT
-        self[token] = flags
         return flags
 
-    def word(self, token: str) -> tuple[int, int, int, int, int, int, str, bool, bool]:
-        """Codes of a window's token (itself, lower case, shape, how well known as a name, ending, company) and what it is in a run."""
-        facts = self.words.get(token)
-        if facts is None:
-            if len(self.words) > KEPT:
-                self.words.clear()
-            low, shape = token.lower(), _shape(token)
-            count = _bin(min(self.lexicon.count(alike(part)) for part in token.replace("’", "-").split("-"))) if token[0].isalpha() else "-"
-            letters = shape[0] in "Aa"
-            code = xxhash.xxh3_64_intdigest
-            capital = (token[0].isupper() or low.startswith(("al-", "el-"))) and not any(c.isdigit() or c == "@" for c in token)
-            facts = self.words[token] = (
-                code(low) if letters else 1, code(low), code(shape), ord(count), code(low[-3:]) if letters else 1, int(low in COMPANY), token, capital, low in _PARTICLES,
-            )
-        return facts
-
     def of(self, text: str) -> int:
-        """All flags of a text's tokens.
+        """All flags of a text's tokens."""
+        return int(self.of_all(pa.array([text], pa.string()))[0])
+
+    def of_all(self, texts: pa.Array) -> np.ndarray:
+        """All flags of each text's tokens.
 
         Short numbers count as a number two in a row, a number after a word
         like "instrument" does not, and a road needs a house number before it.
         """
-        own = list(map(self.__getitem__, text.split()))
-        found = functools.reduce(operator.or_, own, 0)
-        if not (found & IS_DIGITS or found & IS_NUMBER and found & IS_NUMBERED or found & IS_ROAD and found & IS_HOUSE):
-            return found
-        found, last, house = 0, 0, 9
-        for flags in own:
-            if flags:
-                if flags & IS_DIGITS & last:
-                    found |= IS_NUMBER
-                if flags & IS_NUMBER and last & IS_NUMBERED:
-                    flags &= ~IS_NUMBER
-                if flags & IS_ROAD and house <= 5:
-                    found |= IS_STREET
-                if flags & IS_HOUSE:
-                    house = 0
-                found |= flags
-            last = flags
-            house += 1
-        return found
+        if not len(texts):
+            return np.zeros(0, dtype=np.int64)
+        sizes, tokens, places = _split(texts)
+        own = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))[places]
+        begins = np.cumsum(sizes) - sizes
+        last = np.concatenate([[0], own[:-1]])
+        last[begins] = 0
+        own[(own & IS_NUMBER > 0) & (last & IS_NUMBERED > 0)] &= ~IS_NUMBER
+        own[own & last & IS_DIGITS > 0] |= IS_NUMBER
+        roads = np.flatnonzero(own & IS_ROAD)
+        if len(roads):
+            houses = np.flatnonzero(own & IS_HOUSE)
+            house = np.concatenate([[-9], houses])[np.searchsorted(houses, roads)]
+            begin = begins[np.searchsorted(begins, roads, side="right") - 1]
+            own[roads[(house >= begin) & (roads - house <= 5)]] |= IS_STREET
+        return np.bitwise_or.reduceat(own, begins)
+
+
+class Words(dict):
+    """Codes of a window's token (itself, lower case, shape, how well known as a name, ending, company) and what it is in a run; kept for tokens seen before."""
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, token: str) -> tuple[int, int, int, int, int, int, str, bool, bool]:
+        if len(self) > KEPT:
+            self.clear()
+        low, shape = token.lower(), _shape(token)
+        count = _bin(min(self.lexicon.count(alike(part)) for part in token.replace("’", "-").split("-"))) if token[0].isalpha() else "-"
+        letters = shape[0] in "Aa"
+        code = xxhash.xxh3_64_intdigest
+        capital = (token[0].isupper() or low.startswith(("al-", "el-"))) and (token.isalpha() or not any(c.isdigit() or c == "@" for c in token))
+        facts = self[token] = (
+            code(low) if letters else 1, code(low), code(shape), ord(count), code(low[-3:]) if letters else 1, int(low in COMPANY), token, capital, low in _PARTICLES,
+        )
+        return facts
 
 
 def _runs(facts: list[tuple]) -> list[int]:
@@ -428,7 +457,7 @@ def _bin(count: int) -> str:
 
 
 def _shape(word: str) -> str:
-    if word[0].isalpha() and not any(c.isdigit() or c == "@" for c in word):
+    if word.isalpha() or word[0].isalpha() and not any(c.isdigit() or c == "@" for c in word):
         return "AA" if len(word) > 1 and word.isupper() else "A" if word.isupper() else "Aa" if word[0].isupper() else "a"
     if "@" in word:
         return "@"
@@ -470,10 +499,14 @@ def format_items(text: str, flags: Flags, held: int) -> list[tuple[int, int, int
     return [item for item in found if item[0] in (EMAIL, ADDRESS) or item[1] not in numbered]
 
 
-def windows(text: str, flags: Flags, wanted: frozenset[str] = frozenset()) -> list[Tokens]:
-    """Windows of tokens around the places where personal data can be; with ``wanted`` those around these keys that are in no other window."""
-    held = flags.of(text)
-    if not wanted and not held & (IS_NAME | IS_EMAIL | IS_NUMBER | IS_STREET | IS_CONTEXT):
+#: Flags without which a text has no windows of its own.
+OPENING = IS_NAME | IS_EMAIL | IS_NUMBER | IS_STREET | IS_CONTEXT
+
+
+def windows(text: str, flags: Flags, wanted: frozenset[str] = frozenset(), held: int | None = None) -> list[Tokens]:
+    """Windows of tokens around the places where personal data can be; with ``wanted`` those around these keys that are in no other window. ``held`` are the text's flags, if they are known."""
+    held = flags.of(text) if held is None else held
+    if not (wanted or held & OPENING):
         return []
     formats = format_items(text, flags, held)
     contexts = [m.span() for m in _CONTEXT.finditer(text)] if held & IS_CONTEXT else []
@@ -483,9 +516,12 @@ def windows(text: str, flags: Flags, wanted: frozenset[str] = frozenset()) -> li
     known = list(map(flags.named, tokens))
     if not (formats or contexts or wanted or True in known):
         return []
-    spans = [m.span() for m in _TOKEN.finditer(text)]
     hot = np.array(known, dtype=bool)
-    starts = [a for a, _ in spans]
+    starts, at = [], 0
+    for token in tokens:  # nothing but blanks stands between tokens
+        at = text.find(token, at)
+        starts.append(at)
+        at += len(token)
     for start, end in contexts + [(a, b) for _, a, b in formats]:
         hot[max(0, bisect.bisect_left(starts, start) - 1) : bisect.bisect_left(starts, end) + 1] = True
     if not (wanted or hot.any()):
@@ -497,7 +533,7 @@ def windows(text: str, flags: Flags, wanted: frozenset[str] = frozenset()) -> li
     i = marks.find(1)
     while i >= 0:
         j = marks.find(0, i)
-        found.append(Tokens(text, spans[i:j], flags, formats))
+        found.append(Tokens(tokens[i:j], [(a, a + len(token)) for a, token in zip(starts[i:j], tokens[i:j])], flags, formats))
         i = marks.find(1, j)
     return found
 
@@ -609,9 +645,9 @@ class Model:
         self.weights = self.weights.astype(np.float32)
 
 
-def labelled_windows(text: str, flags: Flags) -> list[tuple[Tokens, np.ndarray]]:
+def labelled_windows(text: str, flags: Flags, held: int | None = None) -> list[tuple[Tokens, np.ndarray]]:
     """Windows with the labels that the patterns give their tokens."""
-    found = windows(text, flags)
+    found = windows(text, flags, held=held)
     items = pattern_items(text) if found else []
     result = []
     for window in found:
@@ -649,8 +685,8 @@ def trained_model(texts: DataFrame, names: DataFrame, totals: dict[str, int]) ->
         flags = shared.value.flags
         for batch in batches:
             keys, parts, truth = [], [], []
-            for turn, text in batch.itertuples(index=False):
-                for place, (part, labels) in enumerate(part for window in labelled_windows(text, flags) for part in _parts(*window)):
+            for turn, text, held in zip(batch["turn"].tolist(), batch["text"], flags.of_all(pa.array(batch["text"], pa.string())).tolist()):
+                for place, (part, labels) in enumerate(part for window in labelled_windows(text, flags, held) for part in _parts(*window)):
                     if (turn + place) % WITHOUT_FORMATS == 0:
                         part.forms = [0] * len(part.forms)
                     keys.append((turn, place))
@@ -772,13 +808,21 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(*(column.to_pylist() for column in batch.slice(first, 1000).columns))
 
 
+def _flagged(batches: Iterator[pa.RecordBatch], flags: Flags) -> Iterator[pa.RecordBatch]:
+    """The rows whose texts can have windows of their own, with the flags of the text as last column."""
+    for batch in batches:
+        held = flags.of_all(batch.column("text"))
+        own = np.flatnonzero(held & OPENING)
+        yield batch.take(pa.array(own)).append_column("held", pa.array(held[own]))
+
+
 def first_states(texts: DataFrame, model: Model) -> DataFrame:
     """Every window that its text gives away. Scores are half floats, ``ends`` (start, end) pairs."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = shared.value.lexicon.flags
-        found = ((key, window) for key in _rows(batches) for window in windows(key[3], flags))
+        found = ((key, window) for *key, held in _rows(_flagged(batches, flags)) for window in windows(key[3], flags, held=held))
         for part in itertools.batched(found, SCORED):
             yield _state_rows(part, shared.value)
 
@@ -800,7 +844,7 @@ class TokenCodes(dict):
         if len(self) > KEPT:
             self.clear()
         key, plain = alike(token), token.strip(".,;:()'\"?!")
-        value = self[token] = _code(key) if len(key) >= 3 and plain and not self.flags.named(plain) else 0
+        value = self[token] = _code(key) if len(key) >= 3 and plain and not (plain[0].isupper() and self.flags.named(plain)) else 0
         return value
 
 
@@ -846,19 +890,17 @@ def _found_again(texts: DataFrame, pairs: DataFrame, model: Model, block: int, b
         for batch in batches:
             for first in range(0, batch.num_rows, 4000):
                 part = batch.slice(first, 4000)
-                doc, text = part.column("doc").to_pylist(), part.column("text").to_pylist()
-                tokens = [line.split() for line in text]
-                sizes = np.array(list(map(len, tokens)))
-                own = np.fromiter(map(codes.__getitem__, itertools.chain.from_iterable(tokens)), dtype=np.uint64, count=sizes.sum())
-                mixed = mix(own ^ np.repeat(np.array(doc, dtype=np.int64).view(np.uint64), sizes))
-                hits = np.flatnonzero((own != 0) & ((mixed & np.uint64((1 << 32) - 1)) % np.uint64(blocks) == block))
+                sizes, tokens, places = _split(part.column("text"))
+                own = np.fromiter(map(codes.__getitem__, tokens), dtype=np.uint64, count=len(tokens))[places]
+                hits = np.flatnonzero(own)
+                line_of = np.repeat(np.arange(len(sizes)), sizes)[hits]
+                mixed = mix(own[hits] ^ part.column("doc").to_numpy().view(np.uint64)[line_of])
+                kept = np.flatnonzero((mixed & np.uint64((1 << 32) - 1)) % np.uint64(blocks) == block)
                 for bit in PROBES:
-                    hits = hits[table.counts[((mixed[hits] >> np.uint64(bit)) & np.uint64((1 << CELLS) - 1)).astype(np.int64)] > 0]
-                line_of = np.searchsorted(np.cumsum(sizes), hits, side="right")
-                begins = np.cumsum(sizes) - sizes
+                    kept = kept[table.counts[((mixed[kept] >> np.uint64(bit)) & np.uint64((1 << CELLS) - 1)).astype(np.int64)] > 0]
                 wanted: dict[int, set[str]] = {}
-                for line, hit in zip(line_of.tolist(), hits.tolist()):
-                    wanted.setdefault(line, set()).add(alike(tokens[line][hit - begins[line]]))
+                for line, place in zip(line_of[kept].tolist(), places[hits[kept]].tolist()):
+                    wanted.setdefault(line, set()).add(alike(tokens[place]))
                 if wanted:
                     names = _lists(list(map(len, wanted.values())), pa.array(list(itertools.chain.from_iterable(wanted.values())), pa.string()))
                     found = part.take(pa.array(list(wanted), pa.int32()))

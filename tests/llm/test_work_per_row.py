@@ -56,6 +56,78 @@ def test_flags_of_a_text():
     assert flags.of("call 212-867-5309") & personal_data.IS_NUMBER and not flags.of("parcel 212-867-5309") & personal_data.IS_NUMBER
 
 
+def flags_of_one(flags: personal_data.Flags, text: str) -> int:
+    """The flags of a text, token by token."""
+    P = personal_data
+    found, last, house = 0, 0, 9
+    for token in text.split():
+        own = flags[token]
+        if own & P.IS_DIGITS & last:
+            found |= P.IS_NUMBER
+        if own & P.IS_NUMBER and last & P.IS_NUMBERED:
+            own &= ~P.IS_NUMBER
+        if own & P.IS_ROAD and house <= 5:
+            found |= P.IS_STREET
+        if own & P.IS_HOUSE:
+            house = 0
+        found |= own
+        last, house = own, house + 1
+    return found
+
+
+def test_flags_of_many_texts():
+    counts = np.zeros(1 << personal_data.CELLS, dtype=np.uint8)
+    counts[personal_data._code("quent") >> 64 - personal_data.CELLS] = 3
+    flags = personal_data.Lexicon(counts).flags
+    draw = np.random.default_rng(7)
+    words = "the Quent quent 4 12 867 5309 212-867-5309 parcel Claim Street Rd. rue (at) @ Signed by al-Quent 14B, A123456 $1,200.50 é \x1c".split(" ")
+    texts = ["", " ", "\n", " 4 Elm", "Street", "4", "5309"] + [str(draw.choice([" ", "  ", "\u2003"])).join(draw.choice(words, draw.integers(0, 12))) for _ in range(2000)]
+    wanted = [flags_of_one(flags, text) for text in texts]
+    assert flags.of_all(pa.array(texts)).tolist() == wanted and len(set(wanted)) > 40
+    assert flags.of_all(pa.array(texts)[5:]).tolist() == wanted[5:] and not len(flags.of_all(pa.array([], pa.string())))
+
+
+def test_figures_are_looked_at_once_for_all_numbers_of_a_form(monkeypatch):
+    tried = []
+
+    class Counting:
+        match = staticmethod(lambda token: tried.append(token) or whole.match(token))
+
+    whole = personal_data._NUMBER_LIKE
+    monkeypatch.setattr(personal_data, "_NUMBER_LIKE", Counting)
+    flags = personal_data.Lexicon(np.zeros(1 << personal_data.CELLS, dtype=np.uint8)).flags
+    tokens = [f"{a}{k}{z}" for k in range(1000, 1400) for a, z in (("$1,", ".50"), ("212-867-", ","), ("2020-CV-", ""))]
+    assert {bool(flags.of(token) & personal_data.IS_NUMBER) for token in tokens[1::3]} == {True}
+    assert {flags.of(token) for token in tokens[::3] + tokens[2::3]} == {0}
+    assert len(tried) == 3
+
+
+def test_only_texts_that_can_have_windows_are_looked_through(monkeypatch):
+    class Shared(Texts):
+        sparkSession = property(lambda self: self)
+        sparkContext = property(lambda self: self)
+
+        def broadcast(self, value):
+            self.value = value
+            return self
+
+        def mapInArrow(self, function, schema):
+            raise Caught(function)
+
+    looked = []
+    whole = personal_data.windows
+    monkeypatch.setattr(personal_data, "windows", lambda text, *rest, **more: looked.append(text) or whole(text, *rest, **more))
+    try:
+        personal_data.first_states(Shared(), personal_data.Model(personal_data.Lexicon(np.zeros(1 << personal_data.CELLS, dtype=np.uint8))))
+    except Caught as caught:
+        states = caught.args[0]
+    texts = ["the view was noted", "", "write to orla@quent.org", "Signed by Orla Quent", "of 12 pages"]
+    batch = pa.RecordBatch.from_pydict({"src": ["a"] * 5, "row_id": list("vwxyz"), "doc": pa.array(range(5), pa.int64()), "text": texts})
+    rows = pa.Table.from_batches(states(iter([batch, batch.slice(0, 0), batch.slice(3)])))
+    assert looked == [texts[2], texts[3], texts[3]]
+    assert set(rows["row_id"].to_pylist()) <= {"x", "y"}
+
+
 def test_patterns_are_tried_only_where_their_words_are(monkeypatch):
     tails = [" testified", " may be reached", " and diagnosed", " shows SSN", ", resides at", " holder of", " at orla@quent.org", " (orla [at] quent.org", ", orla(at)quent.org", " came"]
     texts = [f"On Monday Orla {name}{tail}. Then all left." for tail in tails for name in ("Quent", "de Quent", "Q. Vell")]
