@@ -249,6 +249,11 @@ class Lexicon(Table):
         """Codes of tokens that can be named again, kept and not sent in the same way."""
         return TokenCodes(self.flags)
 
+    @functools.cached_property
+    def shared_keys(self) -> SharedKeys:
+        """Keys of the groups of tokens, kept and not sent in the same way."""
+        return SharedKeys(self)
+
 
 class Tokens:
     """Tokens of one window with their places in the text and the facts that features are made of."""
@@ -560,15 +565,27 @@ def _lse(values: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(values - top).sum(axis=axis))
 
 
+def _raised(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The scores' highest for each place, and what they are above it, no more as logarithms."""
+    top = scores.max(axis=-1, keepdims=True)
+    return top, np.exp(scores - top)
+
+
+def _stepped(scores: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Scores of the next labels, summed over those before them. One exponential for each label, not for each pair; a chain's sums do not depend on the others."""
+    top, values = _raised(scores)
+    return top + np.log(np.einsum("ni,ij->nj", values, powers))
+
+
 def _marginals(unary: np.ndarray, filled: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log marginals of every place of many chains at once, and the messages ahead and back."""
-    length = unary.shape[1]
+    length, powers = unary.shape[1], np.exp(steps)
+    turned = np.ascontiguousarray(powers.T)
     ahead, back = unary.copy(), np.zeros_like(unary)
     for t in range(1, length):
-        ahead[:, t] = unary[:, t] + _lse(ahead[:, t - 1, :, None] + steps, 1)
+        ahead[:, t] = unary[:, t] + _stepped(ahead[:, t - 1], powers)
     for t in range(length - 2, -1, -1):
-        later = _lse(steps + (unary[:, t + 1] + back[:, t + 1])[:, None, :], 2)
-        back[:, t] = np.where(filled[:, t + 1, None], later, 0.0)
+        back[:, t] = np.where(filled[:, t + 1, None], _stepped(unary[:, t + 1] + back[:, t + 1], turned), 0.0)
     logs = ahead + back
     logs -= _lse(logs, 2)[:, :, None]
     return logs, ahead, back
@@ -577,13 +594,11 @@ def _marginals(unary: np.ndarray, filled: np.ndarray, steps: np.ndarray) -> tupl
 def beliefs(unary: np.ndarray, filled: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log marginals of every place of many chains at once, and the expected steps summed over all."""
     logs, ahead, back = _marginals(unary, filled, steps)
-    length, k = unary.shape[1:]
-    expected = np.zeros((k, k))
-    for t in range(length - 1):
-        both = ahead[:, t, :, None] + steps + (unary[:, t + 1] + back[:, t + 1])[:, None, :]
-        both = np.exp(both - both.max(axis=(1, 2), keepdims=True))
-        expected += (both / both.sum(axis=(1, 2), keepdims=True))[filled[:, t + 1]].sum(axis=0)
-    return logs, expected
+    powers, inner = np.exp(steps), filled[:, 1:]
+    _, here = _raised(ahead[:, :-1][inner])
+    _, later = _raised((unary + back)[:, 1:][inner])
+    whole = (np.einsum("ni,ij->nj", here, powers) * later).sum(axis=1)
+    return logs, powers * np.einsum("ni,nj->ij", here / whole[:, None], later)
 
 
 class Model:
@@ -958,13 +973,33 @@ def shared_key(token: str, lexicon: Lexicon) -> str:
     return key if len(key) >= (3 if token[0].isupper() else 6) else ""
 
 
+class SharedKeys(dict):
+    """Key of a token's group and whether it is known as a name, kept for tokens seen before."""
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, token: str) -> tuple[str, bool]:
+        if len(self) > KEPT:
+            self.clear()
+        key = shared_key(token, self.lexicon)
+        value = self[token] = key, self.lexicon.count(key) > 0
+        return value
+
+
 def _sent(text: str, spans: list[tuple[int, int]], logs: np.ndarray, got: np.ndarray | None, lexicon: Lexicon) -> Iterator[tuple[int, str, list[float]]]:
     """(place, key, belief) of the tokens of a window that may be part of an item or are known as names, without what their group told them."""
     maybe = (logs[:, OTHER] <= SURE).tolist()
+    keys, beliefs = lexicon.shared_keys, None
     for at, (a, b) in enumerate(spans):
-        if b - a >= 3 and (maybe[at] or text[a].isupper()) and (key := shared_key(text[a:b], lexicon)) and (maybe[at] or lexicon.count(key)):
-            own = np.clip(logs[at], -MOST * 2, 0)
-            yield at, key, (own if got is None else own - got[at]).tolist()
+        if b - a >= 3 and (maybe[at] or text[a].isupper()):
+            key, known = keys[text[a:b]]
+            if key and (known or maybe[at]):
+                if beliefs is None:
+                    own = np.minimum(np.maximum(logs, -MOST * 2), 0)
+                    beliefs = (own if got is None else own - got).tolist()
+                yield at, key, beliefs[at]
 
 
 def _exchange(states: DataFrame, messages: DataFrame | None, model: Model) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from itertools import pairwise
+from itertools import pairwise, product
 
 import numpy as np
 import pandas as pd
@@ -128,6 +128,41 @@ def test_only_texts_that_can_have_windows_are_looked_through(monkeypatch):
     assert set(rows["row_id"].to_pylist()) <= {"x", "y"}
 
 
+def test_keys_of_groups_are_made_once_for_a_token(monkeypatch):
+    made = []
+    whole = personal_data.shared_key
+    monkeypatch.setattr(personal_data, "shared_key", lambda token, lexicon: made.append(token) or whole(token, lexicon))
+    lexicon = personal_data.Lexicon(np.zeros(1 << personal_data.CELLS, dtype=np.uint8))
+    lexicon.counts[personal_data._code("quent") >> 64 - personal_data.CELLS] = 3
+    text, logs = "Orla Quent saw Viggo", np.log(np.full((4, 6), 1 / 6))
+    logs[3], got = [0, *[-50.0] * 5], np.full((4, 6), 0.5)
+    spans = [m.span() for m in personal_data._TOKEN.finditer(text)]
+    for told in (None, got):
+        sent = list(personal_data._sent(text, spans, logs, told, lexicon))
+        assert [(at, key) for at, key, _ in sent] == [(0, "orla"), (1, "quent")]
+        assert np.allclose([own for _, _, own in sent], np.log(1 / 6) - (0 if told is None else 0.5))
+    assert made == ["Orla", "Quent", "saw", "Viggo"]
+
+
+def test_beliefs_are_those_over_all_sequences():
+    draw = np.random.default_rng(12)
+    steps = draw.normal(size=(6, 6)) * 3
+    for scale in (1, 60):
+        unary, sizes = draw.normal(size=(5, 4, 6)) * scale, [4, 1, 3, 2, 4]
+        filled = np.arange(4) < np.array(sizes)[:, None]
+        logs, expected = personal_data.beliefs(np.where(filled[:, :, None], unary, 0.0), filled, steps)
+        pairs = np.zeros((6, 6))
+        for scores, own, n in zip(unary, logs, sizes):
+            ways = np.array(list(product(range(6), repeat=n)))
+            weights = scores[np.arange(n), ways].sum(axis=1) + steps[ways[:, :-1], ways[:, 1:]].sum(axis=1)
+            weights -= np.logaddexp.reduce(weights)
+            for at in range(n):
+                assert np.allclose(own[at], [np.logaddexp.reduce(weights[ways[:, at] == label]) for label in range(6)])
+            for at in range(n - 1):
+                np.add.at(pairs, (ways[:, at], ways[:, at + 1]), np.exp(weights))
+        assert np.allclose(expected, pairs)
+
+
 def test_patterns_are_tried_only_where_their_words_are(monkeypatch):
     tails = [" testified", " may be reached", " and diagnosed", " shows SSN", ", resides at", " holder of", " at orla@quent.org", " (orla [at] quent.org", ", orla(at)quent.org", " came"]
     texts = [f"On Monday Orla {name}{tail}. Then all left." for tail in tails for name in ("Quent", "de Quent", "Q. Vell")]
